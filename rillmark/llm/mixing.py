@@ -23,7 +23,7 @@ from . import shared
 from .shared import WORD
 
 #: Rows in one range of a source's random order.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 5_000
 #: A source is repeated this many times at most.
 MOST = 3
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, mixing, url_rules
+from . import chat_format, mixing, substring_dedup, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filters": url_rules.op2_url_filters,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_chat_formatting": chat_format.op6_chat_formatting,
         "op7_mixing": mixing.op7_mixing,
     }
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_url_filters": url_rules.OP2_SQL,
+        "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op6_chat_formatting": chat_format.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
     }
