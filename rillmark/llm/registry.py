@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, mixing, substring_dedup, url_rules
+from . import chat_format, decontaminate, mixing, substring_dedup, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_chat_formatting": chat_format.op6_chat_formatting,
         "op7_mixing": mixing.op7_mixing,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     }
 
