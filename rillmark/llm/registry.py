@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, mixing, substring_dedup, toxicity, url_rules
+from . import chat_format, decontaminate, fingerprint, mixing, substring_dedup, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": fingerprint.op1_fingerprints,
         "op2_url_filters": url_rules.op2_url_filters,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_chat_formatting": chat_format.op6_chat_formatting,
