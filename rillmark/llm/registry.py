@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprint, mixing, substring_dedup, toxicity, url_rules
+from . import chat_format, decontaminate, fingerprint, jaccard_join, mixing, substring_dedup, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_formatting": chat_format.op6_chat_formatting,
         "op7_mixing": mixing.op7_mixing,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op6_chat_formatting": chat_format.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
+        "op9_jaccard_join": jaccard_join.OP9_SQL,
         "op10_benchmark_decontamination": decontaminate.OP10_SQL,
     }
