@@ -8,10 +8,10 @@ a window whose anchor occurs once in the corpus is unique.
 1. Anchor occurrences (about one in twelve words) are summed in each task, then by key.
    A bitmap of the anchors that occur twice or more, of a size bound by BITMAP_BITS, goes
    to all tasks.  False positives only leave more windows to count.
-2. The remaining windows come in runs that share an anchor occurrence.  A run is one row:
-   the text's hashes, where it starts and its window hashes.  Equal runs are summed first
-   (a passage in a third of all documents is one row from then on), then windows are
-   counted by (anchor, window hash), two independent 64-bit hashes of their words.
+2. The remaining windows come in runs that share an anchor occurrence.  Where a text has a
+   run is one row; the run's window hashes are one row in each task that meets it (so a
+   passage in a third of all documents is one row a task from then on).  Dealt by anchor,
+   windows are counted by (anchor, window hash), two 64-bit hashes of their words.
 3. Each distinct run gets a bit mask of its repeated windows; the masks join back to the
    runs, runs of one text are gathered (copies of a text share them) and join the texts.
 
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rolling, shared
@@ -112,8 +112,24 @@ def _bitmap(repeated: DataFrame, bits: int) -> np.ndarray:
 
 
 def _find_runs(window: int, anchor: int, bitmap, bits: int):
+    """Two kinds of rows: where a text has a run (d1, d2, start, anchor, run), and, once
+    for each distinct run that a task has met, its count and window hashes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = bitmap.value
+        held: dict[int, list] = {}
+
+        def flush() -> pa.RecordBatch:
+            of = list(held.values())
+            sizes = np.array([len(x[2]) for x in of], dtype=np.int32)
+            none = pa.nulls(len(of), pa.int64())
+            out = pa.record_batch(
+                [none, none, pa.nulls(len(of), pa.int32()), pa.array([x[0] for x in of], pa.int64()), pa.array(list(held), pa.int64()), pa.array([x[1] for x in of], pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate([x[2] for x in of])))],
+                names=RUNS,
+            )
+            held.clear()
+            return out
+
         for batch in batches:
             texts = _texts(batch.column(0))
             keys = [batch.column(i).to_numpy() for i in (1, 2)]
@@ -126,7 +142,7 @@ def _find_runs(window: int, anchor: int, bitmap, bits: int):
                 at = np.flatnonzero(take)
                 if not len(at):
                     continue
-                hashes = rolling.window_hashes(words, window)[at].view(np.int64)
+                hashes = rolling.window_hashes(words, window)[at]
                 text = np.searchsorted(offsets, at, side="right") - 1
                 fresh = np.ones(len(at), dtype=bool)
                 fresh[1:] = (np.diff(at) != 1) | (least[at[1:]] != least[at[:-1]]) | (text[1:] != text[:-1])
@@ -134,21 +150,33 @@ def _find_runs(window: int, anchor: int, bitmap, bits: int):
                 sizes = np.diff(np.append(first, len(at)))
                 if sizes.max() > RUN:  # long runs (periodic texts) go in pieces
                     first = np.concatenate([np.arange(f, f + s, RUN) for f, s in zip(first, sizes, strict=True)])
+                    sizes = np.diff(np.append(first, len(at)))
+                place = np.arange(len(at)) - np.repeat(first, sizes)
+                ids = rolling.mix(np.add.reduceat(rolling.mix(hashes + place.astype(np.uint64)), first) + sizes.astype(np.uint64)).view(np.int64)
+                anchors = least[at[first]].view(np.int64)
+                for i, n, f, k in zip(ids.tolist(), anchors.tolist(), first.tolist(), sizes.tolist(), strict=True):
+                    known = held.get(i)
+                    if known:
+                        known[1] += 1
+                    else:
+                        held[i] = [n, 1, hashes[f : f + k].view(np.int64).copy()]
                 of = text[first]
+                none = pa.nulls(len(first), pa.list_(pa.int64()))
                 yield pa.record_batch(
-                    [
-                        pa.array(keys[0][a:b][of]),
-                        pa.array(keys[1][a:b][of]),
-                        pa.array((at[first] - offsets[of]).astype(np.int32)),
-                        pa.array(least[at[first]].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(hashes)),
-                    ],
-                    names=["d1", "d2", "start", "anchor", "windows"],
+                    [pa.array(keys[0][a:b][of]), pa.array(keys[1][a:b][of]), pa.array((at[first] - offsets[of]).astype(np.int32)), pa.array(anchors), pa.array(ids), pa.nulls(len(first), pa.int64()), none],
+                    names=RUNS,
                 )
+                if len(held) > 200_000:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
+RUNS = ["d1", "d2", "start", "anchor", "run", "n", "windows"]
+
+
 def removal_masks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Per distinct text with repeated windows: d1, d2 (hashes of the text) and marks,
     array<struct<start, mask>>: bit i of mask tells that the window at word start + i is
@@ -165,17 +193,18 @@ def removal_masks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
         shared.map_arrow(
             docs.select("text", F.xxhash64("text").alias("d1"), F.hash("text").cast("long").alias("d2")),
             _find_runs(window, anchor, marks, bits),
-            "d1 long, d2 long, start int, anchor long, windows array<long>",
-        ).withColumn("run", F.xxhash64("windows")),
+            "d1 long, d2 long, start int, anchor long, run long, n long, windows array<long>",
+        ),
         "dedup-runs",
     )
-    distinct = runs.groupBy("anchor", "run", "windows").agg(F.count("*").alias("n"))
-    each = shared.table(distinct.select("anchor", "run", "n", F.posexplode("windows").alias("i", "window")), "dedup-windows")
-    counted = each.groupBy("anchor", "window").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", "window")
-    # runs of one anchor are told apart by the hash of their windows
-    masks = each.join(counted, ["anchor", "window"], "left_semi").groupBy("anchor", "run").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
+    # dealt by anchor once, the sums by run and by window and the masks need no other shuffle
+    distinct = runs.filter("windows IS NOT NULL").select("anchor", "run", "n", "windows").repartition("anchor").groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"))
+    each = distinct.select("anchor", "run", "n", F.posexplode("windows").alias("i", "window"))
+    counted = each.withColumn("total", F.sum("n").over(Window.partitionBy("anchor", "window")))
+    masks = counted.filter("total > 1").groupBy("anchor", "run").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
     return (
-        runs.select("d1", "d2", "start", "anchor", "run")
+        runs.filter("windows IS NULL")
+        .select("d1", "d2", "start", "anchor", "run")
         .join(masks, ["anchor", "run"])
         .select("d1", "d2", "start", "mask")
         .distinct()
