@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprint, html_text, jaccard_join, mixing, substring_dedup, toxicity, url_rules
+from . import chat_format, decontaminate, fingerprint, html_text, jaccard_join, lm_score, mixing, substring_dedup, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": fingerprint.op1_fingerprints,
         "op2_url_filters": url_rules.op2_url_filters,
+        "op3_lm_scoring": lm_score.op3_lm_scoring,
         "op4_html_extraction": html_text.op4_html_extraction,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op6_chat_formatting": chat_format.op6_chat_formatting,
