@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark import packaging
 from rillmark.functions import hashing
 from rillmark.functions import text as T
 
@@ -73,6 +74,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = N
     Each batch of rows passes on at most k rows a query, so what is shuffled does not grow
     with all pairs.  With ``group``, only rows of the query's group count."""
     spark = corpus.sparkSession
+    packaging.send(spark)
     cols = [group] if group else []
     out = None
     numbered = queries.select("query_id", "embedding", *cols).orderBy("query_id")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillmark import packaging
 from rillmark.functions import hashing
 from rillmark.functions import text as T
 
@@ -105,6 +106,8 @@ def chunks(fragments: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, sepa
     """fragment rows with chunk_index, chunk_id and the chunk's text.  Only texts beyond
     the size go through Python, in Arrow batches; the rest stays in the JVM."""
 
+    packaging.send(fragments.sparkSession)
+
     @F.pandas_udf("array<string>")
     def parts(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in series:

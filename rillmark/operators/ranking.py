@@ -46,7 +46,7 @@ def exact_lookup(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
     ref = F.concat(F.lit("§ "), "paragraph")
     named = (text == ref) | F.startswith(text, F.concat(ref, F.lit(" ")))
     # a boundary after the number: § 5 is not named by § 52
-    crossed = text.rlike(F.concat(F.lit("\\Q"), ref, F.lit("\\E(?![0-9a-zA-Z])"))) & ~named
+    crossed = F.rlike(text, F.concat(F.lit("\\Q"), ref, F.lit("\\E(?![0-9a-zA-Z])"))) & ~named
     short = (F.length(text) < 60) & (F.regexp_count(text, F.lit(r"(?U)\w+")) <= 7) & ~text.rlike("[0-9]") & ~text.rlike("[.;]")
     number = T.fragment_number(F.col("fragment_id"))
     rows = by_law.select("query_id", *chunks.columns).unionByName(any_law.select("query_id", *chunks.columns)).distinct()

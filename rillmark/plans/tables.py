@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillmark import packaging
 from rillmark.operators import dense, lexical
 
 #: Vector size of the registered hash embeddings, and hits of a registered search.
@@ -12,6 +13,7 @@ DIM, HITS = 64, 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    packaging.send(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
