@@ -10,7 +10,10 @@ Groups are the components of all links.  Not all pairs are made: a prefix shingl
 picks pivots, every other member is compared with them, and a bucket closes once its
 members are known to be connected, or each has been a pivot.  The number of pivots grows
 fourfold each round, so buckets of documents that do not link end after a few rounds, and
-a bucket of n near copies costs about n comparisons.
+a bucket of n near copies costs about n comparisons.  A pair's sketches, counts of shingles by their
+low bits, bound the intersection from above, so that few pairs need their texts.  A bucket
+need only find pairs whose first common shingle it is, so what a set has before it in the
+order counts as not shared; this ends the search among near copies that do not link.
 
 Scale: documents with equal sets are one class from the start (map-side sums), so a group
 of exact copies is one row.  The order needs no exact counts: shingles met twice within a
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rolling, shared
@@ -79,9 +82,13 @@ def _frequent(k: int):
         size = 0
 
         def flush() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
+            first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+            counts = np.diff(np.append(first, len(values)))
             often = counts > 1
-            return pa.record_batch([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["shingle", "n"])
+            return pa.record_batch([pa.array(values[first[often]].view(np.int64)), pa.array(counts[often].astype(np.int64))], names=["shingle", "n"])
 
         for batch in batches:
             for s in shingle_sets(_binary(batch.column(0)), k):
@@ -89,7 +96,7 @@ def _frequent(k: int):
                 size += len(s)
                 if size >= HELD:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield flush()
 
@@ -97,7 +104,7 @@ def _frequent(k: int):
 
 
 def prefix_of(shingles: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, float]:
-    """The prefix, its multi-match m and the mean count of its shingles."""
+    """The prefix, in order, its multi-match m and the mean count of its shingles."""
     n = len(shingles)
     order = np.lexsort((shingles, counts))
     least = -(-n * num // den)
@@ -112,6 +119,38 @@ def prefix_of(shingles: np.ndarray, counts: np.ndarray, num: int, den: int) -> t
     return shingles[order[:size]], m, float(counts[order[:size]].mean())
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Counts of the shingles by their low bits, in half as many places as shingles or
+    fewer, a power of two.  The sum of the lesser counts of two sets, in the places of the
+    coarser one, is at least their intersection."""
+    places = 1 << max(4, (len(shingles) // 2).bit_length())
+    counts = np.bincount((shingles & rolling.U(places - 1)).astype(np.int64), minlength=places)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def most_common(a: bytes, b: bytes) -> int:
+    """At least the intersection of two sets, by their sketches."""
+    x, y = np.frombuffer(a, dtype=np.uint8).astype(np.int64), np.frombuffer(b, dtype=np.uint8).astype(np.int64)
+    if x.max() == 255 or y.max() == 255:  # a count may be larger
+        return 1 << 62
+    places = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, places).sum(axis=0), y.reshape(-1, places).sum(axis=0)).sum())
+
+
+def _may_link(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n_u, n_v, a, b = (batch.column(i).to_pylist() for i in range(6))
+            take = []
+            for i in range(len(u)):
+                both = most_common(a[i], b[i])
+                if (den + num) * both >= num * (n_u[i] + n_v[i]):
+                    take.append(i)
+            yield batch.select([0, 1]).take(pa.array(take, pa.int64()))
+
+    return run
+
+
 def _prefixes(k: int, num: int, den: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, often = hot.value
@@ -119,7 +158,7 @@ def _prefixes(k: int, num: int, den: int, hot):
             rows: list[tuple] = []
             for s in shingle_sets(_binary(batch.column(1)), k):
                 if not len(s):
-                    rows.append((0, 0, 0, 0, 0.0, []))
+                    rows.append((0, 0, 0, 0, 0.0, [], b""))
                     continue
                 counts = np.zeros(len(s), dtype=np.int64)
                 if len(frequent):
@@ -128,11 +167,11 @@ def _prefixes(k: int, num: int, den: int, hot):
                     counts[known] = often[at[known]]
                 prefix, m, typical = prefix_of(s, counts, num, den)
                 one, two = rolling.mix(s).sum(), rolling.mix(s ^ rolling.U(0xA5A5A5A5A5A5A5A5)).sum()
-                rows.append((len(s), int(one.view(np.int64)), int(two.view(np.int64)), m, typical, prefix.view(np.int64)))
-            n, s1, s2, m, typical, prefix = zip(*rows, strict=True) if rows else ((),) * 6
+                rows.append((len(s), int(one.view(np.int64)), int(two.view(np.int64)), m, typical, prefix.view(np.int64), sketch_of(s)))
+            n, s1, s2, m, typical, prefix, sketch = zip(*rows, strict=True) if rows else ((),) * 7
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(m, pa.int32()), pa.array(typical, pa.float64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "s1", "s2", "m", "typical", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(m, pa.int32()), pa.array(typical, pa.float64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                names=["doc_id", "n", "s1", "s2", "m", "typical", "prefix", "sketch"],
             )
 
     return run
@@ -184,69 +223,100 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     order = np.argsort(values)
     known = spark.sparkContext.broadcast((values[order], hot.column("n").to_numpy()[order]))
     sets = shared.table(
-        shared.map_arrow(texts, _prefixes(k, num, den, known), "doc_id long, n long, s1 long, s2 long, m int, typical double, prefix array<long>"),
+        shared.map_arrow(texts, _prefixes(k, num, den, known), "doc_id long, n long, s1 long, s2 long, m int, typical double, prefix array<long>, sketch binary"),
         "join-sets",
     )
-    classes = shared.table(
-        sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("m").alias("m"), F.first("typical").alias("typical"), F.first("prefix").alias("prefix")),
-        "join-classes",
-    )
-    labels = _link(texts, classes.filter("rep IS NOT NULL"), k, num, den)
-    ids = classes.select("n", "s1", "s2", "rep")
+    ids = sets.select("doc_id", "n", "s1", "s2")
+    classes = shared.table(ids.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "join-classes")
+    # the few rows that repeat a set are left out; what stands for a class does not move
+    copies = ids.join(classes, ["n", "s1", "s2"]).filter("doc_id != rep").select("doc_id").distinct()
+    copies = shared.table(copies, "join-copies")
+    reps = sets.filter("n > 0 AND doc_id IS NOT NULL").join(_few(copies), "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
+    labels = _link(texts, reps, k, num, den)
+    named = classes
     if labels is not None:
-        ids = ids.join(labels, ids.rep == labels.node, "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("rep"))
-    return sets.select("doc_id", "n", "s1", "s2").join(ids, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
+        named = classes.join(labels, classes.rep == labels.node, "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("rep"))
+    return ids.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
+
 
+def _few(table: DataFrame) -> DataFrame:
+    """Broadcast a stored table of ids where it is counted to be small."""
+    return F.broadcast(table) if table.count() <= FEW_PAIRS else table
 
-def _link(texts: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+
+def _link(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
     """node and label of the class representatives that link."""
-    postings = classes.select(F.explode("prefix").alias("shingle"), "rep", "typical").repartition("shingle")
-    shared_by = postings.groupBy("shingle").agg(F.count("*").alias("of")).filter("of > 1").select("shingle")
-    buckets = shared.table(postings.join(shared_by, "shingle", "left_semi").withColumn("label", F.col("rep")), "join-buckets")
+    # a pair that links shares one of the first n - ceil(s n) + 1; later ones serve the match
+    first = F.col("n") - F.ceil(F.col("n") * num / den).cast("long") + 1
+    postings = reps.select(F.posexplode(F.slice("prefix", F.lit(1), first.cast("int"))).alias("at", "shingle"), "rep").select("shingle", "rep", "at").repartition("shingle")
+    counted = postings.groupBy("shingle").agg(F.count("*").alias("of")).filter("of > 1").select("shingle")
+    met = postings.join(counted, "shingle", "left_semi").withColumnRenamed("rep", "met")
+    buckets = shared.table(met.join(reps.select("rep", "n", "typical"), F.col("met") == F.col("rep")).select("shingle", "rep", "n", "typical", F.col("at").alias("lack"), F.col("rep").alias("label")), "join-buckets")
+    buckets = shared.table(_alive(buckets, num, den), "join-buckets")
     links = labels = None
     pivots = 1
     while not buckets.isEmpty():
         chosen = shared.table(
             buckets.groupBy("shingle", F.pmod(F.xxhash64("rep"), F.lit(pivots)).alias("part"))
-            .agg(F.max(F.struct("typical", (-F.col("rep")).alias("minus"), "label")).alias("p"))
-            .select("shingle", (-F.col("p.minus")).alias("pivot"), F.col("p.label").alias("pivot_label")),
+            .agg(F.max(F.struct("typical", (-F.col("rep")).alias("minus"), "n", "label", "lack")).alias("p"))
+            .select("shingle", (-F.col("p.minus")).alias("pivot"), *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("n", "label", "lack")]),
             "join-pivots",
         )
-        pairs = chosen.join(buckets, "shingle").filter("label != pivot_label").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
-        found = _verified(texts, classes, pairs, k, num, den)
+        pairs = (
+            chosen.join(buckets, "shingle")
+            .filter("label != pivot_label")
+            .filter((den + num) * _most_shared() >= num * (F.col("n") + F.col("pivot_n")))
+            .select(F.col("pivot").alias("u"), F.col("rep").alias("v"))
+            .distinct()
+        )
+        found = _verified(texts, reps, pairs, k, num, den)
         if found is not None:
             links = found if links is None else shared.table(links.unionByName(found), "join-links")
             labels = components(links)
         rest = buckets.join(chosen.select("shingle", F.col("pivot").alias("rep")), ["shingle", "rep"], "left_anti")
         if labels is not None:
-            rest = rest.drop("label").join(labels, rest.rep == labels.node, "left").select("shingle", "rep", "typical", F.coalesce("label", "rep").alias("label"))
+            rest = rest.drop("label").join(labels, rest.rep == labels.node, "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
         mixed = rest.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("shingle")
-        buckets = shared.table(rest.join(mixed, "shingle", "left_semi"), "join-buckets")
+        buckets = shared.table(_alive(rest.join(mixed, "shingle", "left_semi"), num, den), "join-buckets")
         pivots *= 4
     return labels
 
 
-def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+def _most_shared() -> Column:
+    """A bound of the intersection of a pair that a bucket must find: one for which its
+    shingle is the first that both have.  What either has before it is not shared."""
+    return F.least(F.col("n") - F.col("lack"), F.col("pivot_n") - F.col("pivot_lack"))
+
+
+def _alive(buckets: DataFrame, num: int, den: int) -> DataFrame:
+    """Without the rows that have too many shingles before the bucket's to link there with
+    any set as large as the bucket's least."""
+    per = buckets.groupBy("shingle").agg(F.min("n").alias("least"))
+    dead = (den + num) * (F.col("n") - F.col("lack")) < num * (F.col("n") + F.col("least"))
+    return buckets.join(per, "shingle").filter(~dead).drop("least")
+
+
+def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
     """The pairs (pivot u, other v) that link, or None if there are none."""
+    pairs = shared.table(pairs, "join-met")
 
     def side(c: str) -> DataFrame:
-        return classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("m").alias(f"m_{c}"), F.col("prefix").alias(f"prefix_{c}"))
+        ids = shared.table(pairs.select(F.col(c).alias("rep")).distinct(), "join-side")
+        return reps.join(_few(ids), "rep", "left_semi").select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("m").alias(f"m_{c}"), F.col("prefix").alias(f"prefix_{c}"), F.col("sketch").alias(f"sketch_{c}"))
 
-    candidates = shared.table(
+    matched = (
         pairs.join(side("u"), "u")
         .join(side("v"), "v")
-        .filter(F.least("n_u", "n_v") * den >= F.greatest("n_u", "n_v") * num)
         .filter(F.size(F.array_intersect("prefix_u", "prefix_v")) >= F.least("m_u", "m_v"))
-        .select("u", "v"),
-        "join-pairs",
+        .select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
     )
-    n = candidates.count()
-    if not n:
+    candidates = shared.table(shared.map_arrow(matched, _may_link(num, den), "u long, v long"), "join-pairs")
+    if candidates.isEmpty():
         return None
-    few = F.broadcast if n <= FEW_PAIRS else (lambda x: x)
     # a doc_id may be on several rows: any of them stands for its class
-    v_texts = texts.join(few(candidates), texts.doc_id == candidates.v).select("u", "v", F.col("text").alias("text_v"))
-    u_texts = texts.join(few(candidates.select("u").distinct()), texts.doc_id == F.col("u")).select("u", F.col("text").alias("text_u"))
+    v_texts = texts.join(_few(candidates), texts.doc_id == candidates.v).select("u", "v", F.col("text").alias("text_v"))
+    u_ids = shared.table(candidates.select("u").distinct(), "join-side")
+    u_texts = texts.join(_few(u_ids), texts.doc_id == u_ids.u).select("u", F.col("text").alias("text_u"))
     rows = v_texts.join(u_texts, "u").select("u", "v", "text_v", "text_u")
     found = shared.table(shared.map_arrow(rows, _verify(k, num, den), "u long, v long").distinct(), "join-links")
     return None if found.isEmpty() else found
