@@ -17,14 +17,12 @@ documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rillmark.llm import decontaminate, jaccard_join, mixing, shared, substring_dedup, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    return toxicity.score(docs, toxicity.trained(spark, docs, sf_dir)).filter(F.col("score") < toxicity.THRESHOLD).select(*names)
+    return toxicity.keep_clean(docs, toxicity.trained(spark, docs, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

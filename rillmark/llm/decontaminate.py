@@ -259,11 +259,11 @@ def _cut_words(text: bytes, spans: list[dict]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: bool = False, span: int = WINDOW) -> DataFrame:
     """The documents without the contaminated ones; with ``cut``, all documents without
     hit spans of at least ``span`` words.  Columns stay those of ``docs``."""
-    hits = find_hits(docs, benchmark)
-    names = docs.columns
+    renamed, back = shared.aside(docs, RESULT)
+    hits, names = find_hits(renamed, benchmark), renamed.columns
     if not cut:
-        return hits.filter(~contaminated()).select(*names)
-    return hits.select(*names, "spans").mapInArrow(_without_spans(span, names), docs.schema)
+        return hits.filter(~contaminated()).select(*names).withColumnsRenamed(back)
+    return hits.select(*names, "spans").mapInArrow(_without_spans(span, names), renamed.schema).withColumnsRenamed(back)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ paired with the neighbour of its host whose path is nearest (the longer common b
 the lines of both are aligned by longest common subsequence, and shared lines are deleted.
 Lines inside an article or main element are the page's own by its markup and stay: two
 pages may well carry the same article.  A page that shares all its lines with a neighbour
-is its copy, which tells nothing, so the other neighbour is asked, or all lines stay.
+is its copy, which tells nothing, so the other neighbour is asked, or all lines stay
+(also those that the site repeats).
 
 Scale: the html moves once.  Pages are dealt to blocks of the order, with bounds from a
 sample of at most SAMPLE keys, so a host with a third of all pages is many blocks; the

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillmark import packaging
+
 #: Word patterns of the contracts, for Java and for Python.
 WORD = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,6 +54,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     with ``drop_tables``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rillmark/{name}-{uuid.uuid4().hex}"
+    packaging.send(spark)
     df.write.parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
@@ -83,10 +86,20 @@ def small_batches(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with bounded batches."""
     small_batches(df.sparkSession)
+    packaging.send(df.sparkSession)
     return df.mapInArrow(f, schema)
 
 
+def aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the columns that clash with ``names`` (in any case) renamed, and the
+    renaming that puts them back."""
+    wanted = {n.lower() for n in names}
+    moved = {c: f"_kept_{i}" for i, c in enumerate(df.columns) if c.lower() in wanted}
+    return df.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    packaging.send(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

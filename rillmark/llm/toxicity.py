@@ -3,9 +3,9 @@
 Features are the words of a text and the beginnings of its words, lower-cased, as present
 or absent.  Those that mark toxic texts are chosen by their likelihood ratio; a logistic
 regression over them is fitted on labelled texts.  For every labelled text that names a
-group of people, the identity term is swapped for others of its kind, and the loss adds
-the squared change of the score between the text and its swapped twin.  The words around a
-neutral mention then carry the score, not the mention.
+group of people, the identity term is swapped for each other of its kind, and left out, and
+the loss adds the squared change of the score between the text and these twins.  The words
+around a neutral mention then carry the score, not the mention.
 
 Bounds: the fit uses at most SAMPLE labelled texts of either class, those whose hashed ids
 come first, and MOST_FEATURES features.  Only their ids and feature numbers reach the
@@ -20,7 +20,6 @@ passed on.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,8 +54,6 @@ IDENTITY = (
     ("mujeres", "hombres", "musulmanes", "cristianos", "judíos", "extranjeros", "españoles"),
 )
 _KIND = {t.encode(): [x.encode() for x in kind if x != t] for kind in IDENTITY for t in kind}
-#: Swapped twins of a text.
-TWINS = 3
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -133,9 +130,9 @@ def _designed(features: dict[bytes, int]):
                 words = words_of(t)
                 own.append(numbers(words))
                 named = sorted(w for w in words if w in _KIND)
-                mine = []
-                for k in range(TWINS if named else 0):
-                    swap = {w: _KIND[w][(hashlib.md5(w + bytes([k])).digest()[0] + k) % len(_KIND[w])] for w in named}
+                mine = [numbers(words - set(named))] if named else []
+                for k in range(max((len(_KIND[w]) for w in named), default=0)):
+                    swap = {w: _KIND[w][k % len(_KIND[w])] for w in named}
                     mine.append(numbers({swap.get(w, w) for w in words}))
                 twins.append(mine)
             yield pa.record_batch([batch.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(twins, pa.list_(pa.list_(pa.int32())))], names=["toxic", "own", "twins"])
@@ -233,6 +230,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return shared.map_arrow(docs, _score(known, docs.columns), f"{schema}, score double")
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with their columns."""
+    renamed, back = shared.aside(docs, ("score",))
+    return score(renamed, model).filter(F.col("score") < threshold).select(*renamed.columns).withColumnsRenamed(back)
+
+
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """The model of the contract: labels of the fold 2 of 4 are held out."""
     return train(docs, shared.read(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 4) != 2))
