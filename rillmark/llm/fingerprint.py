@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,72 +36,87 @@ from . import shared
 from .rolling import U, mix
 
 SAMPLES = 128
-#: Word rows kept in a worker: SAMPLES floats and hashes each, about 50 MB.
-KEPT = 40_000
+#: Word rows kept in a worker, SAMPLES longs each: about 100 MB.
+KEPT = 100_000
 #: Documents in a block of the doc_id order, and blocks at most.
 BLOCK_ROWS, MOST_BLOCKS = 4_000, 1 << 16
 
-_SEEDS = mix(np.arange(1, 5 * SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)).reshape(5, 1, SAMPLES)
+_SEEDS = (mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32).reshape(2, 1, SAMPLES)
 #: The fingerprint of a text without words.
 EMPTY = "-"
 
 
-def _draws(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Value and 16-bit mark of every word (rows) in every sample."""
-    u = (mix(hashes[None, :, None] ^ _SEEDS) >> U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
-    r = -np.log(u[0] * u[1])
-    log_c = np.log(-np.log(u[2] * u[3]))
-    t = np.floor(np.log(counts)[:, None] / r + u[4])
-    value = log_c - r * (t - u[4]) - r
-    mark = mix(hashes[:, None] ^ (t.astype(np.int64).view(np.uint64) * U(0xD1B54A32D192ED03)) ^ _SEEDS[0]) >> U(48)
-    return value.astype(np.float32), mark.astype(np.uint16)
+def _gamma_quantiles() -> np.ndarray:
+    """Gamma(2, 1) at the middles of 65,536 equal shares, by halving: its distribution
+    function is 1 - (1 + x) exp(-x)."""
+    p = (np.arange(65_536) + 0.5) / 65_536
+    low, high = np.zeros(65_536), np.full(65_536, 64.0)
+    for _ in range(60):
+        x = (low + high) / 2
+        below = 1 - (1 + x) * np.exp(-x) < p
+        low, high = np.where(below, x, low), np.where(below, high, x)
+    return (low + high) / 2
+
+
+GAMMA = _gamma_quantiles().astype(np.float32)
+LOG_GAMMA = np.log(GAMMA)
+
+
+def _draws(hashes: np.ndarray) -> np.ndarray:
+    """Two random 32-bit numbers for every word and sample (2 x words x SAMPLES)."""
+    low, high = hashes.astype(np.uint32)[:, None], (hashes >> U(32)).astype(np.uint32)[:, None]
+    x = (_SEEDS ^ low) * np.uint32(0xCC9E2D51)
+    x ^= x >> np.uint32(15)
+    x += high
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def _rows(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For every word (rows) and sample one integer: above, the value in an order-keeping
+    form; in the last 16 bits, the mark of the word and its t."""
+    x, y = _draws(hashes)
+    r, log_c = GAMMA[x & np.uint32(0xFFFF)], LOG_GAMMA[x >> np.uint32(16)]
+    b = (y & np.uint32(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
+    t = np.floor(np.log(counts.astype(np.float32))[:, None] / r + b)
+    value = (log_c - r * (t - b) - r).view(np.int32)
+    order = value ^ ((value >> np.int32(31)) & np.int32(0x7FFFFFFF))
+    mark = ((y + t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)) >> np.uint32(16)
+    return (order.astype(np.int64) << 16) | mark
 
 
 class Sampler:
-    """Fingerprints of texts; keeps the rows of recent words."""
+    """Fingerprints of texts; keeps the rows of words and counts met lately."""
 
     def __init__(self, kept: int = KEPT) -> None:
-        self.values = np.empty((kept, SAMPLES), dtype=np.float32)
-        self.marks = np.empty((kept, SAMPLES), dtype=np.uint16)
-        self.place: dict[tuple[bytes, int], int] = {}
         self.kept = kept
+        self.rows = np.empty((kept, SAMPLES), dtype=np.int64)
+        self.place: dict[tuple[bytes, int], int] = {}
 
     def signature(self, text: bytes) -> np.ndarray | None:
-        words = Counter(text.split())
-        if not words:
-            return None
-        # in sorted order, so that equal values are told apart alike everywhere
-        pairs = sorted(words.items())
-        best, mark = None, None
-        for at in range(0, len(pairs), self.kept // 4):
-            part = pairs[at : at + self.kept // 4]
-            rows = self._rows(part)
-            values = self.values[rows]
-            least = values.argmin(axis=0)
-            value = values[least, np.arange(SAMPLES)]
-            found = self.marks[rows[least], np.arange(SAMPLES)]
-            if best is None:
-                best, mark = value, found
-            else:
-                mark = np.where(value < best, found, mark)
-                best = np.minimum(value, best)
-        return mark
-
-    def _rows(self, pairs: list[tuple[bytes, int]]) -> np.ndarray:
-        rows = [self.place.get(p, -1) for p in pairs]
-        missing = [i for i, r in enumerate(rows) if r < 0]
+        pairs = list(Counter(text.split()).items())
+        least = [np.minimum.reduce(self.rows[self._places(pairs[at : at + self.kept // 4])], axis=0) for at in range(0, len(pairs), self.kept // 4)]
+        return (np.minimum.reduce(least) & 0xFFFF).astype(np.uint16) if pairs else None
+
+    def _places(self, pairs: list[tuple[bytes, int]]) -> list[int]:
+        places = list(map(self.place.get, pairs))
+        missing = [i for i, r in enumerate(places) if r is None]
         if len(self.place) + len(missing) > self.kept:
             self.place.clear()
-            rows, missing = [-1] * len(pairs), list(range(len(pairs)))
-        if missing:
-            hashes = np.array([int.from_bytes(hashlib.blake2b(pairs[i][0], digest_size=8).digest(), "little") for i in missing], dtype=np.uint64)
+            places, missing = [None] * len(pairs), list(range(len(pairs)))
+        for a in range(0, len(missing), 1000):
+            part = missing[a : a + 1000]
+            hashes = np.array([xxhash.xxh3_64_intdigest(pairs[i][0]) for i in part], dtype=np.uint64)
             start = len(self.place)
-            for a in range(0, len(missing), 1000):
-                b = min(a + 1000, len(missing))
-                self.values[start + a : start + b], self.marks[start + a : start + b] = _draws(hashes[a:b], np.array([pairs[i][1] for i in missing[a:b]], dtype=np.float64))
-            for k, i in enumerate(missing):
-                rows[i] = self.place[pairs[i]] = start + k
-        return np.array(rows)
+            self.rows[start : start + len(part)] = _rows(hashes, np.array([pairs[i][1] for i in part]))
+            self.place.update(zip([pairs[i] for i in part], range(start, start + len(part)), strict=True))
+            for k, i in enumerate(part, start):
+                places[i] = k
+        return places
 
 
 _sampler: list[Sampler] = []
