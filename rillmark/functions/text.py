@@ -214,12 +214,12 @@ def first_sentence(c: Column) -> Column:
 
 def facts(c: Column) -> Column:
     """Up to five statements, split at full stops, semicolons and lines."""
-    parts = F.filter(F.transform(F.split(c, r"[.;]\s+|\n+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(c, r"[.;]\s+|\n+"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.size(parts) > 0, F.slice(parts, 1, 5)).otherwise(F.array(F.trim(c)))
 
 
 def sentences(c: Column, at_least: int = 30) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: F.length(s) >= at_least)
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= at_least)
 
 
 def strip_tags(c: Column) -> Column:
