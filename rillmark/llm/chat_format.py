@@ -20,6 +20,8 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +50,30 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(BEGIN + ROLE), role, F.lit(TEXT), text, F.lit(END))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body and its lambdas
+    name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse(formatted: Column) -> Column:
     """The turns of a formatted text, array<struct<role, text>>; null where the control
     strings do not follow the grammar."""
-    tokens = F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0))
-    pieces = F.split(formatted, CONTROL)
-    n = F.size(tokens)
-    right = (n % 4 == 0) & (F.array_join(tokens, "") == F.repeat(F.lit(BEGIN + ROLE + TEXT + END), (n / 4).cast("int")))
-    turns = F.transform(
-        F.sequence(F.lit(0), (n / 4).cast("int") - 1),
-        lambda i: F.struct(
-            F.get(pieces, i * 4 + 2).alias("raw_role"), F.get(pieces, i * 4 + 3).alias("raw_text"), (F.get(pieces, i * 4) == "").alias("clean"), (F.get(pieces, i * 4 + 1) == "").alias("clear")
-        ),
-    )
-    read = F.transform(turns, lambda t: F.struct(unescape(t["raw_role"]).alias("role"), unescape(t["raw_text"]).alias("text")))
-    return F.when(n == 0, F.when(formatted == "", F.array().cast("array<struct<role:string,text:string>>"))).when(right & F.forall(turns, lambda t: t["clean"] & t["clear"]) & (F.get(pieces, n) == ""), read)
+    found = F.struct(F.regexp_extract_all(formatted, F.lit(CONTROL), F.lit(0)).alias("tokens"), F.split(formatted, CONTROL).alias("pieces"))
+
+    def read(x: Column) -> Column:
+        tokens, pieces = x["tokens"], x["pieces"]
+        n = F.size(tokens)
+        turns = F.transform(
+            F.sequence(F.lit(0), (n / 4).cast("int") - 1),
+            lambda i: F.struct(((F.get(pieces, i * 4) == "") & (F.get(pieces, i * 4 + 1) == "")).alias("clean"), unescape(F.get(pieces, i * 4 + 2)).alias("role"), unescape(F.get(pieces, i * 4 + 3)).alias("text")),
+        )
+        right = (n % 4 == 0) & (F.array_join(tokens, "") == F.repeat(F.lit(BEGIN + ROLE + TEXT + END), (n / 4).cast("int"))) & (F.get(pieces, n) == "")
+        none = F.when(F.get(pieces, F.lit(0)) == "", F.array().cast("array<struct<role:string,text:string>>"))
+        kept = F.when(right, let(turns, lambda t: F.when(F.forall(t, lambda y: y["clean"]), F.transform(t, lambda y: F.struct(y["role"].alias("role"), y["text"].alias("text"))))))
+        return F.when(n == 0, none).otherwise(kept)
+
+    return let(found, read)
 
 
 def render_turns(turns: DataFrame) -> DataFrame:
