@@ -42,12 +42,11 @@ def semantic_lookup(requests: DataFrame, entries: DataFrame, threshold: float =
     e = entries.select(F.col("cache_key").alias("entry_key"), F.col("embedding").alias("_e"), *[F.col(t).alias(f"_{t}") for t in shared])
     pairs = requests.join(e, [F.col(t).eqNullSafe(F.col(f"_{t}")) for t in shared])
     similar = pairs.withColumn("similarity", F.round(F.greatest(F.lit(0.0), V.cosine(F.col("embedding"), F.col("_e"))), 6)).filter(F.col("similarity") >= threshold)
-    best = similar.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("entry_key")).alias("k"))).alias("b")) if dict(e.dtypes)["entry_key"] in ("bigint", "int") else similar.groupBy("query_id").agg(F.max(F.struct("similarity", F.col("entry_key").alias("k"))).alias("b"))
-    key = -F.col("b.k") if dict(e.dtypes)["entry_key"] in ("bigint", "int") else F.col("b.k")
-    return best.select("query_id", key.alias("entry_key"), F.col("b.similarity").alias("similarity"))
+    best = similar.groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "entry_key")).alias("b"))
+    return best.select("query_id", F.col("b.entry_key").alias("entry_key"), (-F.col("b.minus")).alias("similarity"))
 
 
-def may_store(rows: DataFrame) -> Column:
+def may_store() -> Column:
     """What the semantic cache keeps: answers without a model, not strategies, with domain."""
     return ~F.col("use_llm") & (F.col("query_type") != "strategy") & (F.col("response_type") != "strategy_answer") & F.col("request_domain").isNotNull()
 

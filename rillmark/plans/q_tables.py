@@ -249,6 +249,13 @@ def answer_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return search.answer(corpus(spark, d).withColumn("source", F.col("law_iri")), queries(spark, d).select("query_id", "query"), top_k=5, dimension=DIM)
 
 
+@query()
+def strategy_chain(spark: SparkSession, d: str) -> DataFrame:
+    c = corpus(spark, d).withColumn("source", F.col("law_iri"))
+    asked = queries(spark, d).select("query_id", "query", F.lit(None).cast("string").alias("case_id"), F.array().cast("array<string>").alias("document_ids"))
+    return search.strategy(c.filter("country = 'en'"), c.filter("country != 'en'"), asked, ("contract", "filing"), dimension=DIM)
+
+
 @query()
 def ingest_corpus(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("fragment_id"), F.col("source").alias("law_iri"), "text", F.col("doc_id").alias("pos"))

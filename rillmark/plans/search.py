@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.operators import answers, dense, fusion, ingest, lexical, planning, ranking, understanding
+from rillmark.functions import text as T
+from rillmark.operators import answers, cache, dense, fusion, ingest, lexical, planning, ranking, understanding
 from rillmark.sources.work import stored
 
 
@@ -66,7 +67,9 @@ def hybrid(corpus: DataFrame, requests: DataFrame, top_k: int = 5, dimension: in
 
     ``corpus`` has chunk_id, law_iri, filename, text, chunk_index, and may have fragment_id
     and paragraph; ``requests`` query_id and query."""
-    planned = planning.build(understanding.understand(requests.filter(F.trim("query") != "")).withColumn("top_k", F.lit(top_k)))
+    bare = requests.filter(T.is_bare_paragraph(F.col("query")))
+    clear = requests.filter((F.trim("query") != "") & ~T.is_bare_paragraph(F.col("query")))
+    planned = planning.build(understanding.understand(clear).withColumn("top_k", F.lit(top_k)))
     # the plan's columns are long expressions and each stage reads them: stored once
     planned = stored(planned, "planned")
     valid = stored(ranking.validate(retrieve(corpus, planned, dimension)), "valid")
@@ -84,7 +87,14 @@ def hybrid(corpus: DataFrame, requests: DataFrame, top_k: int = 5, dimension: in
     off = answers.system_row(gate, "irrelevant_query")
     none = answers.system_row(planned.join(gate, "query_id", "left_anti").join(relevant, "query_id", "left_anti"), "no_result")
     system = off.unionByName(none).select("query_id", F.lit(1).alias("rank"), "chunk_id", F.lit("").alias("law_iri"), F.lit("").alias("filename"), "text", "score")
-    return shown.unionByName(system)
+    return shown.unionByName(system).unionByName(_clarified(bare, top_k))
+
+
+def _clarified(bare: DataFrame, top_k: int) -> DataFrame:
+    """A paragraph without a law is answered by a question and suggestions."""
+    asked = bare.select("query_id", F.regexp_extract("query", "([0-9]+[a-zA-Z]*)", 1).alias("paragraph"), F.lit(None).cast("string").alias("hint"))
+    name = F.when(F.col("document_id") == "", "Upřesnění dotazu").otherwise(T.iri_to_filename(F.col("document_id")))
+    return answers.clarification(asked, top_k).select("query_id", (F.col("pos") + 1).alias("rank"), "chunk_id", F.col("document_id").alias("law_iri"), name.alias("filename"), "text", "score")
 
 
 def generic(corpus: DataFrame, requests: DataFrame, top_k: int = 5, dimension: int = dense.DIMENSION) -> DataFrame:
@@ -103,3 +113,51 @@ def answer(corpus: DataFrame, requests: DataFrame, top_k: int = 5, dimension: in
     decided = answers.gate(context.join(fusion.features(ranked, top_k), "query_id", "left"))
     rows = decided.join(answers.payload(results), "query_id", "left").join(answers.deterministic_answer(results), "query_id", "left")
     return rows.select("query_id", "query_type", "jurisdiction", "level", "use_llm", "response_type", "reason_codes", "confidence", "answer", "citations", "document_ids", "summary", "explanation", "key_points")
+
+
+#: What an exact cache key holds, from a request's context and the corpus.
+KEY = ("query_hash", "jurisdiction", "request_domain", "query_type", "active_collection", "corpus_fingerprint", "top_k")
+
+
+def answer_with_caches(corpus: DataFrame, requests: DataFrame, exact: DataFrame, semantic: DataFrame, now: Column, collection: str, fingerprint: str, top_k: int = 5, dimension: int = dense.DIMENSION) -> DataFrame:
+    """query_id, served_from (exact, semantic or computed), cache_key, may_store and payload
+    (JSON) for every request: cached answers where there are, computed ones otherwise.
+
+    ``exact`` has cache_key, response_payload, created_at, expires_at; ``semantic`` the same,
+    the columns of cache.TAGS it knows (domain, jurisdiction, query_type) and embedding."""
+    context = understanding.query_context(requests.withColumn("country", F.lit(None).cast("string")))
+    known = context.withColumns({"active_collection": F.lit(collection), "corpus_fingerprint": F.lit(fingerprint), "top_k": F.lit(top_k)})
+    keyed = stored(known.withColumn("cache_key", cache.key_of(known, KEY)), "requests")
+    hit = cache.exact_lookup(keyed.select("query_id", "cache_key"), exact, now).select("query_id", F.lit("exact").alias("served_from"), F.col("response_payload").alias("payload"))
+    left = keyed.join(hit, "query_id", "left_anti")
+    vectors = dense.dense_vectors(left.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), dimension).withColumnRenamed("chunk_id", "query_id")
+    asking = left.filter("query_type != 'strategy' AND request_domain IS NOT NULL").join(vectors, "query_id").withColumnRenamed("request_domain", "domain")
+    near = cache.semantic_lookup(asking.select("query_id", "embedding", "jurisdiction", "domain", "query_type", "active_collection", "corpus_fingerprint"), semantic, now=now)
+    close = near.join(semantic.select(F.col("cache_key").alias("entry_key"), "response_payload"), "entry_key").select("query_id", F.lit("semantic").alias("served_from"), F.col("response_payload").alias("payload"))
+    served = stored(hit.unionByName(close), "served")
+    rest = keyed.join(served, "query_id", "left_anti").select("query_id", "query")
+    made = answer(corpus, rest, top_k, dimension)
+    body = F.to_json(F.struct(*[c for c in made.columns if c != "query_id"]))
+    stores = made.withColumn("payload", body).join(keyed.select("query_id", "request_domain"), "query_id").withColumn("may_store", cache.may_store())
+    stores = stores.select("query_id", F.lit("computed").alias("served_from"), "payload", "may_store")
+    rows = served.withColumn("may_store", F.lit(False)).unionByName(stores)
+    return rows.join(keyed.select("query_id", "cache_key"), "query_id")
+
+
+def strategy(laws: DataFrame, courts: DataFrame, requests: DataFrame, hints: tuple[str, ...] = (), top_k: int = 6, dimension: int = dense.DIMENSION) -> DataFrame:
+    """One row a request (query_id, query, case_id, document_ids): facts, points of laws and
+    courts, arguments, risks, missing documents and confidence, as one chain of joins."""
+    asked = requests.select("query_id", "query")
+
+    def side(corpus: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        found = generic(corpus, asked, top_k, dimension).filter(F.col("rank") <= top_k)
+        n = found.groupBy("query_id").agg(F.count("*").alias(f"n_{name}s"))
+        points = answers.relevant_points(found.select("query_id", "query", "rank", "text")).withColumnRenamed("place", "rank")
+        return n, points.groupBy("query_id").agg(answers.ordered(F.col("sentence")).alias(f"{name}_points"))
+
+    rows = requests.select("query_id", T.facts(F.col("query")).alias("facts"), F.col("case_id").isNotNull().alias("has_case"), (F.size(F.coalesce("document_ids", F.array().cast("array<string>"))) > 0).alias("has_documents"))
+    for corpus, name in ((laws, "law"), (courts, "court")):
+        n, points = side(corpus, name)
+        rows = rows.join(n, "query_id", "left").join(points, "query_id", "left")
+        rows = rows.withColumns({f"n_{name}s": F.coalesce(f"n_{name}s", F.lit(0)), f"{name}_points": F.coalesce(f"{name}_points", F.array().cast("array<string>"))})
+    return answers.strategy(rows.withColumn("hints", F.array(*[F.lit(h) for h in hints]).cast("array<string>"))).drop("hints")

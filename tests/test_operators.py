@@ -377,13 +377,39 @@ def test_exact_search_finds_the_paragraph(spark):
     laws = [(i, f"local:sb/2006/262/{i}", "local:sb/2006/262", str(50 + i // 3), t, i, "262/2006 Sb.") for i, t in enumerate(["§ 50", "Výpověď musí být písemná a doručená, jinak je neplatná podle zákona.", "Další text o výpovědi z pracovního poměru, který platí v roce 2020.", "§ 51", "Výpovědní doba činí 2 měsíce a začíná prvním dnem.", "jiné"])]
     laws += [(100 + i, f"local:sb/2012/89/{i}", "local:sb/2012/89", str(50 + i), f"Občanský zákoník odstavec {i} upravuje kupní smlouvu a nájem.", i, "89/2012 Sb.") for i in range(6)]
     corpus = spark.createDataFrame(laws, "chunk_id long, fragment_id string, law_iri string, paragraph string, text string, chunk_index int, filename string")
-    asked = spark.createDataFrame([(1, "§ 51 zákoník práce"), (2, "kupní smlouva občanský zákoník"), (3, "xyzzy qwertz")], "query_id long, query string")
+    asked = spark.createDataFrame([(1, "§ 51 zákoník práce"), (2, "kupní smlouva občanský zákoník"), (3, "xyzzy qwertz"), (4, "§ 52")], "query_id long, query string")
     got = {}
     for r in search.hybrid(corpus, asked, 3, 64).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r)
     assert got[1][0].law_iri == "local:sb/2006/262" and {r.chunk_id for r in got[1]} >= {"4"}
     assert {r.law_iri for r in got[2]} == {"local:sb/2012/89"}
     assert [r.chunk_id for r in got[3]] in (["irrelevant_query"], ["no_result"])
+    assert [r.chunk_id for r in got[4]] == ["clarification:message", "clarification:suggestion:local:sb/2006/262:52", "clarification:suggestion:local:sb/2012/89:52"]
+
+
+def test_answers_come_from_caches(spark):
+    corpus = spark.createDataFrame([(1, "law", "f1", "s", "Nájem bytu upravuje občanský zákoník v § 2235. Další věta."), (2, "law", "f2", "s", "Daně.")], "chunk_id long, law_iri string, filename string, source string, text string")
+    asked = spark.createDataFrame([(1, "nájem bytu"), (2, "jaká je strategie sporu")], "query_id long, query string")
+    none = spark.createDataFrame([], "cache_key string, response_payload string, created_at timestamp, expires_at timestamp")
+    semantic = spark.createDataFrame([], "cache_key string, response_payload string, created_at timestamp, expires_at timestamp, jurisdiction string, domain string, query_type string, embedding array<double>")
+    now = F.lit("2024-01-01 00:10:00").cast("timestamp")
+    first = {r.query_id: r for r in search.answer_with_caches(corpus, asked, none, semantic, now, "c__v1", "f", dimension=64).collect()}
+    assert {r.served_from for r in first.values()} == {"computed"} and "Nájem bytu" in json.loads(first[1].payload)["answer"] and not first[2].may_store
+    exact = spark.createDataFrame([(first[1].cache_key, "kept")], "cache_key string, response_payload string").withColumns({"created_at": now, "expires_at": cache.expires_at(now, 3600)})
+    again = {r.query_id: (r.served_from, r.payload) for r in search.answer_with_caches(corpus, asked, exact, semantic, now, "c__v1", "f", dimension=64).collect()}
+    assert again[1] == ("exact", "kept") and again[2][0] == "computed"
+    vector = dense.dense_vectors(asked.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), 64).filter("chunk_id = 1").first().embedding
+    close = spark.createDataFrame([("k", "near", "czechia", "law", "semantic_law", vector)], "cache_key string, response_payload string, jurisdiction string, domain string, query_type string, embedding array<double>").withColumns({"created_at": now, "expires_at": F.lit(None).cast("timestamp")})
+    got = {r.query_id: (r.served_from, r.payload) for r in search.answer_with_caches(corpus, asked, none, close, now, "c__v1", "f", dimension=64).collect()}
+    assert got[1] == ("semantic", "near") and got[2][0] == "computed"
+
+
+def test_strategy_chain(spark):
+    rows = spark.createDataFrame([(1, "law", "f1", "s", "Nájem bytu upravuje občanský zákoník v paragrafu 2235. Krátká."), (2, "law", "f2", "s", "Daně a poplatky se platí podle jiného zákona o daních.")], "chunk_id long, law_iri string, filename string, source string, text string")
+    asked = spark.createDataFrame([(1, "nájem bytu. spor", None, [])], "query_id long, query string, case_id string, document_ids array<string>")
+    r = search.strategy(rows, rows.limit(0), asked, ("smlouva",), dimension=64).first()
+    assert r.facts == ["nájem bytu", "spor"] and r.n_laws == 2 and r.n_courts == 0 and r.confidence == 0.41
+    assert r.law_points[0].startswith("Nájem bytu") and r.court_points == [] and r.missing_documents[0] == "smlouva" and len(r.risks) == 1
 
 
 def test_entry(spark):
