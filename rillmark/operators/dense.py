@@ -29,8 +29,10 @@ def embedding_tokens(c: Column) -> Column:
 
 def hash_embedding(corpus: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     """chunk_id, bucket, value: the non-zero parts of the normalised hash embeddings.
-    Token counts are summed before hashing, so each distinct token is hashed once."""
-    tokens = corpus.select("chunk_id", F.explode(embedding_tokens(F.col("text"))).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("n"))
+    Token counts are summed before hashing, so each distinct token is hashed once.  Texts
+    are dealt by chunk once; all sums and the norm then stay within their partitions."""
+    dealt = corpus.select("chunk_id", "text").repartition("chunk_id")
+    tokens = dealt.select("chunk_id", F.explode(embedding_tokens(F.col("text"))).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("n"))
     bucket, weight = hashing.embedding_parts(F.col("token"), dimension)
     parts = tokens.select("chunk_id", bucket.alias("bucket"), (weight * F.col("n")).alias("v")).groupBy("chunk_id", "bucket").agg(F.sum("v").alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("chunk_id")))
