@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 
 from . import rolling, shared
 
-#: Shingles that the order knows to be frequent, at most (two longs each).
-HOT = 1 << 18
+#: Shingles that the order knows to be frequent, at most (two longs each), and the least
+#: count of one.
+HOT, OFTEN = 1 << 18, 4
 #: The longest multi-match, and the postings that a verification is worth.
 MOST_MATCHES, VERIFY = 4, 16
 #: Pairs that may be broadcast (three longs each).
@@ -216,9 +217,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     link when den * intersection >= num * union of their sets of k-word shingles."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hot = (
-        shared.map_arrow(texts.select("text"), _frequent(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(HOT).toArrow()
-    )
+    counts = shared.map_arrow(texts.select("text"), _frequent(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    hot = shared.most_frequent(shared.table(counts, "join-frequent"), HOT).toArrow()
     values = hot.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(values)
     known = spark.sparkContext.broadcast((values[order], hot.column("n").to_numpy()[order]))

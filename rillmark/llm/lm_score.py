@@ -46,6 +46,8 @@ UPPER = 3
 TOP_WORDS, BLOCK = 1 << 17, 1 << 22
 #: Strings and words that a task holds before it passes their counts on.
 HELD_STRINGS, HELD_WORDS = 3_000_000, 400_000
+#: Bytes whose strings are counted or looked up together.
+CHUNK_BYTES = 4_000_000
 #: Strings in a piece of a tier, but for a longer subtree.
 PIECE = 400_000
 
@@ -217,7 +219,7 @@ def _count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         texts, learn = _texts(batch.column(0)), batch.column(1).to_pylist()
         for wanted in (True, False):
             some = [t for t, y in zip(texts, learn, strict=True) if y == wanted]
-            for a, b in rolling.chunks(some):
+            for a, b in rolling.chunks(some, CHUNK_BYTES):
                 keys, n = np.unique(strings_of(some[a:b])[0], return_counts=True)
                 held.append((keys, n if wanted else np.zeros(len(n), dtype=np.int64)))
                 size += len(keys)
@@ -290,7 +292,7 @@ def _score(model, first: bool):
         for batch in batches:
             texts = _texts(batch.column(0))
             score = np.zeros(len(texts)) if first else batch.column(batch.schema.get_field_index("score")).to_numpy().copy()
-            for a, b in rolling.chunks(texts):
+            for a, b in rolling.chunks(texts, CHUNK_BYTES):
                 strings, starts = strings_of(texts[a:b])
                 codes, distinct = pd.factorize(strings)
                 at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
@@ -340,7 +342,7 @@ def score_texts(docs: DataFrame, top_words: int = TOP_WORDS, block: int = BLOCK)
     ends = training.count()
     stats = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     train_tokens, distinct = stats.n + ends, stats.v + (ends > 0)
-    frequent = words.orderBy(F.desc("n"), "word").limit(top_words).toArrow()
+    frequent = shared.most_frequent(words, top_words).toArrow()
     logs = dict(zip(frequent.column("word").cast(pa.binary()).to_pylist(), np.log10(frequent.column("n").to_numpy() + 1.0).tolist(), strict=True))
     model = shared.table(tree_table(rows.select("text", (~F.col("held_out")).alias("learn"))), "lm-model")
     blocks = max(1, -(-model.count() // block))

@@ -71,7 +71,8 @@ def mix(docs: DataFrame, most: int = MOST, range_rows: int = RANGE_ROWS) -> Data
         docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key_of(F.col("doc_id")).alias("key")),
         "mixing-sizes",
     )
-    per_source = targets(sizes, most).withColumnRenamed("source", "of")
+    # stored, so that its size is known before the join: a few sources go to all tasks
+    per_source = shared.table(targets(sizes, most).withColumnRenamed("source", "of"), "mixing-targets")
     placed = (
         sizes.join(per_source, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("ranges", F.ceil(F.col("n") / range_rows))
@@ -122,6 +123,7 @@ def emit(docs: DataFrame, most: int = MOST) -> DataFrame:
         .select(F.col("source").alias("_l"), "_cut", "_words")
     )
     plan = cuts.join(last, F.col("source").eqNullSafe(F.col("_l")), "left").select(F.col("source").alias("_p"), "_epochs", "_cut", "_words")
+    plan = shared.table(plan, "mixing-cuts")
     place = F.struct(key_of(F.col("doc_id")).alias("key"), F.col("doc_id"), size_of(F.col("text")).alias("size"))
     rows = (
         docs.withColumn("_place", place)

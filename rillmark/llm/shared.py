@@ -90,6 +90,18 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of a stored table whose n is so large that at most ``most`` rows have it or
+    more.  The cut comes from a histogram of n, so no task gathers candidates."""
+    above, cut = 0, None
+    for row in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        above += row["count"]
+        if above > most:
+            break
+        cut = row.n
+    return counts.filter(F.lit(False)) if cut is None else counts.filter(F.col("n") >= cut)
+
+
 def aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with the columns that clash with ``names`` (in any case) renamed, and the
     renaming that puts them back."""
