@@ -11,8 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 
 U = np.uint64
-#: Bytes hashed together; one longer text is hashed alone.
-CHUNK_BYTES = 4_000_000
+#: Bytes hashed together, at some 60 bytes of working memory each; one longer text is
+#: hashed alone.
+CHUNK_BYTES = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -40,11 +41,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK_BYTES."""
+def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about so many bytes."""
     at = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK_BYTES:
+        if size and size + len(t) > most:
             yield at, i
             at, size = i, 0
         size += len(t)
