@@ -273,11 +273,13 @@ def _link(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> Data
         if found is not None:
             links = found if links is None else shared.table(links.unionByName(found), "join-links")
             labels = components(links)
-        rest = buckets.join(chosen.select("shingle", F.col("pivot").alias("rep")), ["shingle", "rep"], "left_anti")
         if labels is not None:
-            rest = rest.drop("label").join(labels, rest.rep == labels.node, "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
-        mixed = rest.groupBy("shingle").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a != b").select("shingle")
-        buckets = shared.table(_alive(rest.join(mixed, "shingle", "left_semi"), num, den), "join-buckets")
+            named = buckets.drop("label").join(_few(labels), F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
+        else:
+            named = buckets
+        done = chosen.groupBy("shingle").agg(F.collect_set("pivot").alias("done"))
+        rest = named.join(done, "shingle").filter(~F.array_contains("done", F.col("rep"))).drop("done")
+        buckets = shared.table(_alive(rest, num, den), "join-buckets")
         pivots *= 4
     return labels
 
@@ -289,11 +291,11 @@ def _most_shared() -> Column:
 
 
 def _alive(buckets: DataFrame, num: int, den: int) -> DataFrame:
-    """Without the rows that have too many shingles before the bucket's to link there with
-    any set as large as the bucket's least."""
-    per = buckets.groupBy("shingle").agg(F.min("n").alias("least"))
+    """Without the buckets of one label, and without the rows that have too many shingles
+    before the bucket's to link there with any set as large as the bucket's least."""
+    per = buckets.groupBy("shingle").agg(F.min("n").alias("least"), F.min("label").alias("a"), F.max("label").alias("b"))
     dead = (den + num) * (F.col("n") - F.col("lack")) < num * (F.col("n") + F.col("least"))
-    return buckets.join(per, "shingle").filter(~dead).drop("least")
+    return buckets.join(per.filter("a != b"), "shingle").filter(~dead).drop("least", "a", "b")
 
 
 def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
