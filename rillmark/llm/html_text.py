@@ -5,11 +5,13 @@ the article: menus, headers, footers, sidebars, notices, adverts, forms, comment
 and styles, by element, role or the words of class and id.  What is left may still hold
 the site's own lines.  Pages are therefore put in the order of host and path, each is
 paired with the neighbour of its host whose path is nearest (the longer common beginning),
-the lines of both are aligned by longest common subsequence, and shared lines are deleted.
-Lines inside an article or main element are the page's own by its markup and stay: two
-pages may well carry the same article.  A page that shares all its lines with a neighbour
-is its copy, which tells nothing, so the other neighbour is asked, or all lines stay
-(also those that the site repeats).
+the lines of both are aligned by longest common subsequence, and shared lines are deleted,
+those inside an article or main element too.  Two pages may well carry the same article: a
+neighbour that shares all lines of the article, or more than COPY of both its lines and
+its text, is a copy, which tells nothing of them, so the other neighbour is asked, or the
+article's lines stay (also those that the site repeats); shared lines beside the article
+go.  A page without article or main that shares all its lines with a neighbour is its copy
+likewise.
 
 Scale: the html moves once.  Pages are dealt to blocks of the order, with bounds from a
 sample of at most SAMPLE keys, so a host with a third of all pages is many blocks; the
@@ -38,6 +40,10 @@ from .url_rules import host_and_path
 #: Pages in a block, blocks, and keys sampled for their bounds, at most.
 BLOCK_ROWS, MOST_BLOCKS, SAMPLE = 1_000, 1 << 14, 1 << 16
 
+#: The part of an article, in lines and in text, beyond which a neighbour that shares it
+#: carries the same article.
+COPY = 0.75
+
 #: Fixed word lists: elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template textarea title noscript iframe svg math select object audio video canvas".split())
@@ -78,7 +84,7 @@ def _is_out(name: str, attributes: str) -> bool:
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
     """The lines of a page that its markup does not rule out, and whether each lies in an
-    article or main element; only those, if the page has such lines."""
+    article or main element."""
     lines: list[tuple[str, bool]] = []
     words: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, ruled out, in main, in the main's header
@@ -152,7 +158,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         text = " ".join(html.unescape("".join(words)).split())
         if text:
             lines.append((text, stack_main))
-    return [x for x in lines if x[1]] or lines
+    return lines
 
 
 def common(a: list[str], b: list[str]) -> set[int]:
@@ -184,15 +190,26 @@ def _near(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def _same_article(body: list[int], texts: list[str], shared_with: set[int]) -> bool:
+    """Whether a neighbour that shares these lines carries the lines of ``body`` too."""
+    both = [i for i in body if i in shared_with]
+    size = sum(len(texts[i]) for i in body)
+    return len(both) == len(body) or (len(both) > COPY * len(body) and sum(len(texts[i]) for i in both) > COPY * size)
+
+
 def difference(lines: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> list[str]:
-    """The page's own lines, by the first neighbour that is not its copy."""
+    """The page's lines without what it shares with the first neighbour that is not its copy."""
     texts = [t for t, _ in lines]
-    if not all(own for _, own in lines):
-        for other in neighbours:
-            shared_with = common(texts, [t for t, _ in other])
-            if len(shared_with) < len(texts):
-                return [t for i, (t, own) in enumerate(lines) if own or i not in shared_with]
-    return texts
+    article = [i for i, (_, own) in enumerate(lines) if own]
+    gone: set[int] = set()
+    for other in neighbours:
+        shared_with = common(texts, [t for t, _ in other])
+        if not (_same_article(article, texts, shared_with) if article else len(shared_with) == len(texts)):
+            gone |= shared_with
+            break
+        if article:
+            gone |= shared_with.difference(article)
+    return [t for i, t in enumerate(texts) if i not in gone]
 
 
 _SEP = "\u0000"

@@ -191,6 +191,19 @@ def test_page_differencing(spark, monkeypatch):
     assert got[9].startswith("Title & more\n")
 
 
+def test_differencing_reaches_into_articles(spark):
+    site = "<div>By {0}</div><div>Hello</div><main><article><p>Share this story</p><h1>T{0}</h1><p>story {0}</p><div>Get our letters</div></article></main>"
+    pages = [(i, f"http://h.org/n/{i}", site.format(i)) for i in range(4)]
+    # the same article twice, once with an edited line, beside other site lines
+    whole = "<div>{}</div><div>Hello</div><article>" + "".join(f"<p>paragraph {i} of the article</p>" for i in range(5)) + "<p>{}</p></article>"
+    pages += [(10, "http://i.org/a/1", whole.format("one", "end")), (11, "http://i.org/a/1", whole.format("two", "END")), (12, "http://alone.org/", whole.format("x", "end"))]
+    got = {r.page_id: r.text.split("\n") for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [[f"By {i}", f"T{i}", f"story {i}"] for i in range(4)]
+    article = [f"paragraph {i} of the article" for i in range(5)]
+    assert got[10] == ["one", *article, "end"] and got[11] == ["two", *article, "END"]
+    assert got[12] == ["x", "Hello", *article, "end"]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):
