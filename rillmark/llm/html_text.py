@@ -2,7 +2,10 @@
 
 A page is read into text lines, one for each block, without what its markup says is not
 the article: menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and styles, by element, role or the words of class and id.  What is left may still hold
+and styles, by element, role, class and id.  A class or id rules out if all its parts say
+so (``sidebar``, ``cookie-notice``, ``ad-slot-1``; not ``has-sidebar``), and never html, body,
+main, an article that is not within another, nor an element around the page's main or all
+its articles.  What is left may still hold
 the site's own lines.  Pages are therefore put in the order of host and path, each is
 paired with the neighbour of its host whose path is nearest (the longer common beginning),
 the lines of both are aligned by longest common subsequence, and shared lines are deleted,
@@ -53,7 +56,9 @@ BLOCK = frozenset(
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(("article", "main"))
-#: Words of class, id and role that mark what is not the article.
+#: What class and id do not rule out, and words of them and of role that mark what is not
+#: the article.
+WHOLE = frozenset(("html", "body", "main", "article"))
 OUT_WORDS = frozenset(
     (
         "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer "
@@ -61,6 +66,8 @@ OUT_WORDS = frozenset(
         "related recommended recommendations share sharing social login search form widget toolbar pagination pager copyright hidden contentinfo complementary dialog"
     ).split()
 )
+#: Parts of a compound that only say where or what kind of box it is.
+PLAIN_WORDS = frozenset("area bar block bottom box button buttons container holder icons inner item items link links list main outer placeholder post posts section site slot top unit widget wrap wrapper".split())
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _MARKS = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -69,25 +76,42 @@ _CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dd", ("dl",)), "dd": ("dt", ("dl",)), "tr": ("tr", ("table",)), "td": ("td", ("tr", "table")), "th": ("th", ("tr", "table"))}
 
 
-def _is_out(name: str, attributes: str) -> bool:
+def _says_out(token: str) -> bool:
+    parts = [p.lower() for p in _PARTS.findall(token)]
+    return any(p in OUT_WORDS for p in parts) and all(p in OUT_WORDS or p in PLAIN_WORDS or p.isdigit() for p in parts)
+
+
+def _is_out(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is ruled out, and whether only by class, id or role."""
     if name in OUT:
-        return True
+        return True, False
+    by_words = False
     for mark, value in _MARKS.findall(attributes) if attributes else ():
         mark, value = mark.lower(), value.strip("\"'")
         if mark in ("class", "id", "role"):
-            if any(p.lower() in OUT_WORDS for p in _PARTS.findall(value)):
-                return True
+            by_words = by_words or any(_says_out(t) for t in value.split())
         elif mark == "hidden" or (mark == "aria-hidden" and value.lower() == "true") or (mark == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True
-    return False
+            return True, False
+    return by_words, by_words
 
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
     """The lines of a page that its markup does not rule out, and whether each lies in an
     article or main element."""
+    lines, around_main, around_article, shown = _read(page, frozenset())
+    spared = around_main if shown else around_main | around_article
+    return _read(page, spared)[0] if spared else lines
+
+
+def _read(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], frozenset[int], frozenset[int], bool]:
+    """The lines, where the elements begin that are ruled out by words and hold a main or an
+    article, and whether a main or article is left outside of all that is ruled out.  The
+    elements that begin at ``spared`` are not ruled out by words."""
     lines: list[tuple[str, bool]] = []
     words: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, ruled out, in main, in the main's header
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, ruled out, in main, in the main's header, where ruled out by words or -1
+    around: dict[str, set[int]] = {"main": set(), "article": set()}
+    shown = False
     at = 0
 
     def end_block() -> None:
@@ -142,15 +166,20 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             words.append(" ")
         if name in VOID or m[3].endswith("/"):
             continue
-        out = _is_out(name, m[3])
+        out, by_words = _is_out(name, m[3])
+        if by_words and (m.start() in spared or (name in WHOLE and not (name == "article" and any(x[0] == name for x in stack)))):
+            out = by_words = False
         if block or out:
-            _, was_out, in_main, in_header = stack[-1] if stack else ("", False, False, False)
+            _, was_out, in_main, in_header, _ = stack[-1] if stack else ("", False, False, False, -1)
+            if name in MAIN:
+                around[name].update(x[4] for x in stack if x[4] >= 0)
+                shown = shown or not (was_out or out)
             if name == "header":  # a page's header goes; of an article's, the headings stay
                 in_header, out = in_main, out or not in_main
             if in_header:
                 out = name not in HEADING
                 was_out = was_out and name not in HEADING
-            stack.append((name, was_out or out, in_main or name in MAIN, in_header))
+            stack.append((name, was_out or out, in_main or name in MAIN, in_header, m.start() if by_words else -1))
     if at < len(page) and not hidden():
         words.append(page[at:])
     stack_main = bool(stack) and stack[-1][2]
@@ -158,7 +187,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         text = " ".join(html.unescape("".join(words)).split())
         if text:
             lines.append((text, stack_main))
-    return lines
+    return lines, frozenset(around["main"]), frozenset(around["article"]), shown
 
 
 def common(a: list[str], b: list[str]) -> set[int]:

@@ -177,6 +177,23 @@ def test_markup():
     assert [t for t, _ in html_text.lines_of("<p>a<script>never closed")] == ["a"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html class='no-banner'><body class='has-sidebar'><p>text</p></body></html>",
+        "<body class='sidebar'><main class='content-with-sidebar'><p>text</p></main></body>",
+        "<body id='search'><article id='login-guide' class='comments'><p>text</p></article></body>",
+        "<div class='post search-result'><p>text</p></div>",
+        "<div class='social'><div class='sidebar'><article class='post'><p>text</p></article></div></div>",
+        "<div class='popup'><main><p>text</p></main></div>",
+        "<article><p>text</p></article><div class='related'><article><p>no</p></article></div><div class='ad-slot-1 x'>no</div><div id='siteFooter'>no</div>",
+        "<article><p>text</p><article class='comment'><p>no</p></article></article><div class='grid sidebar'>no</div>",
+    ],
+)
+def test_class_words_rule_out_parts_only(page):
+    assert [t for t, _ in html_text.lines_of(page)] == ["text"]
+
+
 def test_page_differencing(spark, monkeypatch):
     monkeypatch.setattr(html_text, "BLOCK_ROWS", 2)
     site = "<div>Welcome to the site</div><p>{}</p><div>All our offers</div>"
