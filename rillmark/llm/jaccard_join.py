@@ -24,9 +24,10 @@ from map-side maxima and hot buckets from equi-joins, so no bucket is gathered i
 Links and components stay in tables of the shared folder.
 
 Defined cases: null text or no words: no shingles, a component of its own; fewer words
-than a shingle: the whole sequence is one; rows equal in doc_id belong together if their
-texts do; rows with null doc_id get the least id of the documents with an equal set (null
-if none) and link nothing; an empty table gives an empty result; extra columns are ignored.
+than a shingle: the whole sequence is one; rows are told apart by a hash of doc_id and text,
+so rows equal in doc_id belong together if their texts do, and rows with null doc_id link as
+others do; a component is named by its least doc_id, null if it has none; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rolling, shared
@@ -157,7 +158,7 @@ def _prefixes(k: int, num: int, den: int, hot):
         frequent, often = hot.value
         for batch in batches:
             rows: list[tuple] = []
-            for s in shingle_sets(_binary(batch.column(1)), k):
+            for s in shingle_sets(_binary(batch.column(2)), k):
                 if not len(s):
                     rows.append((0, 0, 0, 0, 0.0, [], b""))
                     continue
@@ -171,8 +172,8 @@ def _prefixes(k: int, num: int, den: int, hot):
                 rows.append((len(s), int(one.view(np.int64)), int(two.view(np.int64)), m, typical, prefix.view(np.int64), sketch_of(s)))
             n, s1, s2, m, typical, prefix, sketch = zip(*rows, strict=True) if rows else ((),) * 7
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(m, pa.int32()), pa.array(typical, pa.float64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "m", "typical", "prefix", "sketch"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(m, pa.int32()), pa.array(typical, pa.float64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                names=["row", "doc_id", "n", "s1", "s2", "m", "typical", "prefix", "sketch"],
             )
 
     return run
@@ -212,31 +213,45 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def row_key() -> Column:
+    """What tells rows apart: repeated rows (equal doc_id and text) have one key."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id.  Documents
     link when den * intersection >= num * union of their sets of k-word shingles."""
+    return _grouped(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Per row of ``docs``: row (its key), doc_id, n, component_id, and label, a row of the
+    component that names it also where no doc_id does."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = shared.map_arrow(texts.select("text"), _frequent(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     hot = shared.most_frequent(shared.table(counts, "join-frequent"), HOT).toArrow()
     values = hot.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(values)
     known = spark.sparkContext.broadcast((values[order], hot.column("n").to_numpy()[order]))
     sets = shared.table(
-        shared.map_arrow(texts, _prefixes(k, num, den, known), "doc_id long, n long, s1 long, s2 long, m int, typical double, prefix array<long>, sketch binary"),
+        shared.map_arrow(texts, _prefixes(k, num, den, known), "row long, doc_id long, n long, s1 long, s2 long, m int, typical double, prefix array<long>, sketch binary"),
         "join-sets",
     )
-    ids = sets.select("doc_id", "n", "s1", "s2")
-    classes = shared.table(ids.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "join-classes")
+    ids = sets.select("row", "doc_id", "n", "s1", "s2")
+    classes = shared.table(ids.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least")), "join-classes")
     # the few rows that repeat a set are left out; what stands for a class does not move
-    copies = ids.join(classes, ["n", "s1", "s2"]).filter("doc_id != rep").select("doc_id").distinct()
+    copies = ids.join(classes, ["n", "s1", "s2"]).filter("row != rep").select("row").distinct()
     copies = shared.table(copies, "join-copies")
-    reps = sets.filter("n > 0 AND doc_id IS NOT NULL").join(_few(copies), "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
-    labels = _link(texts, reps, k, num, den)
-    named = classes
+    reps = sets.filter("n > 0").join(_few(copies), "row", "left_anti").drop("doc_id").withColumnRenamed("row", "rep")
+    labels = _link(texts.select("row", "text"), reps, k, num, den)
+    named = classes.withColumn("label", F.col("rep"))
     if labels is not None:
-        named = classes.join(labels, classes.rep == labels.node, "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("rep"))
-    return ids.join(named, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
+        linked = shared.table(classes.join(_few(labels), classes.rep == labels.node).select("rep", "label", "least"), "join-linked")
+        least = linked.groupBy("label").agg(F.min("least").alias("least"))
+        linked = shared.table(linked.select("rep", "label").join(least, "label"), "join-linked").withColumnsRenamed({"label": "_label", "least": "_least"})
+        named = classes.join(_few(linked), "rep", "left").select("n", "s1", "s2", F.coalesce("_label", "rep").alias("label"), F.when(F.col("_label").isNull(), F.col("least")).otherwise(F.col("_least")).alias("least"))
+    return ids.join(named, ["n", "s1", "s2"], "left").select("row", "doc_id", "n", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "row").alias("label"))
 
 
 def _few(table: DataFrame) -> DataFrame:
@@ -315,19 +330,27 @@ def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num:
     candidates = shared.table(shared.map_arrow(matched, _may_link(num, den), "u long, v long"), "join-pairs")
     if candidates.isEmpty():
         return None
-    # a doc_id may be on several rows: any of them stands for its class
-    v_texts = texts.join(_few(candidates), texts.doc_id == candidates.v).select("u", "v", F.col("text").alias("text_v"))
+    v_texts = texts.join(_few(candidates), texts.row == candidates.v).select("u", "v", F.col("text").alias("text_v"))
     u_ids = shared.table(candidates.select("u").distinct(), "join-side")
-    u_texts = texts.join(_few(u_ids), texts.doc_id == u_ids.u).select("u", F.col("text").alias("text_u"))
+    u_texts = texts.join(_few(u_ids), texts.row == u_ids.u).select("u", F.col("text").alias("text_u"))
     rows = v_texts.join(u_texts, "u").select("u", "v", "text_v", "text_u")
     found = shared.table(shared.map_arrow(rows, _verify(k, num, den), "u long, v long").distinct(), "join-links")
     return None if found.isEmpty() else found
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those of its least doc_id."""
-    gone = near_duplicates(docs, k, num, den).filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of ``docs`` for each group: the one of its least doc_id, null last.  Rows
+    without a shingle are groups of their own, unless equal in doc_id and text."""
+    rows = shared.table(_grouped(docs, k, num, den).select("row", "doc_id", "label"), "join-rows")
+    stays = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("s")).select(F.col("s.row").alias("row"))
+    gone = shared.table(rows.select("row").distinct().join(stays, "row", "left_anti").withColumnRenamed("row", "_row"), "join-gone")
+    again = shared.table(rows.groupBy("row").count().filter("count > 1").select(F.col("row").alias("_row")), "join-again")
+    kept = docs.withColumn("_row", row_key()).join(_few(gone), "_row", "left_anti")
+    if not again.isEmpty():
+        order = Window.partitionBy("_row").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+        one = kept.join(_few(again), "_row", "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+        kept = kept.join(_few(again), "_row", "left_anti").unionByName(one)
+    return kept.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,6 +88,27 @@ def test_results_of_edges(spark, docs):
     assert sizes[2] == sizes[3] == sizes[4] == 0 and sizes[5] == 20_000
 
 
+def test_one_row_of_each_group_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    near = lambda words, i: " ".join([*words[:-1], f"end{i}"])
+    rows = [
+        (1, " ".join(base)), (1, " ".join(base)),  # a clean document twice
+        (None, " ".join(base)), (None, near(base, 1)),  # near ones without an id
+        (None, "only here " * 3), (None, "only here " * 3),
+        (4, " ".join(other)), (5, " ".join(other)), (5, "of id five"),  # one row of 5 is a copy
+        (6, "a b c d e f g"), (7, "a b c d e f g"), (7, " ".join(f"u{i}" for i in range(60))), (9, near([f"u{i}" for i in range(60)], 2)),
+        (8, ""), (8, ""), (10, ""),
+    ]
+    docs = spark.createDataFrame([(*r, f"{i}") for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, (r.text or "")[:10]) for r in kept.collect())
+    assert got == [(0, "only here "), (1, "w0 w1 w2 w"), (4, "v0 v1 v2 v"), (5, "of id five"), (6, "a b c d e "), (7, "u0 u1 u2 u"), (8, ""), (10, "")]
+    joined = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.near_duplicates(docs).collect())
+    assert joined == [(0, 0), (0, 0), (0, 1), (0, 1), (1, 1), (1, 1), (4, 4), (5, 4), (5, 5), (6, 6), (7, 6), (7, 7), (8, 8), (8, 8), (9, 7), (10, 10)]
+
+
 def test_pages(spark):
     schema = "page_id long, url string, html string"
     rows = [(1, "http://A.net/x", "<p>t"), (1, "http://A.net/x", "<p>t"), (None, None, None), (2, "", ""), (3, "x", "<p>" + "z " * 50_000)]
