@@ -31,12 +31,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rolling, shared
+from . import shared
 from .toxicity import fold
 
 DEPTH = 5
@@ -45,29 +44,51 @@ UPPER = 3
 #: Words whose counts all tasks know, and strings in a block of the broadcast model.
 TOP_WORDS, BLOCK = 1 << 17, 1 << 22
 #: Strings and words that a task holds before it passes their counts on.
-HELD_STRINGS, HELD_WORDS = 3_000_000, 400_000
-#: Bytes whose strings are counted or looked up together.
-CHUNK_BYTES = 4_000_000
-#: Strings in a piece of a tier, but for a longer subtree.
-PIECE = 400_000
+HELD_STRINGS, HELD_WORDS = 1_500_000, 200_000
+#: Bytes whose strings are counted or looked up together, at some 100 bytes of working
+#: memory each; a longer text goes in pieces.
+CHUNK_BYTES = 1 << 19
+#: Strings in a piece of a tier, at about a kilobyte each, but for a longer subtree.
+PIECE = 100_000
 
 _U = np.uint64
 _HALF = float(np.log(0.5))
 
 
-def strings_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The byte strings of the texts, one for each byte and end mark: the nearest context
-    byte first, the byte itself last.  And where each text begins."""
-    gap = b"\0" * DEPTH
-    data = np.frombuffer(gap + gap.join(texts) + gap, dtype=np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts])
+def pieces_of(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The texts in pieces, about ``most`` bytes at a time: the number of each piece's text,
+    and the piece, after the DEPTH bytes before it.  A text's last byte is its end mark."""
+    owners: list[int] = []
+    held: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        whole = bytes(DEPTH) + t + b"\0"
+        for start in range(0, len(t) + 1, most):
+            owners.append(i)
+            held.append(whole[start : start + DEPTH + most])
+            size += len(held[-1])
+            if size >= most:
+                yield owners, held
+                owners, held, size = [], [], 0
+    if held:
+        yield owners, held
+
+
+def strings_of(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The byte strings of the pieces, one for each byte after the first DEPTH: the nearest
+    context byte first, the byte itself last.  And where each piece begins."""
+    data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    sizes = np.array([len(t) - DEPTH for t in pieces])
     starts = np.cumsum(np.append(0, sizes))
-    at = np.arange(starts[-1]) + np.repeat(np.arange(1, len(texts) + 1) * DEPTH - np.arange(len(texts)), sizes)
     wide = data.astype(np.uint64)
-    keys = np.zeros(len(data), dtype=np.uint64)
+    keys = wide.copy()
     for j in range(1, DEPTH + 1):
         keys[j:] |= wide[:-j] << _U(8 * (DEPTH + 1 - j))
-    return (keys | wide)[at], starts
+    own = np.ones(len(data), dtype=bool)
+    begins = starts[:-1] + DEPTH * np.arange(len(pieces))
+    for j in range(DEPTH):
+        own[begins + j] = False
+    return keys[own], starts
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -211,21 +232,23 @@ def _count_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     size = 0
 
     def flush() -> pa.RecordBatch:
-        keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        n = np.bincount(place, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
-        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["string", "n"])
+        keys, n = np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held])
+        held.clear()
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return pa.record_batch([pa.array(keys[first].view(np.int64)), pa.array(np.add.reduceat(n, first))], names=["string", "n"])
 
     for batch in batches:
         texts, learn = _texts(batch.column(0)), batch.column(1).to_pylist()
         for wanted in (True, False):
-            some = [t for t, y in zip(texts, learn, strict=True) if y == wanted]
-            for a, b in rolling.chunks(some, CHUNK_BYTES):
-                keys, n = np.unique(strings_of(some[a:b])[0], return_counts=True)
+            for _, pieces in pieces_of([t for t, y in zip(texts, learn, strict=True) if y == wanted]):
+                keys, n = np.unique(strings_of(pieces)[0], return_counts=True)
                 held.append((keys, n if wanted else np.zeros(len(n), dtype=np.int64)))
                 size += len(keys)
                 if size >= HELD_STRINGS:
                     yield flush()
-                    held, size = [], 0
+                    size = 0
     if size:
         yield flush()
 
@@ -259,11 +282,11 @@ def tree_table(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     strings = shared.map_arrow(docs.select("text", "learn"), _count_strings, "string long, n long").groupBy("string").agg(F.sum("n").alias("n"))
     lower = shared.table(
-        strings.repartition(parts, F.shiftright("string", 8 * (DEPTH + 1 - UPPER))).sortWithinPartitions("string").mapInArrow(_lower, "string long, top long, n long, x array<double>"),
+        shared.map_arrow(strings.repartition(parts, F.shiftright("string", 8 * (DEPTH + 1 - UPPER))).sortWithinPartitions("string"), _lower, "string long, top long, n long, x array<double>"),
         "lm-lower",
     )
     upper = shared.table(
-        lower.filter("top IS NOT NULL").select("top", "n", "x").repartition(parts, F.shiftright("top", 8 * UPPER)).sortWithinPartitions("top").mapInArrow(_upper, "top long, a array<double>, b array<double>, one long, n long, pw array<double>"),
+        shared.map_arrow(lower.filter("top IS NOT NULL").select("top", "n", "x").repartition(parts, F.shiftright("top", 8 * UPPER)).sortWithinPartitions("top"), _upper, "top long, a array<double>, b array<double>, one long, n long, pw array<double>"),
         "lm-upper",
     )
     ones = upper.filter("one IS NOT NULL").select("one", "n", "pw").orderBy("one").toArrow()
@@ -286,30 +309,74 @@ def tree_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def _score(model, first: bool):
+class Lookup:
+    """The strings of a block with their logarithms, found by hashing: an odd multiple of
+    the string is its hash, sorted, and the hash's first bits tell where to begin."""
+
+    ODD = _U(0x9E3779B97F4A7C15)
+
+    def __init__(self, strings: np.ndarray, logs: np.ndarray) -> None:
+        hashes = strings.view(np.uint64) * self.ODD
+        order = np.argsort(hashes)
+        self.hashes, self.logs = np.append(hashes[order], _U(2**64 - 1)), np.append(logs[order], 0).astype(np.float32)
+        bits = max(1, len(strings).bit_length() - 1)
+        self.shift = _U(64 - bits)
+        top = self.hashes[:-1] >> self.shift
+        self.begin = np.searchsorted(top, np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
+        self.steps = int(np.bincount(top.astype(np.int64)).max()) if len(strings) else 0
+
+    def find(self, strings: np.ndarray) -> np.ndarray:
+        """The logarithm of each string, 0 where it is not in the block."""
+        wanted = strings * self.ODD
+        at = self.begin[(wanted >> self.shift).astype(np.int64)]
+        out = np.zeros(len(strings), dtype=np.float64)
+        rest = None
+        for _ in range(self.steps):
+            got = self.hashes[at]
+            hit = got == wanted
+            if rest is None:
+                out[hit] = self.logs[at[hit]]
+                rest = np.flatnonzero(got < wanted)
+                at, wanted = at[rest], wanted[rest]
+            else:
+                out[rest[hit]] = self.logs[at[hit]]
+                more = got < wanted
+                rest, at, wanted = rest[more], at[more], wanted[more]
+            if not len(rest):
+                break
+            at = np.minimum(at + 1, len(self.hashes) - 1)
+        return out
+
+
+def _likelihood(texts: list[bytes], known: Lookup) -> np.ndarray:
+    score = np.zeros(len(texts))
+    for owners, pieces in pieces_of(texts):
+        strings, starts = strings_of(pieces)
+        np.add.at(score, owners, np.add.reduceat(known.find(strings), starts[:-1]))
+    return score
+
+
+def _score(model):
+    """One more block added to the score."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs = model.value
         for batch in batches:
-            texts = _texts(batch.column(0))
-            score = np.zeros(len(texts)) if first else batch.column(batch.schema.get_field_index("score")).to_numpy().copy()
-            for a, b in rolling.chunks(texts, CHUNK_BYTES):
-                strings, starts = strings_of(texts[a:b])
-                codes, distinct = pd.factorize(strings)
-                at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                found = np.where(keys[at] == distinct, logs[at], 0.0)
-                score[a:b] += np.add.reduceat(found[codes], starts[:-1])
-            rest = [batch.column(i) for i in range(3)]
-            yield pa.record_batch([*rest, pa.array(score)], names=["text", "doc_id", "held_out", "score"])
+            score = batch.column(3).to_numpy() + _likelihood(_texts(batch.column(0)), model.value)
+            yield pa.record_batch([*[batch.column(i) for i in range(3)], pa.array(score)], names=["text", "doc_id", "held_out", "score"])
 
     return run
 
 
-def _base(top):
+def _score_and_base(model, top):
+    """The last block added, and the base score, but for the words beyond the most frequent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = top.value
         for batch in batches:
+            texts = _texts(batch.column(0))
+            score = batch.column(3).to_numpy() + _likelihood(texts, model.value)
             n_tokens, known, total, rare = [], [], [], []
-            for t in _texts(batch.column(0)):
+            for t in texts:
                 counts = Counter(t.split())
                 n_tokens.append(sum(counts.values()) + 1)
                 s, k, r = 0.0, 0, []
@@ -324,7 +391,7 @@ def _base(top):
                 known.append(k)
                 rare.append(r)
             yield pa.record_batch(
-                [batch.column(1), batch.column(2), batch.column(3), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))],
+                [batch.column(1), batch.column(2), pa.array(score), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())])))],
                 names=["doc_id", "held_out", "score", "n_tokens", "known", "total", "rare"],
             )
 
@@ -346,19 +413,19 @@ def score_texts(docs: DataFrame, top_words: int = TOP_WORDS, block: int = BLOCK)
     logs = dict(zip(frequent.column("word").cast(pa.binary()).to_pylist(), np.log10(frequent.column("n").to_numpy() + 1.0).tolist(), strict=True))
     model = shared.table(tree_table(rows.select("text", (~F.col("held_out")).alias("learn"))), "lm-model")
     blocks = max(1, -(-model.count() // block))
-    scored = rows
+    scored = rows.withColumn("score", F.lit(0.0))
+    frequent_logs = spark.sparkContext.broadcast(logs)
     for i in range(blocks):
         part = model.filter(F.pmod(F.xxhash64("string"), F.lit(blocks)) == i).toArrow()
-        keys = part.column("string").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        known = spark.sparkContext.broadcast((keys[order], part.column("log10_p").to_numpy()[order].astype(np.float32)))
-        if i:
-            scored = shared.table(scored, "lm-scored")
-        scored = shared.map_arrow(scored, _score(known, i == 0), f"text string, doc_id {kind}, held_out boolean, score double")
-    numbered = shared.table(
-        shared.map_arrow(scored, _base(spark.sparkContext.broadcast(logs)), f"doc_id {kind}, held_out boolean, score double, n_tokens long, known long, total double, rare array<struct<word:string,tf:bigint>>").withColumn("row", F.monotonically_increasing_id()),
-        "lm-rows",
-    )
+        known = spark.sparkContext.broadcast(Lookup(part.column("string").to_numpy(), part.column("log10_p").to_numpy()))
+        del part
+        if i < blocks - 1:
+            scored = shared.table(shared.map_arrow(scored, _score(known), f"text string, doc_id {kind}, held_out boolean, score double"), "lm-scored")
+            known.destroy()
+    last = shared.map_arrow(scored, _score_and_base(known, frequent_logs), f"doc_id {kind}, held_out boolean, score double, n_tokens long, known long, total double, rare array<struct<word:string,tf:bigint>>")
+    numbered = shared.table(last.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    known.destroy()
+    frequent_logs.destroy()
     rare = (
         numbered.select("row", F.explode("rare").alias("r"))
         .select("row", F.col("r.word").alias("word"), F.col("r.tf").alias("tf"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -26,8 +27,8 @@ ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
-#: Rows in one Arrow batch.  Texts can be long, so batches are counted in hundreds.
-BATCH_ROWS = 512
+#: Rows and bytes in one Arrow batch; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -79,15 +80,31 @@ def _drop_all() -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: Arrow batches of at most BATCH_ROWS rows."""
+    """Bound the memory of Python workers: Arrow batches of at most BATCH_ROWS rows and
+    about BATCH_BYTES.  The plan reads these settings when it runs, so they stay set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on, idle, after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a GNU system
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with bounded batches."""
+    """``mapInArrow`` with bounded batches, whose workers keep no memory after a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
     small_batches(df.sparkSession)
     packaging.send(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(run, schema)
 
 
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
