@@ -19,8 +19,10 @@ Scale: documents with equal sets are one class from the start (map-side sums), s
 of exact copies is one row.  The order needs no exact counts: shingles met twice within a
 task are summed over all documents, and the HOT most frequent go, as a table of bounded
 size, to the end of the order; any order gives the same links.  Pairs are broadcast to the
-texts only when counted to be at most FEW_PAIRS; beyond, the joins shuffle.  Pivots come
-from map-side maxima and hot buckets from equi-joins, so no bucket is gathered in a task.
+texts only when counted to be at most FEW_PAIRS; beyond, the joins shuffle.  Postings of
+shingles known to be in SPLIT documents or more go to their buckets without being dealt by
+shingle; pivots come from map-side maxima, and hot buckets from equi-joins that Spark
+splits, so no bucket is gathered in a task.
 Links and components stay in tables of the shared folder.
 
 Defined cases: null text or no words: no shingles, a component of its own; fewer words
@@ -36,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +52,9 @@ MOST_MATCHES, VERIFY = 4, 16
 #: Pairs that may be broadcast (three longs each).
 FEW_PAIRS = 1_000_000
 #: Shingles a task holds while counting.
-HELD = 4_000_000
+HELD = 2_000_000
+#: The count from which a shingle's postings are not dealt by the shingle.
+SPLIT = 256
 
 
 def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
@@ -244,7 +249,8 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     copies = ids.join(classes, ["n", "s1", "s2"]).filter("row != rep").select("row").distinct()
     copies = shared.table(copies, "join-copies")
     reps = sets.filter("n > 0").join(_few(copies), "row", "left_anti").drop("doc_id").withColumnRenamed("row", "rep")
-    labels = _link(texts.select("row", "text"), reps, k, num, den)
+    crowded = spark.createDataFrame(hot.select(["shingle"]).filter(pc.greater_equal(hot.column("n"), SPLIT)).to_pandas(), "shingle long")
+    labels = _link(texts.select("row", "text"), reps, crowded, k, num, den)
     named = classes.withColumn("label", F.col("rep"))
     if labels is not None:
         linked = shared.table(classes.join(_few(labels), classes.rep == labels.node).select("rep", "label", "least"), "join-linked")
@@ -259,13 +265,15 @@ def _few(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= FEW_PAIRS else table
 
 
-def _link(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """node and label of the class representatives that link."""
+def _link(texts: DataFrame, reps: DataFrame, crowded: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """node and label of the class representatives that link; crowded: at most HOT shingles
+    whose postings need no count to be known to meet."""
     # a pair that links shares one of the first n - ceil(s n) + 1; later ones serve the match
     first = F.col("n") - F.ceil(F.col("n") * num / den).cast("long") + 1
-    postings = reps.select(F.posexplode(F.slice("prefix", F.lit(1), first.cast("int"))).alias("at", "shingle"), "rep").select("shingle", "rep", "at").repartition("shingle")
+    every = reps.select(F.posexplode(F.slice("prefix", F.lit(1), first.cast("int"))).alias("at", "shingle"), "rep").select("shingle", "rep", "at")
+    postings = every.join(F.broadcast(crowded), "shingle", "left_anti").repartition("shingle")
     counted = postings.groupBy("shingle").agg(F.count("*").alias("of")).filter("of > 1").select("shingle")
-    met = postings.join(counted, "shingle", "left_semi").withColumnRenamed("rep", "met")
+    met = postings.join(counted, "shingle", "left_semi").unionByName(every.join(F.broadcast(crowded), "shingle", "left_semi")).withColumnRenamed("rep", "met")
     buckets = shared.table(met.join(reps.select("rep", "n", "typical"), F.col("met") == F.col("rep")).select("shingle", "rep", "n", "typical", F.col("at").alias("lack"), F.col("rep").alias("label")), "join-buckets")
     buckets = shared.table(_alive(buckets, num, den), "join-buckets")
     links = labels = None
@@ -292,8 +300,8 @@ def _link(texts: DataFrame, reps: DataFrame, k: int, num: int, den: int) -> Data
             named = buckets.drop("label").join(_few(labels), F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
         else:
             named = buckets
-        done = chosen.groupBy("shingle").agg(F.collect_set("pivot").alias("done"))
-        rest = named.join(done, "shingle").filter(~F.array_contains("done", F.col("rep"))).drop("done")
+        done = chosen.select("shingle", F.col("pivot").alias("rep"))
+        rest = named.join(_few(done), ["shingle", "rep"], "left_anti")
         buckets = shared.table(_alive(rest, num, den), "join-buckets")
         pivots *= 4
     return labels
@@ -341,6 +349,7 @@ def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num:
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row of ``docs`` for each group: the one of its least doc_id, null last.  Rows
     without a shingle are groups of their own, unless equal in doc_id and text."""
+    docs, back = shared.aside(docs, ("_row", "_nth"))
     rows = shared.table(_grouped(docs, k, num, den).select("row", "doc_id", "label"), "join-rows")
     stays = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("s")).select(F.col("s.row").alias("row"))
     gone = shared.table(rows.select("row").distinct().join(stays, "row", "left_anti").withColumnRenamed("row", "_row"), "join-gone")
@@ -350,7 +359,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
         order = Window.partitionBy("_row").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
         one = kept.join(_few(again), "_row", "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
         kept = kept.join(_few(again), "_row", "left_anti").unionByName(one)
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return kept.select(*[f"`{c}`" for c in docs.columns]).withColumnsRenamed(back)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

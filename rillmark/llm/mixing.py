@@ -103,6 +103,10 @@ def mix(docs: DataFrame, most: int = MOST, range_rows: int = RANGE_ROWS) -> Data
     )
 
 
+#: Columns that stand beside the caller's on the way.
+OWN = ("_place", "_p", "_epochs", "_cut", "_words", "_more", "_times", "_epoch")
+
+
 def emit(docs: DataFrame, most: int = MOST) -> DataFrame:
     """The mixed documents: a row for each time a text is taken, with the columns of
     ``docs`` and ``epoch`` (mix_epoch, if that is taken); at the cut the text ends after the words taken.
@@ -110,7 +114,8 @@ def emit(docs: DataFrame, most: int = MOST) -> DataFrame:
     Texts do not move: a source's cut is one place in its random order, so each row is
     compared with its source's cut (a table of one row a source).  Rows that repeat the one
     at the cut (same doc_id and size) end after as many words as it does."""
-    docs, back = shared.aside(docs, ("epoch",))
+    epoch = "mix_epoch" if "epoch" in map(str.lower, docs.columns) else "epoch"
+    docs, back = shared.aside(docs, ("epoch", *OWN))
     names = docs.columns
     mixed = shared.table(mix(docs, most), "mixing-taken")
     cuts = mixed.groupBy("source").agg(F.min(F.when(F.col("size") > 0, F.expr("taken div size"))).alias("_epochs"))
@@ -135,7 +140,7 @@ def emit(docs: DataFrame, most: int = MOST) -> DataFrame:
     )
     cut = (F.col("_more") == 2) & (F.col("epoch") > F.col("_epochs")) & (F.col("_words") < F.col("_place.size"))
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
-    return rows.select(*[text.alias("text") if n == "text" else (F.length(text).cast("long").alias(n) if n == "n_chars" else F.col(n)) for n in names], F.col("epoch").alias("_epoch")).withColumnsRenamed(back).withColumnRenamed("_epoch", "mix_epoch" if back else "epoch")
+    return rows.select(*[text.alias("text") if n == "text" else (F.length(text).cast("long").alias(n) if n == "n_chars" else F.col(n)) for n in names], F.col("epoch").alias("_epoch")).withColumnRenamed("_epoch", epoch).withColumnsRenamed(back)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

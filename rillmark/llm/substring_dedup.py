@@ -11,13 +11,16 @@ a window whose anchor occurs once in the corpus is unique.
 2. The remaining windows come in runs that share an anchor occurrence.  Where a text has a
    run is one row; the run's window hashes are one row in each task that meets it (so a
    passage in a third of all documents is one row a task from then on).  Dealt by anchor,
-   windows are counted by (anchor, window hash), two 64-bit hashes of their words.
+   windows are counted by (anchor, window hash), two 64-bit hashes of their words.  An
+   anchor with more than HOT_RUNS such rows (a phrase of 12 words in many surroundings) is
+   not dealt as one: its windows are summed in each task, then by window.
 3. Each distinct run gets a bit mask of its repeated windows; the masks join back to the
    runs, runs of one text are gathered (copies of a text share them) and join the texts.
 
 Scale: rows moved are anchors, candidate runs and, once, the texts.  Every group-by has a
-map-side sum; the joins on hot runs and hot texts are plain equi-joins that Spark splits
-when skewed.
+map-side sum; the joins on hot runs, hot windows and hot texts are plain equi-joins that
+Spark splits when skewed.  The bitmap is made of 64-bit words by map-side bit_or; it is a
+filter alone, so a corpus that fills it counts more windows and loses none.
 
 Defined cases: null text has no words: 0, 0, the digest of the empty string; a text of
 fewer than 35 words keeps all; repeated rows are repeats of each other; an empty table
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +47,10 @@ ANCHOR = 12
 RUN = 60
 #: Bits of the bitmap of repeated anchors: 64 for each, within these bounds (16 kB, 64 MB).
 BITMAP_BITS = (17, 29)
-#: Anchors that a task holds before it passes their counts on.
-HELD = 2_000_000
+#: Anchors, and runs, that a task holds before it passes their counts on.
+HELD, HELD_RUNS = 1_000_000, 60_000
+#: Rows of runs beyond which an anchor's windows are not dealt by it.
+HOT_RUNS = 1_000
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -93,22 +99,13 @@ def _count_anchors(window: int, anchor: int):
 
 
 def _bitmap(repeated: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of the anchors: each of 64 segments is made by one task."""
-    cut = 6
-
-    def fill(table: pa.Table) -> pa.Table:
-        slots = table.column("slot").to_numpy()
-        segment = int(slots[0] >> (bits - cut))
-        on = np.zeros(1 << (bits - cut), dtype=bool)
-        on[slots & ((1 << (bits - cut)) - 1)] = True
-        return pa.table({"segment": pa.array([segment], pa.int64()), "bits": pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())})
-
-    slots = repeated.select(F.expr(f"shiftrightunsigned(anchor, {64 - bits})").alias("slot")).withColumn("part", F.expr(f"shiftright(slot, {bits - cut})"))
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    for row in slots.groupBy("part").applyInArrow(fill, "segment long, bits binary").collect():
-        piece = np.frombuffer(row.bits, dtype=np.uint8)
-        out[row.segment * len(piece) : (row.segment + 1) * len(piece)] = piece
-    return out
+    """The bitmap of the anchors: a 64-bit word for each 64 slots that has any, or-ed in
+    each task, then by word."""
+    slot = F.expr(f"shiftrightunsigned(anchor, {64 - bits})")
+    words = repeated.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("on")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype="<i8")
+    out[words.column("word").to_numpy()] = words.column("on").to_numpy()
+    return out.view(np.uint8)
 
 
 def _find_runs(window: int, anchor: int, bitmap, bits: int):
@@ -166,7 +163,7 @@ def _find_runs(window: int, anchor: int, bitmap, bits: int):
                     [pa.array(keys[0][a:b][of]), pa.array(keys[1][a:b][of]), pa.array((at[first] - offsets[of]).astype(np.int32)), pa.array(anchors), pa.array(ids), pa.nulls(len(first), pa.int64()), none],
                     names=RUNS,
                 )
-                if len(held) > 200_000:
+                if len(held) > HELD_RUNS:
                     yield flush()
         if held:
             yield flush()
@@ -177,6 +174,22 @@ def _find_runs(window: int, anchor: int, bitmap, bits: int):
 RUNS = ["d1", "d2", "start", "anchor", "run", "n", "windows"]
 
 
+def _masks_by_anchor(met: DataFrame) -> DataFrame:
+    """anchor, run and mask of the repeated windows, for rows that are dealt by anchor."""
+    distinct = met.groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"))
+    each = distinct.select("anchor", "run", "n", F.posexplode("windows").alias("i", "window"))
+    counted = each.withColumn("total", F.sum("n").over(Window.partitionBy("anchor", "window")))
+    return counted.filter("total > 1").groupBy("anchor", "run").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
+
+
+def _masks_by_window(met: DataFrame) -> DataFrame:
+    """The same for hot anchors: no group is gathered, sums and masks are map-side first."""
+    distinct = shared.table(met.groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.first("windows").alias("windows")), "dedup-hot-runs")
+    each = distinct.select("anchor", "run", "n", F.posexplode("windows").alias("i", "window"))
+    total = each.groupBy("anchor", "window").agg(F.sum("n").alias("total")).filter("total > 1").drop("total")
+    return each.join(total, ["anchor", "window"], "left_semi").groupBy("anchor", "run").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
+
+
 def removal_masks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """Per distinct text with repeated windows: d1, d2 (hashes of the text) and marks,
     array<struct<start, mask>>: bit i of mask tells that the window at word start + i is
@@ -197,11 +210,14 @@ def removal_masks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
         ),
         "dedup-runs",
     )
+    met = runs.filter("windows IS NOT NULL").select("anchor", "run", "n", "windows")
+    hot = shared.table(met.groupBy("anchor").agg(F.count("*").alias("of")).filter(F.col("of") > HOT_RUNS).select("anchor"), "dedup-hot")
+    crowded = not hot.isEmpty()
     # dealt by anchor once, the sums by run and by window and the masks need no other shuffle
-    distinct = runs.filter("windows IS NOT NULL").select("anchor", "run", "n", "windows").repartition("anchor").groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"))
-    each = distinct.select("anchor", "run", "n", F.posexplode("windows").alias("i", "window"))
-    counted = each.withColumn("total", F.sum("n").over(Window.partitionBy("anchor", "window")))
-    masks = counted.filter("total > 1").groupBy("anchor", "run").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
+    few = met.join(hot, "anchor", "left_anti") if crowded else met
+    masks = _masks_by_anchor(few.repartition("anchor"))
+    if crowded:
+        masks = masks.unionByName(_masks_by_window(met.join(hot, "anchor", "left_semi")))
     return (
         runs.filter("windows IS NULL")
         .select("d1", "d2", "start", "anchor", "run")
@@ -215,30 +231,30 @@ def removal_masks(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
 
 def _cut(window: int, text_at: int, marks_at: int, names: list[str] | None):
     """names None: the digest columns; else the rows with the kept words as text."""
+    bits = np.arange(63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = batch.column(text_at).cast(pa.binary()).to_pylist(), batch.column(marks_at).to_pylist()
+            marks = batch.column(marks_at)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False)).tolist()
+            starts, masks = (x.to_numpy(zero_copy_only=False) for x in marks.flatten().flatten())
             n_words, n_removed, kept = [], [], []
-            for t, m in zip(texts, marks, strict=True):
+            for t, a, b in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), [0, *ends], ends, strict=False):
                 words = (t or b"").split()
                 n_words.append(len(words))
-                if m:
+                left = words
+                if b > a:
+                    row, bit = np.nonzero((masks[a:b, None] >> bits) & 1)
+                    at = starts[a:b][row] + bit
                     edge = np.zeros(len(words) + 1, dtype=np.int32)
-                    for x in m:
-                        bits = np.flatnonzero(np.unpackbits(np.frombuffer(int(x["mask"]).to_bytes(8, "little"), dtype=np.uint8), bitorder="little")) + x["start"]
-                        np.add.at(edge, bits, 1)
-                        np.add.at(edge, bits + window, -1)
-                    keep = np.cumsum(edge[:-1]) == 0
-                    left = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                    n_removed.append(len(words) - len(left))
-                else:
-                    left = words
-                    n_removed.append(0)
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + window, -1)
+                    left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
+                n_removed.append(len(words) - len(left))
                 if names is None:
                     kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
                 else:
-                    kept.append(b" ".join(left).decode() if m else (t.decode() if t is not None else None))
+                    kept.append(b" ".join(left).decode() if b > a else (t.decode() if t is not None else None))
             if names is None:
                 yield pa.record_batch([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
             else:
@@ -248,6 +264,10 @@ def _cut(window: int, text_at: int, marks_at: int, names: list[str] | None):
     return run
 
 
+#: Columns that stand beside the caller's on the way.
+OWN = ("_k1", "_k2", "_d1", "_d2", "_marks")
+
+
 def _marked(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     masks = removal_masks(docs, window, anchor).withColumnsRenamed({"d1": "_d1", "d2": "_d2", "marks": "_marks"})
     keyed = docs.withColumns({"_k1": F.xxhash64("text"), "_k2": F.hash("text").cast("long")})
@@ -264,9 +284,10 @@ def dedup_digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The rows of ``docs`` with the repeated words gone from text (kept words joined by a
     space; untouched texts stay as they are) and n_chars, where there is one, renewed."""
+    docs, back = shared.aside(docs, OWN)
     names = docs.columns
-    rows = _marked(docs, window, anchor).select(*names, "_marks")
-    return rows.mapInArrow(_cut(window, names.index("text"), len(names), names), docs.schema)
+    rows = _marked(docs, window, anchor).select(*[f"`{n}`" for n in names], "_marks")
+    return shared.map_arrow(rows, _cut(window, names.index("text"), len(names), names), docs.schema).withColumnsRenamed(back)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,8 +245,9 @@ def repeats(texts, window):
     return words, out
 
 
-@pytest.mark.parametrize(("window", "anchor"), [(5, 2), (6, 5), (35, 12)])
-def test_substring_dedup(spark, window, anchor):
+@pytest.mark.parametrize(("window", "anchor", "hot"), [(5, 2, 1000), (5, 2, 1), (6, 5, 2), (35, 12, 1000)])
+def test_substring_dedup(spark, monkeypatch, window, anchor, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_RUNS", hot)
     rng = random.Random(window)
     passage = " ".join(f"p{i}" for i in range(2 * window))
     texts = invented(rng, 40, 4) + [f"{t} {passage} {t}" for t in invented(rng, 5)] + ["a " * (3 * window), "a b " * (2 * window), passage, passage, None, "", " ".join(f"u{i}" for i in range(5000))]

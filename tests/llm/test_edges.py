@@ -10,7 +10,7 @@ from rillmark.llm import chat_format, decontaminate, fingerprint, html_text, jac
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for their own columns.
-CLASH = ("score", "items", "spans", "n_words", "n_hit", "size", "taken", "epoch", "key", "block", "guest", "n", "label", "rep", "row", "host", "path", "rule", "verdict", "word", "turns", "loss_spans", "d1", "run")
+CLASH = ("score", "items", "spans", "n_words", "n_hit", "size", "taken", "epoch", "key", "block", "guest", "n", "label", "rep", "row", "host", "path", "rule", "verdict", "word", "turns", "loss_spans", "d1", "run", "_k1", "_marks", "_row", "_nth", "_place", "_cut", "_times", "_words", "_more")
 
 
 @pytest.fixture(scope="module")
