@@ -49,8 +49,8 @@ from . import rolling, shared
 HOT, OFTEN = 1 << 18, 4
 #: The longest multi-match, and the postings that a verification is worth.
 MOST_MATCHES, VERIFY = 4, 16
-#: Pairs that may be broadcast (three longs each).
-FEW_PAIRS = 1_000_000
+#: Pairs, and rows of pivots, that may be broadcast (three longs, seven values each).
+FEW_PAIRS, FEW_PIVOTS = 1_000_000, 100_000
 #: Shingles a task holds while counting.
 HELD = 2_000_000
 #: The count from which a shingle's postings are not dealt by the shingle.
@@ -208,13 +208,18 @@ def components(edges: DataFrame) -> DataFrame:
     node takes the least label around it, then the label of its label, until none changes."""
     both = shared.table(edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "join-edges")
     labels = shared.table(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"), "join-labels")
+    last = labels
     while True:
         around = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
         near = labels.join(around, labels.node == around.u).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("at"), F.col("label").alias("further"))
         new = shared.table(near.join(jump, near.label == jump["at"]).select("node", "old", F.least("label", "further").alias("label")), "join-labels")
+        shared.drop(last)
+        last = new
         labels = new.select("node", "label")
         if new.filter("label != old").isEmpty():
+            labels.stored_at = new.stored_at
+            shared.drop(both)
             return labels
 
 
@@ -235,7 +240,9 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(row_key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = shared.map_arrow(texts.select("text"), _frequent(k), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
-    hot = shared.most_frequent(shared.table(counts, "join-frequent"), HOT).toArrow()
+    often = shared.table(counts, "join-frequent")
+    hot = shared.most_frequent(often, HOT).toArrow()
+    shared.drop(often)
     values = hot.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(values)
     known = spark.sparkContext.broadcast((values[order], hot.column("n").to_numpy()[order]))
@@ -260,9 +267,9 @@ def _grouped(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return ids.join(named, ["n", "s1", "s2"], "left").select("row", "doc_id", "n", F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("label", "row").alias("label"))
 
 
-def _few(table: DataFrame) -> DataFrame:
+def _few(table: DataFrame, most: int | None = None) -> DataFrame:
     """Broadcast a stored table of ids where it is counted to be small."""
-    return F.broadcast(table) if table.count() <= FEW_PAIRS else table
+    return F.broadcast(table) if table.count() <= (most or FEW_PAIRS) else table
 
 
 def _link(texts: DataFrame, reps: DataFrame, crowded: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
@@ -271,11 +278,12 @@ def _link(texts: DataFrame, reps: DataFrame, crowded: DataFrame, k: int, num: in
     # a pair that links shares one of the first n - ceil(s n) + 1; later ones serve the match
     first = F.col("n") - F.ceil(F.col("n") * num / den).cast("long") + 1
     every = reps.select(F.posexplode(F.slice("prefix", F.lit(1), first.cast("int"))).alias("at", "shingle"), "rep").select("shingle", "rep", "at")
-    postings = every.join(F.broadcast(crowded), "shingle", "left_anti").repartition("shingle")
-    counted = postings.groupBy("shingle").agg(F.count("*").alias("of")).filter("of > 1").select("shingle")
-    met = postings.join(counted, "shingle", "left_semi").unionByName(every.join(F.broadcast(crowded), "shingle", "left_semi")).withColumnRenamed("rep", "met")
-    buckets = shared.table(met.join(reps.select("rep", "n", "typical"), F.col("met") == F.col("rep")).select("shingle", "rep", "n", "typical", F.col("at").alias("lack"), F.col("rep").alias("label")), "join-buckets")
-    buckets = shared.table(_alive(buckets, num, den), "join-buckets")
+    # dealt once: no shingle has SPLIT postings here but those that no task saw twice
+    counted = every.join(F.broadcast(crowded), "shingle", "left_anti").withColumn("of", F.count("*").over(Window.partitionBy("shingle")))
+    met = counted.filter("of > 1").drop("of").unionByName(every.join(F.broadcast(crowded), "shingle", "left_semi")).withColumnRenamed("rep", "met")
+    first_buckets = shared.table(met.join(reps.select("rep", "n", "typical"), F.col("met") == F.col("rep")).select("shingle", "rep", "n", "typical", F.col("at").alias("lack"), F.col("rep").alias("label")), "join-buckets")
+    buckets = shared.table(_alive(first_buckets, num, den), "join-buckets")
+    shared.drop(first_buckets)
     links = labels = None
     pivots = 1
     while not buckets.isEmpty():
@@ -286,7 +294,7 @@ def _link(texts: DataFrame, reps: DataFrame, crowded: DataFrame, k: int, num: in
             "join-pivots",
         )
         pairs = (
-            chosen.join(buckets, "shingle")
+            buckets.join(_few(chosen, FEW_PIVOTS), "shingle")
             .filter("label != pivot_label")
             .filter((den + num) * _most_shared() >= num * (F.col("n") + F.col("pivot_n")))
             .select(F.col("pivot").alias("u"), F.col("rep").alias("v"))
@@ -294,15 +302,20 @@ def _link(texts: DataFrame, reps: DataFrame, crowded: DataFrame, k: int, num: in
         )
         found = _verified(texts, reps, pairs, k, num, den)
         if found is not None:
+            before, old = links, labels
             links = found if links is None else shared.table(links.unionByName(found), "join-links")
             labels = components(links)
+            if before is not None:
+                shared.drop(before, found, old)
         if labels is not None:
             named = buckets.drop("label").join(_few(labels), F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
         else:
             named = buckets
         done = chosen.select("shingle", F.col("pivot").alias("rep"))
-        rest = named.join(_few(done), ["shingle", "rep"], "left_anti")
+        rest = shared.table(named.join(done, ["shingle", "rep"], "left_anti"), "join-rest")
+        shared.drop(buckets, chosen)
         buckets = shared.table(_alive(rest, num, den), "join-buckets")
+        shared.drop(rest)
         pivots *= 4
     return labels
 
@@ -325,24 +338,33 @@ def _verified(texts: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, num:
     """The pairs (pivot u, other v) that link, or None if there are none."""
     pairs = shared.table(pairs, "join-met")
 
+    ids = {c: shared.table(pairs.select(F.col(c).alias("rep")).distinct(), "join-side") for c in "uv"}
+
     def side(c: str) -> DataFrame:
-        ids = shared.table(pairs.select(F.col(c).alias("rep")).distinct(), "join-side")
-        return reps.join(_few(ids), "rep", "left_semi").select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("m").alias(f"m_{c}"), F.col("prefix").alias(f"prefix_{c}"), F.col("sketch").alias(f"sketch_{c}"))
+        # a match of one is the bucket's own shingle; shorter marks of the others that are
+        # equal by chance within a prefix are counted as common
+        mark = F.transform("prefix", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+        prefix = F.when(F.col("m") > 1, mark)
+        return reps.join(_few(ids[c]), "rep", "left_semi").select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("m").alias(f"m_{c}"), prefix.alias(f"prefix_{c}"), F.col("sketch").alias(f"sketch_{c}"))
 
+    alike = F.size("prefix_u") - F.size(F.array_distinct("prefix_u"))
     matched = (
         pairs.join(side("u"), "u")
         .join(side("v"), "v")
-        .filter(F.size(F.array_intersect("prefix_u", "prefix_v")) >= F.least("m_u", "m_v"))
+        .filter((F.least("m_u", "m_v") == 1) | (F.size(F.array_intersect("prefix_u", "prefix_v")) + alike >= F.least("m_u", "m_v")))
         .select("u", "v", "n_u", "n_v", "sketch_u", "sketch_v")
     )
     candidates = shared.table(shared.map_arrow(matched, _may_link(num, den), "u long, v long"), "join-pairs")
+    shared.drop(pairs, *ids.values())
     if candidates.isEmpty():
+        shared.drop(candidates)
         return None
     v_texts = texts.join(_few(candidates), texts.row == candidates.v).select("u", "v", F.col("text").alias("text_v"))
     u_ids = shared.table(candidates.select("u").distinct(), "join-side")
     u_texts = texts.join(_few(u_ids), texts.row == u_ids.u).select("u", F.col("text").alias("text_u"))
     rows = v_texts.join(u_texts, "u").select("u", "v", "text_v", "text_u")
     found = shared.table(shared.map_arrow(rows, _verify(k, num, den), "u long, v long").distinct(), "join-links")
+    shared.drop(candidates, u_ids)
     return None if found.isEmpty() else found
 
 

@@ -30,6 +30,9 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: Rows and bytes in one Arrow batch; a longer row is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
+#: The setting by which Spark removes the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -56,19 +59,47 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rillmark/{name}-{uuid.uuid4().hex}"
     packaging.send(spark)
-    df.write.parquet(path)
+    with _cleaning(spark):
+        df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: its shuffle files go as soon as it is there."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if (spark, path) in _made:
+        _made.remove((spark, path))
+        with contextlib.suppress(Exception):  # the session may be over
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete the tables of this session."""
     for session, path in list(_made):
         if session is spark:
-            _made.remove((session, path))
-            with contextlib.suppress(Exception):  # the session may be over
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(session, path)
 
 
 @atexit.register
