@@ -2,10 +2,11 @@
 
 A turn is rendered as ``<s>[INST]role[/INST]text</s>``.  The rendered turn is read again by
 a deterministic parser (control strings in this very order, nothing before or after); if
-what it recovers is not the source, the turn's role and text are escaped and the turn is
-rendered again.  Escaping removes the first character of every control string, so the
-second reading always recovers the source; the formatted conversation is parsed as a
-whole, and the offsets of the loss mask come from the rendered lengths.
+what it recovers is not the source, the turn's role and text are escaped, the turn is
+rendered and read again.  Escaping removes the first character of every control string, so
+this reading recovers the source; if it did not, the query would fail.  The formatted
+conversation is parsed and compared as a whole too.  The loss mask is a list of offsets in
+code points of the formatted text; ``masked`` reads what lies under it.
 
 The escape character is U+241B; it, ``<`` and ``[`` become it and a digit.  Reading undoes
 this for every turn, so a plain turn that happens to hold such a pair is escaped too.
@@ -20,12 +21,11 @@ table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shared
+from .shared import let
 
 #: The control strings of the template and the escapes.
 BEGIN, ROLE, TEXT, END = "<s>", "[INST]", "[/INST]", "</s>"
@@ -50,12 +50,6 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit(BEGIN + ROLE), role, F.lit(TEXT), text, F.lit(END))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body and its lambdas
-    name it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def parse(formatted: Column) -> Column:
     """The turns of a formatted text, array<struct<role, text>>; null where the control
     strings do not follow the grammar."""
@@ -76,16 +70,22 @@ def parse(formatted: Column) -> Column:
     return let(found, read)
 
 
+def same_or_fail(read: Column, source: Column, good: Column) -> Column:
+    """``good`` where what was read equals the source; else the query fails."""
+    return F.when(F.coalesce(read == source, F.lit(False)), good).otherwise(F.raise_error(F.lit("chat formatting: the formatted text does not read back as its source")))
+
+
 def render_turns(turns: DataFrame) -> DataFrame:
     """Per turn: conv_id, turn, role, text (nulls empty), escaped, rendered.  The plain
-    rendering is kept where its reading gives back role and text."""
+    rendering is kept where its reading gives back role and text, else the escaped one."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     source = F.array(F.struct("role", "text"))
     plain = render(F.col("role"), F.col("text"))
+    again = let(render(escape(F.col("role")), escape(F.col("text"))), lambda r: same_or_fail(parse(r), source, r))
     return (
         rows.withColumn("plain", plain)
         .withColumn("escaped", ~F.coalesce(parse(F.col("plain")) == source, F.lit(False)))
-        .withColumn("rendered", F.when(F.col("escaped"), render(escape(F.col("role")), escape(F.col("text")))).otherwise(F.col("plain")))
+        .withColumn("rendered", F.when(F.col("escaped"), again).otherwise(F.col("plain")))
         .drop("plain")
     )
 
@@ -106,21 +106,28 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return (
         placed.groupBy("conv_id")
         .agg(
-            F.sort_array(F.collect_list(F.struct("place", "rendered"))).alias("parts"),
+            F.sort_array(F.collect_list(F.struct("place", "rendered", "role", "text"))).alias("parts"),
             F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", F.struct("start", "end")))).alias("loss_spans"),
         )
-        .select("conv_id", F.array_join(F.transform("parts", lambda p: p["rendered"]), "").alias("formatted"), "loss_spans")
-        .withColumn("turns", parse(F.col("formatted")))
+        .withColumn("formatted", F.array_join(F.transform("parts", lambda p: p["rendered"]), ""))
+        .withColumn("source", F.transform("parts", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text"))))
+        .select("conv_id", "formatted", "loss_spans", let(parse(F.col("formatted")), lambda t: same_or_fail(t, F.col("source"), t)).alias("turns"))
     )
 
 
+def masked(formatted: Column, spans: Column) -> Column:
+    """The text under the loss mask, unescaped.  Offsets are looked up in four bytes a code
+    point, so that a span costs its own length."""
+    read = lambda wide: F.transform(spans, lambda s: unescape(F.decode(F.substring(wide, (s["start"] * 4 + 1).cast("int"), ((s["end"] - s["start"]) * 4).cast("int")), "UTF-32")))
+    return F.array_join(let(F.encode(formatted, "UTF-32"), read), "")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT CAST(conv_id AS BIGINT) conv_id, CAST(turn AS BIGINT) turn, role, text FROM VALUES (-1, 0, 'user', '{said}'), (-1, 1, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     chats = format_chats(shared.read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return (
-        chats.withColumn("loss", loss)
+        chats.withColumn("loss", masked(F.col("formatted"), F.col("loss_spans")))
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),

@@ -2,15 +2,18 @@
 
 A host's key is its labels in reverse, each followed by ``/``, which no host contains.
 A rule fits the keys that start with its own, which is an interval of the sort order, and
-such intervals nest.  A sweep in key order therefore needs only the rule host that began
-last: it carries the stack of those around it, and what has ended is popped by comparing
-prefixes.  Within the stack the longest rule whose path is a prefix of the url's wins.
+such intervals nest.  The sweep goes through rules and hosts in key order with a stack:
+where a rule's interval begins, the rules that have ended (their keys are no beginning of
+this one) are popped, and the rule is pushed; a host pops likewise and finds the rules that
+are active for it.  A rule's path holds for all subdomains, so it bounds no interval: within
+the stack the longest rule whose path is a prefix of the url's wins.
 
 Scale: only the distinct hosts are swept, so a host with a third of all rows is one row.
-They are range-partitioned by key into a table; each range is swept by a window of its
-own, and the rule that was open at a range's start comes from a window over one row a
-range.  The verdict's stack joins back by host; Spark broadcasts that side only below its
-size threshold, and splits a hot host of a sort-merge join otherwise.  html is not read.
+They are range-partitioned by key into a table.  Each range folds its own rules into
+stacks; what is open at a range's start comes from a second fold over one row a range; a
+window inside the range brings each host the last stack before it.  The verdict's stack
+joins back by host; Spark broadcasts that side only below its size threshold, and splits a
+hot host of a sort-merge join otherwise.  html is not read.
 
 Defined cases: url null or without ``://``: host and path empty, no rule, default verdict;
 repeated rows are judged each; empty tables give empty results; a rule of the same length
@@ -45,41 +48,75 @@ def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {quoted} AS t(host, path, verdict)")
 
 
-def stacks(rules: DataFrame) -> DataFrame:
-    """One row a rule host: its key and stack, the rules of that host and of the hosts
-    around it.  A host has as many hosts around it as labels, so this is an equi-join of
-    the rules with themselves."""
-    own = (
-        rules.select(shared.lower_ascii(F.col("host")).alias("host"), "path", "verdict")
-        .groupBy("host")
-        .agg(F.collect_set(F.struct("path", "verdict")).alias("own"))
-        .withColumn("key", host_key(F.col("host")))
-    )
-    labels = F.split(F.col("host"), r"\.")
-    around = own.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: host_key(F.array_join(F.slice(labels, F.size(labels) - i + 1, i), ".")))).alias("outer"))
+#: A stack of rules, the outermost first.
+STACK = "array<struct<key:string,host:string,path:string,verdict:string>>"
+
+
+def begins(rules: DataFrame) -> DataFrame:
+    """One row a rule host: the key where its interval begins, and its own rules."""
+    host = shared.lower_ascii(F.col("host"))
     return (
-        around.join(own.select(F.col("key").alias("outer"), "host", "own"), "outer")
-        .select("key", F.explode(F.transform("own", lambda r: F.struct(F.col("outer").alias("key"), F.col("host").alias("host"), r["path"].alias("path"), r["verdict"].alias("verdict")))).alias("rule"))
+        rules.select(host_key(host).alias("key"), F.struct(host_key(host).alias("key"), host.alias("host"), "path", "verdict").alias("rule"))
         .groupBy("key")
-        .agg(F.collect_list("rule").alias("stack"))
+        .agg(F.sort_array(F.collect_set("rule")).alias("own"))
     )
 
 
+def open_at(stack: Column, key: Column) -> Column:
+    """The stack without the rules that have ended before ``key``."""
+    return F.filter(stack, lambda r: F.startswith(key, r["key"]))
+
+
+def _fold(steps: Column, out_type: str, stack_after, out_of) -> Column:
+    """Goes through ``steps`` with a stack and gathers what ``out_of`` makes of a step, the
+    stack before it and the stack after it."""
+    zero = F.struct(F.array().cast(STACK).alias("stack"), F.array().cast(f"array<{out_type}>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return shared.let(
+            stack_after(acc["stack"], x),
+            lambda stack: F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(out_of(x, acc["stack"], stack))).alias("out")),
+        )
+
+    return F.aggregate(steps, zero, step)
+
+
 def sweep(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     """Per distinct host of ``hosts`` that lies in a rule's interval: host and the stack
     of rules active there."""
-    starts = stacks(rules).select("key", F.lit(None).cast("string").alias("host"), F.lit(0).alias("kind"), "stack")
-    points = hosts.select(host_key(F.col("host")).alias("key"), "host", F.lit(1).alias("kind"), F.lit(None).cast(starts.schema["stack"].dataType).alias("stack"))
+    starts = begins(rules).select("key", F.lit(None).cast("string").alias("host"), "own")
+    points = hosts.select(host_key(F.col("host")).alias("key"), "host", F.lit(None).cast(STACK).alias("own"))
     n = int(hosts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = shared.table(starts.unionByName(points).repartitionByRange(n, "key").withColumn("part", F.spark_partition_id()), "url-order")
-    to_here = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    ends = ordered.groupBy("part").agg(F.max_by("stack", F.when(F.col("kind") == 0, F.col("key"))).alias("last"))
-    carried = ends.select(F.col("part").alias("of_part"), F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    pushed = _fold(
+        F.col("rules"),
+        f"struct<key:string,stack:{STACK}>",
+        lambda stack, x: F.concat(open_at(stack, x["key"]), x["own"]),
+        lambda x, _, stack: F.struct(x["key"].alias("key"), stack.alias("stack")),
+    )
+    ranges = (
+        ordered.groupBy("part")
+        .agg(F.sort_array(F.collect_list(F.when(F.col("own").isNotNull(), F.struct("key", "own")))).alias("rules"))
+        .select("part", F.get(F.col("rules.key"), F.size("rules") - 1).alias("last"), pushed.alias("pushed"))
+    )
+    ranges = shared.table(ranges.select("part", "last", "pushed.stack", F.col("pushed.out").alias("begun")), "url-ranges")
+    carried = _fold(
+        F.col("ranges"),
+        f"struct<part:int,stack:{STACK}>",
+        lambda stack, x: F.when(x["last"].isNull(), stack).otherwise(F.concat(open_at(stack, x["last"]), x["stack"])),
+        lambda x, before, _: F.struct(x["part"].alias("part"), before.alias("stack")),
+    )
+    carried = ranges.groupBy().agg(F.sort_array(F.collect_list(F.struct("part", "last", "stack"))).alias("ranges")).select(F.explode(carried["out"]).alias("c"))
+    stacks = ranges.select("part", F.explode("begun").alias("b")).select("part", "b.key", F.lit(None).cast("string").alias("host"), "b.stack")
+    to_here = Window.partitionBy("part").orderBy("key", F.col("host").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        ordered.withColumn("begun", F.last("stack", ignorenulls=True).over(to_here))
-        .filter(F.col("kind") == 1)
-        .join(carried, F.col("part") == F.col("of_part"))
-        .select("host", F.filter(F.coalesce("begun", "carried"), lambda r: F.startswith(F.col("key"), r["key"])).alias("active"))
+        ordered.filter("own IS NULL")
+        .select("part", "key", "host", F.lit(None).cast(STACK).alias("stack"))
+        .unionByName(stacks)
+        .withColumn("begun", F.last("stack", ignorenulls=True).over(to_here))
+        .filter("host IS NOT NULL")
+        .join(carried.select(F.col("c.part").alias("of_part"), F.col("c.stack").alias("carried")), F.col("part") == F.col("of_part"))
+        .select("host", open_at(F.concat("carried", F.coalesce("begun", F.array().cast(STACK))), F.col("key")).alias("active"))
         .filter(F.size("active") > 0)
     )
 

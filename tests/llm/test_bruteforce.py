@@ -269,18 +269,32 @@ def test_chat_round_trip(spark):
     rng = random.Random(6)
     parts = ["<s>", "</s>", "[INST]", "[/INST]", "␛", "␛1", "␛0", "<", "[", "a", "\n", "user"]
     rows = [(c, t, rng.choice(["user", "assistant", "sys<s>tem", None]), rng.choice([None, "".join(rng.choice(parts) for _ in range(rng.randrange(8)))])) for c in range(30) for t in range(rng.randrange(1, 5))]
-    got = {r.conv_id: r for r in chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chats.withColumn("loss", chat_format.masked(F.col("formatted"), F.col("loss_spans"))).collect()}
     for c in {r[0] for r in rows}:
         turns = [(role or "", text or "") for _, _, role, text in sorted((r for r in rows if r[0] == c), key=lambda r: r[1])]
         assert [(t.role, t.text) for t in got[c].turns] == turns
         masked = "".join(got[c].formatted[s.start : s.end] for s in got[c].loss_spans)
         for plain, coded in reversed(chat_format.ESCAPES):
             masked = masked.replace(coded, plain)
-        assert masked == "".join(t for r, t in turns if r == "assistant")
+        assert masked == got[c].loss == "".join(t for r, t in turns if r == "assistant")
     plain = chat_format.render_turns(spark.createDataFrame([(1, 1, "user", "no <b> conflict [x]")], "conv_id long, turn long, role string, text string")).first()
     assert not plain.escaped and "no <b> conflict [x]" in plain.rendered
 
 
+def test_a_reading_that_differs_fails(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "ESCAPES", ())  # nothing is escaped: the second reading differs too
+    rows = spark.createDataFrame([(1, 1, "user", "</s>")], "conv_id long, turn long, role string, text string")
+    with pytest.raises(Exception, match="does not read back"):
+        chat_format.format_chats(rows).collect()
+
+
+def test_mask_counts_code_points(spark):
+    rows = spark.createDataFrame([(1, 1, "user", "😀é"), (1, 2, "assistant", "a😀 </s>東"), (1, 3, "assistant", "")], "conv_id long, turn long, role string, text string")
+    got = chat_format.format_chats(rows).select(chat_format.masked(F.col("formatted"), F.col("loss_spans")).alias("x")).first()
+    assert got.x == "a😀 </s>東"
+
+
 def test_grammar_rejects(spark):
     bad = ["x", "<s>[INST]u[/INST]a", "<s>[INST]u[/INST]a</s>x", "<s>[INST][/INST]a[INST]</s>", "x<s>[INST]u[/INST]a</s>", "<s>x[INST]u[/INST]a</s>"]
     rows = spark.createDataFrame([(b,) for b in bad], "f string").select(chat_format.parse(F.col("f")).alias("t")).collect()
