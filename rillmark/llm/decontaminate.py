@@ -12,7 +12,8 @@ n_words in the contract) is contaminated.  ``decontaminate`` drops those, or, wi
 
 Scale: one narrow pass over the texts, no shuffle.  Items are read in blocks of about
 BLOCK_WORDS words, one automaton each; a block is all that goes to the driver and to a
-worker at once.  Several blocks are several passes that add up hits.
+worker at once.  Each further block scans the texts once more and writes only the hits, by
+a hash of the text; they join in the last pass, broadcast where they are counted to be few.
 
 Defined cases: null text or no words: nothing hit, not contaminated; null or empty item:
 no window; null item_id counts as the empty string; items equal in id count once; repeated
@@ -35,8 +36,8 @@ from . import shared
 WINDOW = 13
 #: A text is contaminated from one hit word in so many.
 COVERAGE = 20
-#: Words of items in one automaton.
-BLOCK_WORDS = 200_000
+#: Words of items in one automaton, and texts that other blocks hit that may be broadcast.
+BLOCK_WORDS, FEW_HITS = 200_000, 20_000
 
 #: ASCII letters lower-cased, digits and bytes of other characters kept, all else a space.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -167,38 +168,50 @@ def _merge(a: list[list[int]], b: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scan(broadcast, window: int, names: list[str], first: bool):
+def _spans(spans: list[list[int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in spans]
+
+
+def _hits(broadcast, window: int):
+    """The texts that a block hits, by their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(broadcast.value, window)
+        for batch in batches:
+            found = [automaton.scan(words_of(t)) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            take = pa.array([i for i, (s, _) in enumerate(found) if s], pa.int64())
+            hit = [x for x in found if x[0]]
+            yield pa.record_batch([*[batch.column(i).take(take) for i in range(2)], pa.array([sorted(i) for _, i in hit], ITEMS), pa.array([_spans(s) for s, _ in hit], SPANS)], names=["h1", "h2", "items", "spans"])
+
+    return run
+
+
+def _scan(broadcast, window: int, names: list[str]):
+    """The rows with the hits of the last block and those known of the others."""
     text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton(broadcast.value, window)
         for batch in batches:
             n_words, spans, items = [], [], []
-            known = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True) if not first else None
-            for t in batch.column(text_at).cast(pa.binary()).to_pylist():
+            known = zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)
+            for t, (old_items, old_spans) in zip(batch.column(text_at).cast(pa.binary()).to_pylist(), known, strict=True):
                 words = words_of(t)
                 s, i = automaton.scan(words)
-                if known:
-                    old_spans, old_items = next(known)
+                if old_items:
                     s, i = _merge(s, [[x["start"], x["end"]] for x in old_spans]), i | set(old_items)
                 n_words.append(len(words))
-                spans.append([{"start": a, "end": b} for a, b in s])
+                spans.append(_spans(s))
                 items.append(sorted(i))
-            yield pa.record_batch(
-                [
-                    *[batch.column(i) for i in range(len(names))],
-                    pa.array(n_words, pa.int64()),
-                    pa.array([sum(x["end"] - x["start"] for x in s) for s in spans], pa.int64()),
-                    pa.array(items, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                ],
-                names=[*names, *RESULT],
-            )
+            hit = [sum(x["end"] - x["start"] for x in s) for s in spans]
+            yield pa.record_batch([*[batch.column(i) for i in range(len(names))], pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, ITEMS), pa.array(spans, SPANS)], names=[*names, *RESULT])
 
     return run
 
 
 RESULT = ("n_words", "n_hit", "items", "spans")
+ITEMS, SPANS = pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+KNOWN = "array<string>", "array<struct<start:int,end:int>>"
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -206,20 +219,32 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     (word offsets of the hits)."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    # a word takes two bytes with its gap, so this bounds the words of a block
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // (6 * block_words)))
-    out = docs.drop(*RESULT)
+    total = items.agg(F.coalesce(F.sum(F.regexp_count(shared.lower_ascii(F.col("text")), F.lit(shared.ALNUM))), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_words))
+
+    def block(b: int):
+        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).sort("item_id", "text").toLocalIterator()
+        return spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in rows])
+
+    out, back = shared.aside(docs.drop(*RESULT), ("_items", "_spans", "_h1", "_h2"))
     names = out.columns
-    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    added = zip(RESULT, (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), spans), strict=True)
-    schema = T.StructType([*out.schema.fields, *[T.StructField(n, t) for n, t in added]])
-    for b in range(blocks):
-        block = [(r.item_id, r.text.encode()) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).sort("item_id", "text").toLocalIterator()]
-        if b:
-            out = shared.table(out, "decontaminate")
-        out = shared.map_arrow(out, _scan(spark.sparkContext.broadcast(block), window, names, b == 0), schema)
-    return out
+    hashes = F.xxhash64("text"), F.hash("text").cast("long")
+    known = None
+    for b in range(blocks - 1):
+        hit = shared.map_arrow(out.select(hashes[0].alias("h1"), hashes[1].alias("h2"), "text"), _hits(block(b), window), f"h1 long, h2 long, items {KNOWN[0]}, spans {KNOWN[1]}")
+        hit = shared.table(hit.distinct(), "decontaminate")
+        known = hit if known is None else known.unionByName(hit)
+    if known is None:
+        rows = out.withColumns({"_items": F.lit(None).cast(KNOWN[0]), "_spans": F.lit(None).cast(KNOWN[1])})
+    else:
+        # a row for each text and block that hits it, then one for each text
+        known = known.groupBy("h1", "h2").agg(F.flatten(F.collect_list("items")).alias("_items"), F.flatten(F.collect_list("spans")).alias("_spans"))
+        known = shared.table(known.withColumnsRenamed({"h1": "_h1", "h2": "_h2"}), "decontaminate")
+        known = F.broadcast(known) if known.count() <= FEW_HITS else known
+        rows = out.join(known, (F.col("_h1") == hashes[0]) & (F.col("_h2") == hashes[1]), "left").drop("_h1", "_h2")
+    added = ", ".join(f"{n} {t}" for n, t in zip(RESULT, ("long", "long", *KNOWN), strict=True))
+    schema = T.StructType([*out.schema.fields, *T.StructType.fromDDL(added).fields])
+    return shared.map_arrow(rows, _scan(block(blocks - 1), window, names), schema).withColumnsRenamed(back)
 
 
 def contaminated() -> Column:
@@ -263,7 +288,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cut: bool = False, span
     hits, names = find_hits(renamed, benchmark), renamed.columns
     if not cut:
         return hits.filter(~contaminated()).select(*names).withColumnsRenamed(back)
-    return hits.select(*names, "spans").mapInArrow(_without_spans(span, names), renamed.schema).withColumnsRenamed(back)
+    return shared.map_arrow(hits.select(*names, "spans"), _without_spans(span, names), renamed.schema).withColumnsRenamed(back)
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
