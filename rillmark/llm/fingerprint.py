@@ -159,7 +159,7 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     keys = docs.select(key.alias("key"))
     n = keys.count()
     blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
-    bounds = sorted(set(keys.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 100 * blocks)).first()[0] or [])) if blocks > 1 else []
+    bounds = sorted(set(keys.agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], max(10_000, 10 * blocks))).first()[0] or [])) if blocks > 1 else []
     marks = F.lit(bounds).cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
     block = F.lit(len(bounds)) - shared.block_of(key, marks, len(bounds))
     # the largest id of each block is the next of the block before it; the largest of all, of the last block

@@ -1,29 +1,33 @@
 """HTML extraction with nearest-URL page differencing.
 
-A page is read into text lines, one for each block, without what its markup says is not
-the article: menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts
-and styles, by element, role, class and id.  A class or id rules out if all its parts say
-so (``sidebar``, ``cookie-notice``, ``ad-slot-1``; not ``has-sidebar``), and never html, body,
+A page is read into all its text lines, one for each block.  Pages are put in the order of
+host and path, each is paired with the neighbour of its host whose path is nearest (the
+longer common beginning), the lines of both are aligned by longest common subsequence, and
+shared lines are deleted: menus, footers and notices, and the site's lines inside an article
+or main element too.  Of what is left, lines go whose markup says that they are not the
+article (a menu that differs from page to page, comments, an advert), by element, role,
+class and id.  A line that markup rules out aligns only with such lines, so a heading stays
+where the next page's sidebar names it.  A class or id rules out if all its parts say so
+(``sidebar``, ``cookie-notice``, ``ad-slot-1``; not ``has-sidebar``), and never html, body,
 main, an article that is not within another, nor an element around the page's main or all
-its articles.  What is left may still hold
-the site's own lines.  Pages are therefore put in the order of host and path, each is
-paired with the neighbour of its host whose path is nearest (the longer common beginning),
-the lines of both are aligned by longest common subsequence, and shared lines are deleted,
-those inside an article or main element too.  Two pages may well carry the same article: a
-neighbour that shares all lines of the article, or more than COPY of both its lines and
-its text, is a copy, which tells nothing of them, so the other neighbour is asked, or the
-article's lines stay (also those that the site repeats); shared lines beside the article
-go.  A page without article or main that shares all its lines with a neighbour is its copy
-likewise.
+its articles.
+
+Equal pages of a host are one page in that order, so a page is never paired with its own
+copy.  Other pages may well carry the same article: a neighbour that shares all lines of
+the article, or more than COPY of both its lines and its text, is a copy, which tells
+nothing of them, so the other neighbour is asked, or the article's lines stay; shared lines
+beside the article go.  A page without article or main that shares all its lines with a
+neighbour is its copy likewise.
 
 Scale: the html moves once.  Pages are dealt to blocks of the order, with bounds from a
-sample of at most SAMPLE keys, so a host with a third of all pages is many blocks; the
+sample of about SAMPLE keys, so a host with a third of all pages is many blocks; the
 pages at a block's ends go to both blocks.  A block is read in order and three pages are
-held.
+held.  Pages with an equal one before them are found by hash and take its text by a join;
+their keys are broadcast only where counted to be at most FEW_COPIES.
 
 Defined cases: null html is the empty page, without text; null url (or none with ``://``)
-has the empty host and path; equal urls by page_id, null first; repeated rows are each
-other's copies; an empty table gives an empty result; extra columns are ignored.
+has the empty host and path; equal urls by page_id, null first; repeated rows
+get the same text; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ from .url_rules import host_and_path
 
 #: Pages in a block, blocks, and keys sampled for their bounds, at most.
 BLOCK_ROWS, MOST_BLOCKS, SAMPLE = 1_000, 1 << 14, 1 << 16
+#: Classes of equal pages that may be broadcast.
+FEW_COPIES = 100_000
 
 #: The part of an article, in lines and in text, beyond which a neighbour that shares it
 #: carries the same article.
@@ -95,31 +101,40 @@ def _is_out(name: str, attributes: str) -> tuple[bool, bool]:
     return by_words, by_words
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """The lines of a page that its markup does not rule out, and whether each lies in an
-    article or main element."""
+Line = tuple[str, bool, bool]
+
+
+def all_lines_of(page: str) -> list[Line]:
+    """The lines of a page, whether each lies in an article or main element, and whether
+    its markup rules it out."""
     lines, around_main, around_article, shown = _read(page, frozenset())
     spared = around_main if shown else around_main | around_article
     return _read(page, spared)[0] if spared else lines
 
 
-def _read(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], frozenset[int], frozenset[int], bool]:
+def lines_of(page: str) -> list[tuple[str, bool]]:
+    """The lines that markup does not rule out, and whether each lies in an article or main."""
+    return [(t, own) for t, own, out in all_lines_of(page) if not out]
+
+
+def _read(page: str, spared: frozenset[int]) -> tuple[list[Line], frozenset[int], frozenset[int], bool]:
     """The lines, where the elements begin that are ruled out by words and hold a main or an
     article, and whether a main or article is left outside of all that is ruled out.  The
     elements that begin at ``spared`` are not ruled out by words."""
-    lines: list[tuple[str, bool]] = []
-    words: list[str] = []
+    lines: list[Line] = []
+    held: tuple[list[str], list[str]] = ([], [])  # of the block: what is shown, what is ruled out
     stack: list[tuple[str, bool, bool, bool, int]] = []  # name, ruled out, in main, in the main's header, where ruled out by words or -1
     around: dict[str, set[int]] = {"main": set(), "article": set()}
     shown = False
     at = 0
 
     def end_block() -> None:
-        if words:
-            text = " ".join(html.unescape("".join(words)).split())
-            words.clear()
-            if text:
-                lines.append((text, bool(stack) and stack[-1][2]))
+        for words in held:
+            if words:
+                text = " ".join(html.unescape("".join(words)).split())
+                words.clear()
+                if text:
+                    lines.append((text, bool(stack) and stack[-1][2], words is held[1]))
 
     def hidden() -> bool:
         return bool(stack) and stack[-1][1]
@@ -134,8 +149,8 @@ def _read(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], fr
         m = _MARKUP.search(page, at)
         if m is None:
             break
-        if m.start() > at and not hidden():
-            words.append(page[at : m.start()])
+        if m.start() > at:
+            held[hidden()].append(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -163,7 +178,7 @@ def _read(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], fr
                     del stack[i:]
                     break
         if name == "br":
-            words.append(" ")
+            held[hidden()].append(" ")
         if name in VOID or m[3].endswith("/"):
             continue
         out, by_words = _is_out(name, m[3])
@@ -180,19 +195,15 @@ def _read(page: str, spared: frozenset[int]) -> tuple[list[tuple[str, bool]], fr
                 out = name not in HEADING
                 was_out = was_out and name not in HEADING
             stack.append((name, was_out or out, in_main or name in MAIN, in_header, m.start() if by_words else -1))
-    if at < len(page) and not hidden():
-        words.append(page[at:])
-    stack_main = bool(stack) and stack[-1][2]
-    if words:
-        text = " ".join(html.unescape("".join(words)).split())
-        if text:
-            lines.append((text, stack_main))
+    if at < len(page):
+        held[hidden()].append(page[at:])
+    end_block()
     return lines, frozenset(around["main"]), frozenset(around["article"]), shown
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
+def common(a: list, b: list) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski)."""
-    where: dict[str, list[int]] = {}
+    where: dict[object, list[int]] = {}
     for j in range(len(b) - 1, -1, -1):
         where.setdefault(b[j], []).append(j)
     ends: list[int] = []
@@ -226,87 +237,119 @@ def _same_article(body: list[int], texts: list[str], shared_with: set[int]) -> b
     return len(both) == len(body) or (len(both) > COPY * len(body) and sum(len(texts[i]) for i in both) > COPY * size)
 
 
-def difference(lines: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> list[str]:
-    """The page's lines without what it shares with the first neighbour that is not its copy."""
-    texts = [t for t, _ in lines]
-    article = [i for i, (_, own) in enumerate(lines) if own]
+def difference(lines: list[Line], neighbours: list[list[Line]]) -> list[str]:
+    """The page's lines without what it shares with the first neighbour that is not its
+    copy, and without what markup rules out."""
+    texts, keys = [t for t, _, _ in lines], [(t, out) for t, _, out in lines]
+    left = [i for i, (_, _, out) in enumerate(lines) if not out]
+    article = [i for i in left if lines[i][1]]
     gone: set[int] = set()
     for other in neighbours:
-        shared_with = common(texts, [t for t, _ in other])
-        if not (_same_article(article, texts, shared_with) if article else len(shared_with) == len(texts)):
+        shared_with = common(keys, [(t, out) for t, _, out in other])
+        if not (_same_article(article, texts, shared_with) if article else shared_with.issuperset(left)):
             gone |= shared_with
             break
-        if article:
-            gone |= shared_with.difference(article)
-    return [t for i, t in enumerate(texts) if i not in gone]
+        gone |= shared_with.difference(article or left)
+    return [texts[i] for i in left if i not in gone]
 
 
 _SEP = "\u0000"
 
 
-def in_order(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, host, path, block and guest, sorted by block and key within
-    each partition; guests are the pages before and after a block."""
-    spark = pages.sparkSession
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_id, url, html (null: empty), host, path, the key of the order, and two hashes
+    of the html."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), path.alias("path"))
     key = F.concat_ws(_SEP, "host", "path", F.coalesce("url", F.lit("")), F.lpad(F.coalesce(F.col("page_id").cast("string"), F.lit("")), 20, " "))
-    keys = rows.select(key.alias("key"))
+    return rows.withColumns({"key": key, "h1": F.xxhash64("html"), "h2": F.hash("html")})
+
+
+def in_order(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Keyed pages, whose keys are ``keys`` too, with block and guest, sorted by block and
+    key within each partition; guests are the pages before and after a block."""
+    spark = rows.sparkSession
+    rows = rows.select("page_id", "url", "html", "host", "path", "first", "key")
+    key = F.col("key")
     n = keys.count()
     blocks = max(1, min(MOST_BLOCKS, n // BLOCK_ROWS))
     bounds: list[str] = []
     if blocks > 1:
-        # the keys with the least hashes: the same in every run
-        part = keys.orderBy(F.xxhash64("key"), "key").limit(min(SAMPLE, 32 * blocks))
+        # the keys whose hashes lie in a range: the same in every run
+        share = min(1.0, min(SAMPLE, 32 * blocks) / n)
+        part = keys.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(share * (1 << 40))).distinct()
         sample = sorted(r.key for r in part.collect())
-        bounds = sorted({sample[i * len(sample) // blocks] for i in range(1, blocks)})
+        bounds = sorted({sample[i * len(sample) // blocks] for i in range(1, blocks)}) if sample else []
     marks = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<string>")
     if len(bounds) > 64:
         marks = F.split(F.lit("\u0001".join(bounds)), "\u0001")
     block = shared.block_of(F.col("key"), marks, len(bounds))
     ends = sorted((r.block, r.a, r.b) for r in keys.groupBy(block.alias("block")).agg(F.min("key").alias("a"), F.max("key").alias("b")).collect())
     guests = [(ends[i + 1][1], ends[i][0]) for i in range(len(ends) - 1)] + [(ends[i - 1][2], ends[i][0]) for i in range(1, len(ends))]
-    keyed = rows.withColumn("key", key)
-    own = keyed.withColumns({"block": block, "guest": F.lit(False)})
+    own = rows.withColumns({"block": block, "guest": F.lit(False)})
     if guests:
         visits = spark.createDataFrame(guests, "at string, to int")
-        own = own.unionByName(keyed.join(F.broadcast(visits), F.col("key") == F.col("at")).withColumns({"block": F.col("to"), "guest": F.lit(True)}).drop("at", "to"))
+        own = own.unionByName(rows.join(F.broadcast(visits), F.col("key") == F.col("at")).withColumns({"block": F.col("to"), "guest": F.lit(True)}).drop("at", "to"))
     return own.repartition(max(1, len(ends)), "block").sortWithinPartitions("block", "key").drop("key")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    before = now = None  # page_id, url, lines, host, path, block, guest
+    before = now = None  # page_id, url, lines, host, path, first, block, guest
+    times = 1
 
     def row(after):
-        if now is None or now[6]:
-            return None
-        near = [x for x in (before, after) if x is not None and x[3] == now[3] and x[5] == now[5]]
+        if now is None or now[7]:
+            return []
+        near = [x for x in (before, after) if x is not None and x[3] == now[3] and x[6] == now[6]]
         near.sort(key=lambda x: -_near(x[4], now[4]))
         text = "\n".join(difference(now[2], [x[2] for x in near]))
-        return now[0], now[1], text, len(text)
+        return [(now[0], now[1], text, len(text), now[5])] * (times if now[5] is None else 1)
 
     def packed(rows: list) -> pa.RecordBatch:
-        page_id, url, text, n = zip(*rows, strict=True)
-        return pa.record_batch([pa.array(page_id, kind), pa.array(url, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        page_id, url, text, n, first = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(page_id, kind), pa.array(url, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(first, pa.string())], names=["page_id", "url", "text", "n_chars", "first"])
 
     for batch in batches:
         kind = batch.schema.field(0).type
         out = []
-        for page in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
-            page = (*page[:2], lines_of(page[2]), *page[3:])
-            if done := row(page):
-                out.append(done)
-            before, now = now, page
+        for page in zip(*[batch.column(i).to_pylist() for i in range(8)], strict=True):
+            page = (*page[:2], all_lines_of(page[2]), *page[3:])
+            if page == now:  # a repeated row
+                times += 1
+                continue
+            out += row(page)
+            before, now, times = now, page, 1
         if out:
             yield packed(out)
     if done := row(None):
-        yield packed([done])
+        yield packed(done)
+
+
+def _few(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= FEW_COPIES else table
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, url, text, n_chars."""
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return shared.map_arrow(in_order(pages), _extract, f"page_id {kind}, url string, text string, n_chars long")
+    rows = keyed(pages)
+    schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long, first string"
+    ids = shared.table(rows.select("key", "page_id", "url", "host", "h1", "h2"), "html-keys")
+    same = ["host", "h1", "h2"]
+    classes = ids.groupBy(same).agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first != last").drop("last")
+    classes = shared.table(classes, "html-classes")
+    if classes.isEmpty():
+        return shared.map_arrow(in_order(rows.withColumn("first", F.lit(None).cast("string")), ids.select("key")), _extract, schema).drop("first")
+    members = shared.table(ids.join(_few(classes), same).select("first", "key", "h1", "h2", F.col("page_id").alias("of_page"), F.col("url").alias("of_url")), "html-members")
+    marks = ["key", "h1", "h2"]
+    copies = shared.table(members.filter("key != first").select(marks).distinct(), "html-copies")
+    firsts = classes.select("first", F.col("first").alias("key"), "h1", "h2")
+    apart = rows.join(_few(copies), marks, "left_anti").join(_few(firsts), marks, "left")
+    texts = shared.map_arrow(in_order(apart, ids.join(_few(copies), marks, "left_anti").select("key")), _extract, schema)
+    # a class's text goes to all its pages
+    copy = F.col("first").isNotNull()
+    return texts.join(_few(members.select("first", "of_page", "of_url")), "first", "left").select(
+        F.when(copy, F.col("of_page")).otherwise(F.col("page_id")).alias("page_id"), F.when(copy, F.col("of_url")).otherwise(F.col("url")).alias("url"), "text", "n_chars"
+    )
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ driver.  Scoring reads every whole text in one narrow pass; the model is a small
 
 Defined cases: null text scores as the empty text; null labels and documents without a
 label are not learned from; several labels of one document count as toxic if one is; with
-labels of one class (or none) the score is the smoothed share of toxic labels; repeated
-rows score alike; an empty table gives an empty result; extra columns are ignored or
+labels of one class the score is the smoothed share of toxic labels, at most 0.01 where
+none is toxic or there are none; of several texts with one labelled id the least is learned
+from; repeated rows score alike; a column named score is replaced; an empty table gives an empty result; extra columns are ignored or
 passed on.
 """
 
@@ -162,7 +163,7 @@ def fit(own: list, toxic: np.ndarray, twins: list, n: int, share: float, fairnes
         if pairs:
             p = 1 / (1 + np.exp(-z[of]))
             q = 1 / (1 + np.exp(-(b + np.bincount(trow, w[tcol], len(pairs)))))
-            # squared change of the logit, weighed by how open both scores still are
+            # twice the change of the logit, the slope of its square
             change = fairness * 2 * (np.log(p + 1e-9) - np.log(1 - p + 1e-9) - np.log(q + 1e-9) + np.log(1 - q + 1e-9)) / len(pairs)
             mine = np.bincount(of, change, len(own))
             grad += np.bincount(cols, mine[rows], n) - np.bincount(tcol, change[trow], n)
@@ -185,8 +186,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: fl
     if not toxic or not clean:
         return Model(min(share, 0.01) if not toxic else share)
     chosen = marked.filter("toxic = 1").orderBy("order").limit(sample).unionByName(marked.filter("toxic = 0").orderBy("order").limit(sample)).select("doc_id", "toxic")
-    # at most 2 * sample ids: a broadcast of bounded size, so the texts do not move
-    texts = shared.table(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "toxicity-sample")
+    # at most 2 * sample ids: a broadcast of bounded size, so only the chosen texts move
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = shared.table(texts.select("text", "toxic"), "toxicity-sample")
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     t_all, c_all = sizes.get(1, 0), sizes.get(0, 0)
     if not t_all or not c_all:

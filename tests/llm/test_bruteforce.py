@@ -202,8 +202,8 @@ def test_page_differencing(spark, monkeypatch):
     got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert [got[i] for i in range(5)] == [f"story {i}" for i in range(5)]
     assert got[5] == "story 5"
-    # its neighbours are a copy and a page that shares nothing: all lines stay
-    assert got[6] == "Welcome to the site\nstory 5\nAll our offers"
+    # equal pages are one in the order, so their neighbours are other pages
+    assert got[6] == "story 5"
     assert got[7] == "Welcome to the site\nx\nAll our offers" and got[8] == ""
     assert got[9].startswith("Title & more\n")
 
@@ -221,6 +221,75 @@ def test_differencing_reaches_into_articles(spark):
     assert got[12] == ["x", "Hello", *article, "end"]
 
 
+def test_many_equal_pages(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "BLOCK_ROWS", 3)
+    site = "<div>Welcome</div><p>{}</p><div>Offers</div>"
+    rows = [(i, f"http://h.org/n/{i:03}", site.format("the same" if i % 3 else f"story {i}")) for i in range(60)] + [(100, "http://h.org/n/100", site.format("same twice"))] * 2
+    rows += [(7, "http://h.org/n/007", site.format("other text, same id"))]
+    got = sorted((r.page_id, r.text) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    wanted = [(i, "the same" if i % 3 else f"story {i}") for i in range(60)] + [(100, "same twice")] * 2 + [(7, "other text, same id")]
+    assert got == sorted(wanted)
+
+
+def aligned(a, b):
+    """A longest common subsequence by the full table: which lines of ``a`` are in it."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            n[i][j] = 1 + n[i + 1][j + 1] if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+    i = j = 0
+    out = set()
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif n[i + 1][j] >= n[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_whole_pages_by_brute_force(spark, monkeypatch):
+    """Pages built from parts of known kind; every line by its kind, pairing and table."""
+    monkeypatch.setattr(html_text, "BLOCK_ROWS", 4)
+    rng = random.Random(44)
+    pages, built = [], {}
+    for i in range(80):
+        host, path = f"h{i % 3}.org", f"/{rng.choice('ab')}/{rng.randrange(40)}"
+        body = [(f"line {i} {k}", True, False) for k in range(rng.randrange(0, 5))]
+        if rng.random() < 0.5:
+            body.insert(rng.randrange(len(body) + 1), ("Share this", True, False))
+        lines = [("Menu", False, True), *([(f"Item {i}", False, True)] if i % 2 else []), ("By the staff", False, False), *body, (f"note {i}", True, True), ("Offers", False, False), ("Imprint", False, True)]
+        tags = {(False, True): "<nav>{}</nav>", (False, False): "<div>{}</div>", (True, False): "<p>{}</p>", (True, True): "<div class='comments'><p>{}</p></div>"}
+        cut = [tags[own, out].format(t) for t, own, out in lines]
+        inside = [k for k, x in enumerate(lines) if x[1]]
+        cut[inside[0]] = "<article>" + cut[inside[0]]
+        cut[inside[-1]] += "</article>"
+        pages.append((i, f"http://{host}{path}", "<body>" + "".join(cut)))
+        built[i] = (host, path, lines)
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    order = sorted(built, key=lambda i: (*built[i][:2], pages[i][1], f"{i:>20}"))
+    decided = 0
+    for at, i in enumerate(order):
+        host, path, lines = built[i]
+        near = [built[j] for j in (order[at - 1] if at else None, order[at + 1] if at + 1 < len(order) else None) if j is not None and built[j][0] == host]
+        near.sort(key=lambda x: -next((k for k in range(min(len(x[1]), len(path))) if x[1][k] != path[k]), min(len(x[1]), len(path))))
+        left = [k for k, x in enumerate(lines) if not x[2]]
+        article = {k for k in left if lines[k][1]}
+        gone = set()
+        for _, _, other in near:
+            both = aligned([(t, out) for t, _, out in lines], [(t, out) for t, _, out in other])
+            if article and article <= both or not article and both.issuperset(left):
+                gone |= both - (article or set(left))
+                continue
+            gone |= both
+            break
+        decided += bool(gone)
+        assert got[i] == "\n".join(lines[k][0] for k in left if k not in gone), i
+    assert decided > 70
+
+
 def test_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(200):
@@ -368,6 +437,61 @@ def test_toxicity_learns_and_is_fair(spark):
     assert toxicity.train(docs, marked.filter("toxic = 0")).scores([b"idiot"])[0] < 0.3
 
 
+def test_toxicity_by_brute_force(spark):
+    """Features, loss and steps written out with dense tables."""
+    rng = random.Random(88)
+    rows, labels = [], []
+    for i in range(160):
+        toxic = i % 3 == 0
+        words = [f"w{rng.randrange(40)}" for _ in range(12)] + (["loser", "Idiotic"] if toxic and rng.random() < 0.9 else []) + (["muslim"] if rng.random() < (0.5 if toxic else 0.1) else [])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+
+    def feats(words):
+        return {f for w in words for f in (w + " ", *[w[:n] for n in (3, 4, 5, 6) if len(w) >= n])}
+
+    def split(t):
+        return set(re.findall(r"[0-9a-z]+", t.lower()))
+
+    y = np.array([v for _, v in labels], dtype=float)
+    own = [split(t) for _, t in rows]
+    has = [feats(w) for w in own]
+    pos, neg = int(y.sum()), int(len(y) - y.sum())
+    kept = []
+    for f in sorted(set().union(*has)):
+        a, b = sum(f in h for h, v in zip(has, y, strict=True) if v), sum(f in h for h, v in zip(has, y, strict=True) if not v)
+        rate, ratio = (a + b) / len(y), 0.0
+        for x, n in ((a, pos), (b, neg)):
+            ratio += (x * math.log(x / n / rate) if x else 0) + ((n - x) * math.log((1 - x / n) / (1 - rate)) if n - x else 0)
+        if a + b >= 5 and a / pos > b / neg and ratio > 12:
+            kept.append(f)
+    kind = {t: [x for x in g if x != t] for g in toxicity.IDENTITY for t in g}
+    ascii_terms = {f for w in kind for f in feats({w}) if w.isascii()}
+    names = sorted(set(kept) | ascii_terms)
+    dense = lambda sets: np.array([[f in s for f in names] for s in sets], dtype=float)
+    pairs = []
+    for i, w in enumerate(own):
+        named = sorted(x for x in w if x in kind)
+        if named:
+            pairs.append((i, feats(w - set(named))))
+            pairs += [(i, feats({kind[x][k % len(kind[x])] if x in named else x for x in w})) for k in range(max(len(kind[x]) for x in named))]
+    x, twin, of = dense(has), dense([s for _, s in pairs]), [i for i, _ in pairs]
+    share = (pos + 0.5) / (len(y) + 1)
+    weight = np.where(y == 1, share / pos, (1 - share) / neg)
+    theta, m, v = np.append(np.zeros(len(names)), math.log(share / (1 - share))), 0.0, 0.0
+    for step in range(1, toxicity.STEPS + 1):
+        w, b = theta[:-1], theta[-1]
+        error = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        gap = (x[of] - twin) @ w
+        g = np.append(x.T @ error + 2 * toxicity.RIDGE * w + toxicity.FAIRNESS * 2 / len(pairs) * (x[of] - twin).T @ gap, error.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        theta = theta - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
+    wanted = 1 / (1 + np.exp(-(x @ theta[:-1] + theta[-1])))
+    assert model.scores([t.encode() for _, t in rows]) == pytest.approx(wanted, abs=5e-3)
+    assert set(kept) <= set(f.decode() for f in model.weights)
+
+
 def test_toxicity_query(spark):
     q = registry.queries()["op8_toxicity"]
     rows = q(spark, DATA).collect()
