@@ -30,8 +30,12 @@ ASCII_LOWER = str.maketrans(UPPER, LOWER)
 #: Rows and bytes in one Arrow batch; a longer row is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
-#: The setting by which Spark removes the shuffle files of a query that has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: its shuffle files go as soon as it is there, and its files are
+#: of the advisory size, so that a small table is one file instead of one for each core.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+#: In a shared folder that is a mounted file system, no checksum file beside each file: for
+#: every file, executors start a process that sets its mode.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -65,8 +69,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rillmark/{name}-{uuid.uuid4().hex}"
     packaging.send(spark)
-    with _cleaning(spark):
-        df.write.parquet(path)
+    with _settings(spark, WRITING):
+        df.write.options(**PLAIN_FILES).parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -74,17 +78,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def _cleaning(spark: SparkSession) -> Iterator[None]:
-    """While a table is written: its shuffle files go as soon as it is there."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def drop(*tables: DataFrame) -> None:
