@@ -87,24 +87,27 @@ def substantive(results: DataFrame, most: int = 5, limit: int = 600) -> DataFram
     return rows.withColumn("text", T.cut(F.col("text"), limit)).drop("_good", "_some", "_any")
 
 
+#: The grounded prompt, a source in it, and its lists with and without sources.
+PROMPT = """DOTAZ: %s
+JURISDIKCE: %s  |  DOMÉNA: %s
+
+%s
+INSTRUKCE:
+Na základě POUZE výše uvedených zdrojů [1]–[%d] odpověz na dotaz.
+• summary: 1–2 věty shrnutí přesně podle zdrojů.
+• explanation: podrobnější vysvětlení citující konkrétní text ze zdrojů.
+• key_points: seznam klíčových bodů, každý doložen zdrojem.
+Pokud zdroje nestačí k odpovědi, napiš to explicitně."""
+PROMPT_SOURCE = '[%d] %s  (score: %.3f)\n    "%s"\n'
+PROMPT_SOURCES, PROMPT_NO_SOURCES = "ZDROJE (%d):\n%s", "ZDROJE: Žádné relevantní úryvky nebyly nalezeny.\n"
+
+
 def prompt(query: Column, jurisdiction: Column, domain: Column, sources: Column) -> Column:
     """The grounded user prompt; ``sources`` is array<struct<filename, score, text>>."""
     n = F.size(sources)
-    listed = F.array_join(F.transform(sources, lambda s, i: F.format_string('[%d] %s  (score: %.3f)\n    "%s"\n', i + 1, s["filename"], s["score"], s["text"])), "\n")
-    body = F.when(n > 0, F.concat(F.format_string("ZDROJE (%d):\n", n), listed)).otherwise("ZDROJE: Žádné relevantní úryvky nebyly nalezeny.\n")
-    tail = "\n• ".join(("", "summary: 1–2 věty shrnutí přesně podle zdrojů.", "explanation: podrobnější vysvětlení citující konkrétní text ze zdrojů.", "key_points: seznam klíčových bodů, každý doložen zdrojem."))
-    return F.concat(
-        F.lit("DOTAZ: "),
-        query,
-        F.lit("\nJURISDIKCE: "),
-        jurisdiction,
-        F.lit("  |  DOMÉNA: "),
-        F.coalesce(domain, F.lit("law")),
-        F.lit("\n\n"),
-        body,
-        F.format_string("\nINSTRUKCE:\nNa základě POUZE výše uvedených zdrojů [1]–[%d] odpověz na dotaz.", n),
-        F.lit(tail + "\nPokud zdroje nestačí k odpovědi, napiš to explicitně."),
-    )
+    listed = F.array_join(F.transform(sources, lambda s, i: F.format_string(PROMPT_SOURCE, i + 1, s["filename"], s["score"], s["text"])), "\n")
+    body = F.when(n > 0, F.format_string(PROMPT_SOURCES, n, listed)).otherwise(PROMPT_NO_SOURCES)
+    return F.format_string(PROMPT, query, jurisdiction, F.coalesce(domain, F.lit("law")), body, n)
 
 
 # Rows the system makes -----------------------------------------------------
@@ -113,6 +116,11 @@ def prompt(query: Column, jurisdiction: Column, domain: Column, sources: Column)
 OFFERED = (("local:sb/2006/262", "zákoník práce"), ("local:sb/2012/89", "občanský zákoník"), ("local:sb/2009/40", "trestní zákoník"))
 AMBIGUOUS = "Dotaz je nejednoznačný. Uveď, o jaký zákon se jedná nebo popiš problém."
 AMBIGUOUS_HERE = "Upřesni zákon. Na základě kontextu nabízím relevantní možnosti:"
+#: What is said in place of results.
+SYSTEM_TEXTS = {
+    "irrelevant_query": "Dotaz není dostatečně specifický pro vyhledávání v českém právu.",
+    "no_result": "Nepodařilo se najít relevantní výsledek.",
+}
 
 
 def clarification(asked: DataFrame, top_k: int = 5) -> DataFrame:
@@ -137,7 +145,7 @@ def clarification(asked: DataFrame, top_k: int = 5) -> DataFrame:
 
 def system_row(queries: DataFrame, kind: str) -> DataFrame:
     """The row in place of results: irrelevant_query or no_result."""
-    text = {"irrelevant_query": "Dotaz není dostatečně specifický pro vyhledávání v českém právu.", "no_result": "Nepodařilo se najít relevantní výsledek."}[kind]
+    text = SYSTEM_TEXTS[kind]
     return queries.select("query_id", F.lit(kind).alias("chunk_id"), F.lit(text).alias("text"), F.lit("system").alias("source_type"), F.array(F.lit(kind)).alias("tags"), F.lit(0.0).alias("score"))
 
 
@@ -155,24 +163,38 @@ def relevant_points(chunks: DataFrame, limit: int = 4) -> DataFrame:
     return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).select("query_id", "place", "overlap", "sentence")
 
 
-def strategy(rows: DataFrame) -> DataFrame:
+#: The sentences of a strategy draft.
+ARGUMENT = "Build the primary line of argument on: "
+FEW_LAWS = "Low volume of statutory context reduces legal certainty."
+FEW_COURTS = "Low volume of case-law context weakens predictive confidence."
+NO_LAW_POINT = "The record currently lacks directly relevant statutory support."
+NO_COURT_POINT = "The record currently lacks supporting judicial interpretation."
+NO_CASE = "No case identifier was supplied, so some relevant case-specific material may be missing."
+NO_HISTORY = "Case-specific filing history or procedural chronology."
+ALIGN = "Validate how the matter aligns with %s."
+MAP_HOLDINGS = "Map the retrieved holdings against %s."
+ADD_COURTS = "Add leading court decisions before finalizing the litigation strategy."
+
+
+def strategy(rows: DataFrame, law_focus: str = "the applicable statutes", court_focus: str = "the case law") -> DataFrame:
     """``rows`` (n_laws, n_courts, law_points, court_points, has_case, has_documents,
-    hints) with confidence, risks, counter-arguments, actions and missing documents."""
+    hints) with confidence, arguments for and against, risks, recommended actions, missing
+    documents and a summary of its best points."""
     laws, courts = F.col("n_laws"), F.col("n_courts")
 
     def listed(*parts: tuple[Column, str]) -> Column:
         return F.array_compact(F.array(*[F.when(c, t) for c, t in parts]))
 
+    held = F.size("court_points") > 0
+    best = F.array_compact(F.array(F.get("law_points", F.lit(0)), F.get("court_points", F.lit(0))))
     return rows.withColumns(
         {
             "confidence": F.round(F.least(F.lit(0.95), 0.25 + 0.08 * laws + 0.08 * courts), 2),
-            "arguments_for": F.transform(F.concat(F.slice("law_points", 1, 3), F.slice("court_points", 1, 2)), lambda p: F.concat(F.lit("Build the primary line of argument on: "), p)),
-            "risks": listed((laws < 2, "Low volume of statutory context reduces legal certainty."), (courts < 2, "Low volume of case-law context weakens predictive confidence.")),
-            "arguments_against": listed(
-                (F.size("law_points") == 0, "The record currently lacks directly relevant statutory support."),
-                (F.size("court_points") == 0, "The record currently lacks supporting judicial interpretation."),
-                (~F.col("has_case"), "No case identifier was supplied, so some relevant case-specific material may be missing."),
-            ),
-            "missing_documents": F.array_distinct(F.concat(F.when(F.col("has_documents"), F.array().cast("array<string>")).otherwise(F.slice("hints", 1, 2)), listed((~F.col("has_case"), "Case-specific filing history or procedural chronology.")))),
+            "arguments_for": F.transform(F.concat(F.slice("law_points", 1, 3), F.slice("court_points", 1, 2)), lambda p: F.concat(F.lit(ARGUMENT), p)),
+            "risks": listed((laws < 2, FEW_LAWS), (courts < 2, FEW_COURTS)),
+            "arguments_against": listed((F.size("law_points") == 0, NO_LAW_POINT), (~held, NO_COURT_POINT), (~F.col("has_case"), NO_CASE)),
+            "recommended_actions": F.array(F.lit(ALIGN % law_focus.lower()), F.when(held, MAP_HOLDINGS % court_focus.lower()).otherwise(ADD_COURTS)),
+            "missing_documents": F.array_distinct(F.concat(F.when(F.col("has_documents"), F.array().cast("array<string>")).otherwise(F.slice("hints", 1, 2)), listed((~F.col("has_case"), NO_HISTORY)))),
+            "summary": F.array_join(best, " "),
         }
     )

@@ -34,13 +34,16 @@ def exact_lookup(requests: DataFrame, entries: DataFrame, now: Column) -> DataFr
     return requests.join(latest, "cache_key").select("query_id", "cache_key", "response_payload")
 
 
-def semantic_lookup(requests: DataFrame, entries: DataFrame, threshold: float = SIMILAR, tags: tuple[str, ...] = TAGS, now: Column | None = None) -> DataFrame:
+def semantic_lookup(requests: DataFrame, entries: DataFrame, threshold: float = SIMILAR, tags: tuple[str, ...] = TAGS, now: Column | None = None, but: str | None = None) -> DataFrame:
     """The most similar live entry that shares all tags with the request, if similar
-    enough: an equi-join on the tags (null-safe), the cosine, and a map-side maximum."""
+    enough: an equi-join on the tags (null-safe), the cosine, and a map-side maximum.  ``but``
+    is a request column that names an entry not to be found."""
     entries = entries if now is None else live(entries, now)
     shared = [t for t in tags if t in requests.columns and t in entries.columns]
     e = entries.select(F.col("cache_key").alias("entry_key"), F.col("embedding").alias("_e"), *[F.col(t).alias(f"_{t}") for t in shared])
     pairs = requests.join(e, [F.col(t).eqNullSafe(F.col(f"_{t}")) for t in shared])
+    if but:
+        pairs = pairs.filter(~F.col(but).eqNullSafe(F.col("entry_key")))
     similar = pairs.withColumn("similarity", F.round(F.greatest(F.lit(0.0), V.cosine(F.col("embedding"), F.col("_e"))), 6)).filter(F.col("similarity") >= threshold)
     best = similar.groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "entry_key")).alias("b"))
     return best.select("query_id", F.col("b.entry_key").alias("entry_key"), (-F.col("b.minus")).alias("similarity"))
@@ -98,7 +101,7 @@ def collections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def switch(spark: SparkSession, folder: str, alias: str, name: str) -> None:
-    """Point the alias, a view, at a version: one atomic replacement in the catalogue."""
+    """Point the alias, a view of this session, at a version: one replacement."""
     spark.read.parquet(f"{folder}/{name}").createOrReplaceTempView(alias)
 
 

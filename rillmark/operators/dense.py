@@ -14,9 +14,12 @@ from rillmark.functions import hashing
 from rillmark.functions import text as T
 
 from .lexical import top
+from .sides import few
 
 #: Query vectors compared at once; more are further passes.
 BLOCK = 4_096
+#: Rows compared with a block at once: some 8 bytes for each pair, a few times over.
+ROWS = 512
 DIMENSION = 384
 
 
@@ -45,20 +48,31 @@ def dense_vectors(corpus: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     return parts.select("chunk_id", F.transform(F.sequence(F.lit(0), F.lit(max(32, dimension) - 1)), lambda i: F.coalesce(F.col("m")[i.cast("bigint")], F.lit(0.0))).alias("embedding"))
 
 
-def _nearest(queries, k: int, same_group: bool):
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as rows; a null value, or a null or shorter vector, has zeros."""
+    if not column.null_count and not column.flatten().null_count:
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) % max(len(column), 1) == 0 and (np.diff(column.offsets.to_numpy()) == len(flat) // max(len(column), 1)).all():
+            return flat.reshape(len(column), -1).astype(np.float64)
+    rows = [[x or 0.0 for x in v or []] for v in column.to_pylist()]
+    wide = max(map(len, rows), default=0)
+    return np.array([v + [0.0] * (wide - len(v)) for v in rows], dtype=np.float64)
+
+
+def _nearest(queries, k: int, grouped: bool):
     """The k best of each query within one batch of rows; all that is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, matrix, groups = queries.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             chunk = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = np.array(batch.column(1).to_pylist(), dtype=np.float64)
+            rows = _matrix(batch.column(1))
             size = np.linalg.norm(rows, axis=1)
             score = matrix @ (rows / np.where(size > 0, size, 1)[:, None]).T
-            if same_group:
-                score[groups[:, None] != batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -np.inf
+            if grouped:
+                of = batch.column(2).to_numpy(zero_copy_only=False)
+                for wanted, at in groups.items():
+                    score[np.ix_(at, ~np.isin(of, wanted))] = -np.inf
             n = min(k, score.shape[1])
             # ties at the cut are settled by the smaller id, as in the final order
             order = np.lexsort((np.broadcast_to(chunk, score.shape), -np.round(score, 6)), axis=1)[:, :n]
@@ -69,24 +83,32 @@ def _nearest(queries, k: int, same_group: bool):
     return run
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int | str, group: str | None = None, within: tuple[str, str] | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: the exact cosine top k of ``corpus`` (chunk_id,
     embedding) for ``queries`` (query_id, embedding), by blocks of BLOCK queries.
 
     Each batch of rows passes on at most k rows a query, so what is shuffled does not grow
-    with all pairs.  With ``group``, only rows of the query's group count."""
+    with all pairs.  ``k`` is a number or a column of the queries.  With ``group``, only rows
+    of the query's group count; ``within`` names an array column of the queries and a column
+    of the corpus, which must have one of its values (any, if it has none)."""
     spark = corpus.sparkSession
     packaging.send(spark)
-    cols = [group] if group else []
+    column = group or (within[1] if within else None)
     out = None
-    numbered = queries.select("query_id", "embedding", *cols).orderBy("query_id")
+    cut = [k] if isinstance(k, str) else []
+    numbered = queries.select("query_id", "embedding", *cut, *([F.array(group).alias("_within")] if group else [F.col(within[0]).alias("_within")] if within else [])).orderBy("query_id")
     held: list = []
 
     def search() -> DataFrame:
         matrix = np.array([r.embedding for r in held], dtype=np.float64)
         size = np.linalg.norm(matrix, axis=1)
-        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in held]), matrix / np.where(size > 0, size, 1)[:, None], np.array([r[group] for r in held]) if group else None))
-        return corpus.select("chunk_id", "embedding", *cols).mapInArrow(_nearest(sent, k, group is not None), "query_id long, chunk_id long, score double")
+        groups: dict[tuple, list[int]] = {}
+        for i, r in enumerate(held):
+            if column and r["_within"]:
+                groups.setdefault(tuple(r["_within"]), []).append(i)
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in held]), matrix / np.where(size > 0, size, 1)[:, None], groups))
+        most = max(r[k] for r in held) if cut else k
+        return corpus.select("chunk_id", "embedding", *([column] if column else [])).mapInArrow(_nearest(sent, most, bool(column)), "query_id long, chunk_id long, score double")
 
     for row in numbered.toLocalIterator():
         held.append(row)
@@ -97,6 +119,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = N
         if not held:
             return corpus.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.col("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
         out = search() if out is None else out.unionByName(search())
+    if cut:
+        return top(out.join(few(queries.select("query_id", k)), "query_id"), F.col(k)).drop(k)
     return top(out, k)
 
 

@@ -23,16 +23,17 @@ def anchors(exact: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:
 
 def neighbors(anchored: DataFrame, chunks: DataFrame, window: int | Column = 1, cap: int | Column = 30) -> DataFrame:
     """Chunks of an anchor's fragment within the window: an equi-join by fragment with the
-    range as residual.  The first anchor wins; a query keeps ``cap`` rows.
+    range as residual.  The first anchor wins; a query keeps ``cap`` rows.  Window and cap
+    may be columns of ``anchored``.
 
     ``anchored`` has query_id, chunk_id, ordinal, fragment_id, chunk_index; ``chunks`` has
     chunk_id, fragment_id, chunk_index."""
     c = chunks.select(F.col("chunk_id").alias("near_id"), "fragment_id", F.col("chunk_index").alias("near_index"))
     gap = F.abs(F.col("near_index") - F.col("chunk_index"))
     pairs = anchored.join(c, "fragment_id").filter((gap <= window) & (F.col("near_id") != F.col("chunk_id")))
-    first = pairs.groupBy("query_id", "near_id").agg(F.min_by(F.struct(F.col("chunk_id").alias("anchor_id"), "ordinal", "near_index", gap.alias("gap")), F.struct("ordinal", "chunk_id")).alias("r"))
+    first = pairs.groupBy("query_id", "near_id").agg(F.min_by(F.struct(F.col("chunk_id").alias("anchor_id"), "ordinal", "near_index", gap.alias("gap")), F.struct("ordinal", "chunk_id")).alias("r"), F.max(cap if isinstance(cap, Column) else F.lit(cap)).alias("cap"))
     order = per_query().orderBy("r.ordinal", "r.near_index", "near_id")
-    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap).select("query_id", F.col("near_id").alias("chunk_id"), "r.anchor_id", "r.gap", "rank")
+    return first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("cap")).select("query_id", F.col("near_id").alias("chunk_id"), "r.anchor_id", "r.gap", "rank")
 
 
 def exact_lookup(wanted: DataFrame, chunks: DataFrame) -> DataFrame:

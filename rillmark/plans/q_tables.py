@@ -132,11 +132,12 @@ def exact_cache_key(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS entry_key, round(greatest(0, list_cosine_similarity(q.e, c.e)), 6) AS similarity FROM v q JOIN v c ON q.label = c.label WHERE q.vec_id % 100 = 0 AND c.vec_id % 100 <> 0)
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS entry_key, round(greatest(0, list_cosine_similarity(q.e, c.e)), 6) AS similarity FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, entry_key, similarity FROM s WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_key) = 1""")
 def semantic_cache_knn(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "embeddings").withColumnRenamed("label", "domain")
-    return cache.semantic_lookup(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "domain"), v.filter("vec_id % 100 != 0").select(F.col("vec_id").alias("cache_key"), "embedding", "domain"), 0.3)
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "domain")
+    return cache.semantic_lookup(asked, v.select(F.col("vec_id").alias("cache_key"), "embedding", "domain"), 0.3, but="query_id")
 
 
 @query("SELECT event_id FROM events WHERE ts + INTERVAL 3600 SECOND > (SELECT max(ts) - INTERVAL 1 DAY FROM events)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +18,53 @@ def ingest_fragments(fragments: DataFrame) -> DataFrame:
     return ingest.chunks(ingest.first_text_per(ingest.ingestible(fragments), "law_iri", "pos"))
 
 
-def _allowed(hits: DataFrame, planned: DataFrame) -> DataFrame:
-    """Hits within their query's law filter, ranked anew and cut to its candidate_k."""
-    rows = hits.drop("rank").join(planned.select("query_id", "law_filter", "candidate_k"), "query_id")
-    rows = rows.filter((F.size("law_filter") == 0) | F.array_contains("law_filter", F.col("law_iri")))
-    return lexical.top(rows, F.col("candidate_k")).drop("law_filter", "candidate_k")
+#: Of a leg within preferred laws, the least candidates.
+LEAST_PREFERRED = 12
+
+
+@dataclass
+class Searchable:
+    """What a batch of requests searches, read once: matching postings, vectors, columns."""
+
+    corpus: DataFrame
+    matches: lexical.Matches
+    vectors: DataFrame
+
+
+def searchable(corpus: DataFrame, planned: DataFrame, dimension: int) -> Searchable:
+    vectors = dense.dense_vectors(corpus, dimension).join(corpus.select("chunk_id", "law_iri"), "chunk_id")
+    return Searchable(corpus, lexical.matches(corpus, _sparse_text(planned), keep=("law_iri",)), stored(vectors, "vectors"))
+
+
+def _sparse_text(planned: DataFrame) -> DataFrame:
+    return planned.select("query_id", F.coalesce("expanded", "clean").alias("text"))
+
+
+def legs(planned: DataFrame) -> DataFrame:
+    """One search within the law filter (everywhere, if there is none) and, without a filter,
+    a smaller one within the preferred laws: leg_id, laws, k, the texts.  Both are ranked by
+    themselves, so a law's best chunks need not be among the best of the corpus."""
+    wide = F.struct(F.lit(0).cast("long").alias("leg"), F.col("law_filter").alias("laws"), F.col("candidate_k").alias("k"))
+    near = F.struct(F.lit(1).cast("long").alias("leg"), F.col("preferred_laws").alias("laws"), F.greatest(F.lit(LEAST_PREFERRED), F.expr("candidate_k div 2").cast("int")).alias("k"))
+    both = F.when((F.size("law_filter") == 0) & (F.size("preferred_laws") > 0), F.array(wide, near)).otherwise(F.array(wide))
+    rows = planned.select("query_id", F.coalesce("expanded", "clean").alias("text"), "clean", F.explode(both).alias("x"))
+    return rows.select((F.col("query_id").cast("long") * 2 + F.col("x.leg")).alias("query_id"), "text", "clean", F.col("x.laws").alias("laws"), F.col("x.k").alias("k"))
+
+
+def _one_of_legs(hits: DataFrame) -> DataFrame:
+    """The hits of both legs as one ranking, each chunk once with its best score."""
+    rows = hits.select(F.shiftright("query_id", 1).alias("query_id"), "chunk_id", "score").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return rows.withColumn("rank", F.row_number().over(ranking.per_query().orderBy(F.desc("score"), "chunk_id")))
 
 
-def retrieve(corpus: DataFrame, planned: DataFrame, dimension: int) -> DataFrame:
+def retrieve(found: Searchable, planned: DataFrame, dimension: int) -> DataFrame:
     """Reranked candidates of planned queries: BM25 over the expanded text and vectors over
-    the cleaned one, fused, with the corpus columns."""
-    laws = corpus.select("chunk_id", "law_iri")
-    sparse_text = planned.select("query_id", F.coalesce("expanded", "clean").alias("text"))
-    sparse = _allowed(lexical.search(corpus, sparse_text, 100).join(laws, "chunk_id"), planned)
-    asked = dense.dense_vectors(planned.select(F.col("query_id").alias("chunk_id"), F.col("clean").alias("text")), dimension).withColumnRenamed("chunk_id", "query_id")
-    near = _allowed(dense.nearest(dense.dense_vectors(corpus, dimension), asked, 100).join(laws, "chunk_id"), planned)
+    the cleaned one, within each plan's laws, fused, with the corpus columns."""
+    corpus, asking = found.corpus, legs(planned)
+    within = ("laws", "law_iri")
+    sparse = _one_of_legs(lexical.ranked(found.matches, asking.select("query_id", "text", "laws", "k"), "k", within))
+    vectors = dense.dense_vectors(asking.select(F.col("query_id").alias("chunk_id"), F.col("clean").alias("text")), dimension).withColumnRenamed("chunk_id", "query_id")
+    near = _one_of_legs(dense.nearest(found.vectors, asking.select("query_id", "laws", "k").join(vectors, "query_id"), "k", within=within))
     fused = fusion.rrf(near, sparse).drop("rank").join(corpus, "chunk_id")
     if "paragraph" not in corpus.columns:
         fused = fused.withColumn("paragraph", F.lit(None).cast("string"))
@@ -46,7 +80,8 @@ def _with_structure(fused: DataFrame, corpus: DataFrame, planned: DataFrame, nea
     wanted = wanted.select("query_id", "law_iri", F.explode("paragraph_filter").alias("paragraph"))
     exact = ranking.exact_lookup(wanted, corpus.select("chunk_id", "fragment_id", "law_iri", "paragraph", "text", "chunk_index"))
     at = corpus.select("chunk_id", "fragment_id", "chunk_index")
-    around = ranking.neighbors(ranking.anchors(exact, near, sparse).join(at, "chunk_id"), at)
+    bounds = planned.select("query_id", F.col("window").alias("reach"), F.greatest(F.lit(10), F.least(F.lit(30), F.expr("candidate_k div 3"))).alias("most"))
+    around = ranking.neighbors(ranking.anchors(exact, near, sparse).join(at, "chunk_id").join(bounds, "query_id"), at, F.col("reach"), F.col("most"))
     sides = (
         exact.select("query_id", "chunk_id", F.lit(True).alias("exact_match"), F.lit(False).alias("structural_neighbor"), F.lit(False).alias("neighbor_of_exact_match")),
         around.join(exact.select("query_id", F.col("chunk_id").alias("anchor_id"), F.lit(True).alias("_of")).distinct(), ["query_id", "anchor_id"], "left").select(
@@ -72,10 +107,13 @@ def hybrid(corpus: DataFrame, requests: DataFrame, top_k: int = 5, dimension: in
     planned = planning.build(understanding.understand(clear).withColumn("top_k", F.lit(top_k)))
     # the plan's columns are long expressions and each stage reads them: stored once
     planned = stored(planned, "planned")
-    valid = stored(ranking.validate(retrieve(corpus, planned, dimension)), "valid")
+    found = searchable(corpus, planned, dimension)
+    valid = stored(ranking.validate(retrieve(found, planned, dimension)), "valid")
     again = ranking.should_broaden(valid, planned, top_k).select("query_id")
     wider = stored(planning.broaden(planned.join(again, "query_id", "left_semi")), "wider")
-    items = valid.join(again, "query_id", "left_anti").unionByName(ranking.validate(retrieve(corpus, wider, dimension)))
+    items = valid
+    if not wider.isEmpty():
+        items = valid.join(wider, "query_id", "left_anti").unionByName(ranking.validate(retrieve(found, wider, dimension)))
     asked = requests.select("query_id", F.col("query").alias("_asked"))
     items = ranking.cross_encoder_order(items.join(asked, "query_id"), F.when(F.col("plan_mode") != "exact", ranking.lexical_stand_in(F.col("_asked"), F.col("text"))))
     items = ranking.diversify(items, top_k * 3, F.struct("law_iri", F.coalesce(F.nullif("paragraph", F.lit("")), F.col("chunk_id").cast("string"))))

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The setting by which Spark removes the shuffle files of a query that has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_made: list[tuple[SparkSession, str]] = []
+
+
 def folder(spark: SparkSession) -> str:
     """Below ``spark.checkpoint.dir``; a local folder only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillmark-"))
         at = spark.sparkContext.getCheckpointDir()
     return f"{at.rstrip('/')}/rillmark"
@@ -24,9 +34,52 @@ def fresh(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written and read again: the plan ends here, and lost executors cost no more than
     reading it anew."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh(spark, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` made in this session."""
+    for session, path in list(_made):
+        if session is spark:
+            _made.remove((session, path))
+            with contextlib.suppress(Exception):  # the session may be over
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for session in {s for s, _ in _made}:
+        with contextlib.suppress(Exception):
+            if session.sparkContext._jsc is not None:
+                drop_tables(session)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, written through the file system that holds the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(content)
+    finally:
+        out.close()
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:

@@ -37,11 +37,17 @@ def windowed(stream: DataFrame, time: str, event: str, late: str = "10 minutes",
 
 
 def upsert_into(stream: DataFrame, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Write each batch once: a batch lands in a folder of its own number, so that one run
-    again after a failure replaces what it wrote."""
+    """Write each key once: a batch lands in a folder of its own number, without the keys
+    that earlier batches hold.  One run again after a failure sees the same earlier batches
+    and replaces what it wrote."""
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows = batch.dropDuplicates([key])
+        if work.exists(spark, target):
+            held = spark.read.option("basePath", target).schema(f"`{key}` {batch.schema[key].dataType.simpleString()}, batch long").parquet(target)
+            rows = rows.join(held.filter(F.col("batch") < number).select(key), key, "left_anti").select(*batch.columns)
+        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
