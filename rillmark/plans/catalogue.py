@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_search, q_tables, q_text
+from . import q_search, q_sources, q_tables, q_text
 
-PARTS = (q_text, q_search, q_tables)
+PARTS = (q_text, q_search, q_tables, q_sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

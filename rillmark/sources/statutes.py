@@ -39,7 +39,8 @@ def section(spark: SparkSession, path: str, name: str) -> DataFrame:
 def bad_lines(spark: SparkSession, path: str, name: str) -> DataFrame:
     """The lines that ``section`` leaves out."""
     schema = T.StructType.fromDDL(f"{SECTIONS[name]}, _corrupt string")
-    return spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").select("*").filter("_corrupt IS NOT NULL").select(F.col("_corrupt").alias("line"))
+    read = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return spark.read.text(path).filter(read["_corrupt"].isNotNull()).select(F.col("value").alias("line"))
 
 
 def collections(spark: SparkSession, path: str) -> DataFrame:

@@ -251,6 +251,7 @@ def test_prompt_and_strategy(spark):
     assert p.startswith("DOTAZ: co?\nJURISDIKCE: czechia  |  DOMÉNA: law\n\nZDROJE (1):\n[1] f  (score: 1.500)\n    \"t\"") and "zdrojů [1]–[1] odpověz" in p
     df = spark.createDataFrame([(1, 12, ["a"], [], False, False, ["h1", "h2", "h3"])], "n_laws int, n_courts int, law_points array<string>, court_points array<string>, has_case boolean, has_documents boolean, hints array<string>")
     r = answers.strategy(df).first()
+    assert r.summary == "a" and r.recommended_actions == [answers.ALIGN % "the applicable statutes", answers.ADD_COURTS]
     assert r.confidence == 0.95 and len(r.risks) == 1 and len(r.arguments_against) == 2 and r.missing_documents[:2] == ["h1", "h2"] and r.arguments_for == ["Build the primary line of argument on: a"]
 
 
@@ -370,9 +371,45 @@ def test_stream_resumes(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 3]
 
 
+def test_upsert_across_batches(spark, tmp_path):
+    src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "id long, g string")
+    first.write.parquet(f"{src}/x")
+    run = lambda: ingestion.upsert_into(ingestion.source(spark, src, "x", first.schema), out, state, "id").awaitTermination()
+    run()
+    spark.createDataFrame([(2, "again"), (3, "c")], first.schema).write.mode("append").parquet(f"{src}/x")
+    run()
+    assert sorted((r.id, r.g) for r in spark.read.parquet(out).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
 # Whole plans ---------------------------------------------------------------
 
 
+def test_law_filter_comes_before_the_cut(spark):
+    """150 better chunks of other laws do not push out those of the law asked for; without
+    a filter, preferred laws have a leg of their own."""
+    rows = [(i, "local:sb/2012/89", "nájem nájem nájem bytu") for i in range(150)] + [(1000 + i, "local:sb/2006/262", f"nájem a mnoho jiných slov o práci {i}") for i in range(3)]
+    corpus = spark.createDataFrame(rows, "chunk_id long, law_iri string, text string")
+    plans = spark.createDataFrame(
+        [(1, "nájem bytu", ["local:sb/2006/262"], []), (2, "nájem bytu", [], ["local:sb/2006/262"]), (3, "nájem bytu", [], [])], "query_id long, clean string, law_filter array<string>, preferred_laws array<string>"
+    ).withColumns({"expanded": F.lit(None).cast("string"), "candidate_k": F.lit(50)})
+    found, asking = search.searchable(corpus, plans, 64), search.legs(plans)
+    assert sorted((r.query_id, r.laws, r.k) for r in asking.collect()) == [(2, ["local:sb/2006/262"], 50), (4, [], 50), (5, ["local:sb/2006/262"], 25), (6, [], 50)]
+    hits = search._one_of_legs(lexical.ranked(found.matches, asking.select("query_id", "text", "laws", "k"), "k", ("laws", "law_iri")))
+    by = {q: {r.chunk_id for r in hits.filter(f"query_id = {q}").collect()} for q in (1, 2, 3)}
+    assert by[1] == {1000, 1001, 1002} and by[2] == set(range(50)) | {1000, 1001, 1002} and by[3] == set(range(50))
+    vectors = dense.dense_vectors(asking.select(F.col("query_id").alias("chunk_id"), F.col("clean").alias("text")), 64).withColumnRenamed("chunk_id", "query_id")
+    near = dense.nearest(found.vectors, asking.select("query_id", "laws", "k").join(vectors, "query_id"), "k", within=("laws", "law_iri"))
+    assert {r.chunk_id for r in near.filter("query_id = 2").collect()} == {1000, 1001, 1002} and near.filter("query_id = 6").count() == 50
+
+
+def test_neighbors_by_plan(spark):
+    chunks = spark.createDataFrame([(i, "f", i) for i in range(9)], "chunk_id long, fragment_id string, chunk_index int")
+    anchored = spark.createDataFrame([(1, 4, 0, "f", 4, 2, 10), (2, 4, 0, "f", 4, 3, 4)], "query_id long, chunk_id long, ordinal int, fragment_id string, chunk_index int, reach int, most int")
+    got = ranking.neighbors(anchored, chunks, F.col("reach"), F.col("most")).orderBy("query_id", "rank").collect()
+    assert [r.chunk_id for r in got if r.query_id == 1] == [2, 3, 5, 6] and [r.chunk_id for r in got if r.query_id == 2] == [1, 2, 3, 5]
+
+
 def test_exact_search_finds_the_paragraph(spark):
     laws = [(i, f"local:sb/2006/262/{i}", "local:sb/2006/262", str(50 + i // 3), t, i, "262/2006 Sb.") for i, t in enumerate(["§ 50", "Výpověď musí být písemná a doručená, jinak je neplatná podle zákona.", "Další text o výpovědi z pracovního poměru, který platí v roce 2020.", "§ 51", "Výpovědní doba činí 2 měsíce a začíná prvním dnem.", "jiné"])]
     laws += [(100 + i, f"local:sb/2012/89/{i}", "local:sb/2012/89", str(50 + i), f"Občanský zákoník odstavec {i} upravuje kupní smlouvu a nájem.", i, "89/2012 Sb.") for i in range(6)]
