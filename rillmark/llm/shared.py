@@ -1,8 +1,8 @@
 """What the corpus operators share: word patterns, shared-folder tables and Arrow helpers.
 
 Tables that cut lineage go below ``spark.checkpoint.dir``, which driver and executors
-share on a cluster.  Only where that setting is missing (tests, a laptop) is a local
-folder chosen, once per session.
+share on a cluster.  Only where that setting is missing and the master is local (tests, a
+laptop) is a local folder chosen, once per session.
 """
 
 from __future__ import annotations
@@ -57,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillmark-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")

@@ -186,7 +186,8 @@ def _masks_by_window(met: DataFrame) -> DataFrame:
     """The same for hot anchors: no group is gathered, sums and masks are map-side first."""
     distinct = shared.table(met.groupBy("anchor", "run").agg(F.sum("n").alias("n"), F.first("windows").alias("windows")), "dedup-hot-runs")
     each = distinct.select("anchor", "run", "n", F.posexplode("windows").alias("i", "window"))
-    total = each.groupBy("anchor", "window").agg(F.sum("n").alias("total")).filter("total > 1").drop("total")
+    # stored, so that Spark can split a hot window of the join
+    total = shared.table(each.groupBy("anchor", "window").agg(F.sum("n").alias("total")).filter("total > 1").drop("total"), "dedup-hot-windows")
     return each.join(total, ["anchor", "window"], "left_semi").groupBy("anchor", "run").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
 
 
