@@ -208,9 +208,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: fl
         .limit(MOST_FEATURES)
     )
     features = {f: i for i, f in enumerate(dict.fromkeys([*[bytes(r.feature) for r in kept.select("feature").collect()], *named]))}
-    design = shared.map_arrow(texts, _designed(features), "toxic int, own array<int>, twins array<array<int>>").orderBy("toxic", "own", "twins").toArrow()
-    own, twins = design.column("own").to_pylist(), design.column("twins").to_pylist()
-    w, b = fit(own, np.array(design.column("toxic").to_pylist()), twins, len(features), share, fairness)
+    design = shared.map_arrow(texts, _designed(features), "toxic int, own array<int>, twins array<array<int>>").toArrow()
+    # at most 2 * sample rows, in one order whatever the tasks were
+    toxic, own, twins = zip(*sorted(zip(*(design.column(c).to_pylist() for c in ("toxic", "own", "twins")), strict=True)), strict=True)
+    w, b = fit(list(own), np.array(toxic), list(twins), len(features), share, fairness)
     prior = float(1 / (1 + np.exp(-b)))
     return Model(min(max(prior, 1e-6), 1 - 1e-6), {f: round(float(w[i]), 9) for f, i in features.items() if abs(w[i]) > 1e-9})
 
