@@ -544,6 +544,34 @@ def test_jaccard_join(spark, k, num):
     assert kept == set(labels)
 
 
+def test_join_of_rows_with_equal_ids(spark):
+    """Every row by itself, whatever rows share its id; one row of each group stays."""
+    rng = random.Random(99)
+    texts = invented(rng, 12)
+    for base in range(5):
+        words = [f"b{base}x{i}" for i in range(50)]
+        for _ in range(6):
+            copy = [*words]
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(50)] = f"e{rng.randrange(20)}"
+            texts.append(" ".join(copy))
+    texts += [texts[20], texts[20], "", None]
+    rows = [(rng.choice([None, *range(9)]), t) for t in texts]
+    rows += rows[5:9]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, labels = linked([t for _, t in rows], 3, 70, 100)
+    groups = defaultdict(list)
+    for (d, t), s, g in zip(rows, sets, labels, strict=True):
+        groups[g if s else (d, t)].append(d)
+    least = {g: min((d for d in ds if d is not None), default=None) for g, ds in groups.items()}
+    wanted = [(d, len(s), least[g if s else (d, t)]) for (d, t), s, g in zip(rows, sets, labels, strict=True)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs, 3, 70, 100).collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+    kept = jaccard_join.keep_one(docs, 3, 70, 100).collect()
+    of = {(d, t): g if s else (d, t) for (d, t), s, g in zip(rows, sets, labels, strict=True)}
+    assert sorted((str(of[r.doc_id, r.text]), str(r.doc_id)) for r in kept) == sorted((str(g), str(d)) for g, d in least.items())
+
+
 def test_join_of_a_large_group(spark):
     rng = random.Random(9)
     words, texts = [f"x{i}" for i in range(120)], []
