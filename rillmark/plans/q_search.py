@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from rillmark.operators import answers, dense, fusion, ingest, lexical, planning, ranking, understanding
 from rillmark.operators.understanding import DOMAINS, EXPANSIONS, LAW_ALIASES, LAW_DOMAINS, PHRASES, STEMS
+from rillmark.sources.work import stored
 
-from .q_text import SQUEEZED, penalty_sql
+from .q_text import SQUEEZED, heading_boost_sql, penalty_sql
 from .tables import DIM, HITS, IDF, NORM_TF, STATS, bm25, corpus, dense_hits, dense_sql, embedding, hits, queries, read, word
 
 QUERIES: dict = {}
@@ -173,45 +174,141 @@ def retrieval_features(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", "top_dense_score", "top_fused_score", "score_gap", F.round("keyword_coverage", 6).alias("keyword_coverage"), "supporting_chunks")
 
 
-# Reranking and gates -------------------------------------------------------
+# Understanding and plans ---------------------------------------------------
+
+#: Czech requests of every kind, asked beside the benchmark items.
+ASKED = (
+    "§ 52 zákoník práce",
+    "výpověď z pracovního poměru podle zákona č. 262/2006 Sb.",
+    "jaká je výpovědní doba zaměstnance",
+    "kupní smlouva občanský zákoník",
+    "trestný čin podvod trestní odpovědnost",
+    "daň z příjmů fyzických osob",
+    "správní řízení úřad",
+    "ústava České republiky základní práva",
+    "společnost s ručením omezeným jednatel",
+    "§ 89 a § 90a zákona 89 / 2012 Sb.",
+    "počasí zítra v Brně",
+    "náhrada škody nájem bytu dědictví",
+    "podmíněný trest zkušební doba",
+    "",
+)
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """All benchmark items and, with negative ids, the requests of ASKED."""
+    rows = ", ".join(f"({-1 - i}, '{q}')" for i, q in enumerate(ASKED))
+    return queries(spark, d).select(F.col("query_id").cast("long").alias("query_id"), "query").unionAll(spark.sql(f"SELECT CAST(query_id AS BIGINT) query_id, query FROM VALUES {rows} t(query_id, query)"))
 
 
 def planned(spark: SparkSession, d: str) -> DataFrame:
-    return planning.build(understanding.understand(queries(spark, d).select("query_id", "query")))
+    """Their plans.  The columns are long expressions that several stages read: stored."""
+    return stored(planning.build(understanding.understand(asked(spark, d))), "planned")
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Fused BM25 and vector hits with the chunk's columns."""
-    sparse = lexical.search(corpus(spark, d), queries(spark, d), HITS)
-    rows = fusion.rrf(dense_hits(spark, d), sparse).join(corpus(spark, d), "chunk_id").withColumn("paragraph", F.lit(None).cast("string"))
-    return rows.withColumns({f: F.lit(False) for f in fusion.FLAGS}).drop("rank")
-
-
-# benchmark items cite no law: broad plans with unknown domain unless a stem matches
-RERANK = f"""{bm25()},{dense_sql()},{RRF},
-kw AS (SELECT item_id AS query_id, text AS query, list_distinct({KEYWORDS.format(FOLDED_TOKENS.format("text"))}) AS keywords FROM benchmark),
-cand AS (SELECT f.*, d.text, trim(d.text) AS v, k.keywords, COALESCE(dense_score, 0) AS ds, COALESCE(sparse_score, 0) AS ss,
-         len(list_intersect(k.keywords, list_distinct({FOLDED_TOKENS.format("d.text")}))) / len(k.keywords)::DOUBLE AS text_overlap
-         FROM fused f JOIN d USING (chunk_id) JOIN kw k USING (query_id)),
-scored AS (SELECT *, round(rrf_score / max(rrf_score) OVER q * 0.34::DOUBLE + CASE WHEN max(ds) OVER q > 0 THEN ds / max(ds) OVER q ELSE 0 END * 0.22::DOUBLE + CASE WHEN max(ss) OVER q > 0 THEN ss / max(ss) OVER q ELSE 0 END * 0.22::DOUBLE
-           + text_overlap * 0.32::DOUBLE - {penalty_sql()}, 6) AS final_score FROM cand WINDOW q AS (PARTITION BY query_id)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, chunk_id) AS final_rank FROM scored),
-valid AS (SELECT *, max(final_score) OVER (PARTITION BY query_id) AS top_score FROM ranked
-          QUALIFY NOT final_score < greatest(0.12, top_score * 0.30) AND NOT (final_score < greatest(0.08, top_score * 0.18) AND text_overlap < 0.05))"""
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in rows)
 
 
-def _broad(spark: SparkSession, d: str) -> DataFrame:
-    """Plans of the benchmark items as broad ones: their invented words match Czech stems
-    by chance, which the SQL does not repeat."""
+UNDERSTOOD = rf"""
+q(query_id, query) AS (SELECT item_id, text FROM benchmark UNION ALL VALUES {_values((-1 - i, x) for i, x in enumerate(ASKED))}),
+f AS (SELECT *, {SQUEEZED.format("strip_accents(lower(query))")} AS folded FROM q),
+al(alias, iri, i) AS (VALUES {_values((name, f"local:sb/{y}/{n}", i) for i, (name, n, y) in enumerate(LAW_ALIASES))}),
+cited AS (SELECT query_id, unnest(range(1, len(regexp_extract_all(query, '([0-9]{{1,4}})\s*/\s*([0-9]{{4}})')) + 1)) AS i, regexp_extract_all(query, '([0-9]{{1,4}})\s*/\s*([0-9]{{4}})', 1) AS n, regexp_extract_all(query, '([0-9]{{1,4}})\s*/\s*([0-9]{{4}})', 2) AS y FROM f),
+refs AS (SELECT query_id, 'local:sb/' || y[i] || '/' || n[i] AS iri, i FROM cited UNION ALL SELECT query_id, iri, 100 + al.i FROM f JOIN al ON contains(folded, alias)),
+laws AS (SELECT query_id, iri, min(i) AS i FROM refs GROUP BY 1, 2),
+law_list AS (SELECT query_id, list(iri ORDER BY i) AS laws FROM laws GROUP BY 1),
+clean AS (SELECT query_id, {SQUEEZED.format(r"regexp_replace(regexp_replace(query, '(?i)(?:z[aá]kon(?:a|u|em|ě)?(?:\s+č\.?)?\s+)?([0-9]{1,4})\s*/\s*([0-9]{4})(?:\s+Sb\.?)?', ' ', 'g'), '§+\s*[0-9]+[a-zA-Z]?', ' ', 'g')")} AS c FROM f),
+cl AS (SELECT query_id, CASE WHEN c <> '' THEN c ELSE {SQUEEZED.format("query")} END AS clean FROM clean JOIN f USING (query_id)),
+kw AS (SELECT query_id, clean, {KEYWORDS.format(FOLDED_TOKENS.format("clean"))} AS ks FROM cl),
+kx AS (SELECT query_id, k, min(i) AS i FROM (SELECT query_id, unnest(ks) AS k, unnest(range(len(ks))) AS i FROM kw) GROUP BY 1, 2),
+dm(domain, di) AS (VALUES {_values((x, i) for i, x in enumerate(DOMAINS))}),
+ph(domain, phrase, w) AS (VALUES {_values((x, p, w) for x in DOMAINS for p, w in PHRASES[x].items())}),
+sm(domain, stem, w, si) AS (VALUES {_values((x, s, w, i) for x in DOMAINS for i, (s, w) in enumerate(STEMS[x].items()))}),
+ld(iri, domain) AS (VALUES {_values(LAW_DOMAINS.items())}),
+points AS (SELECT query_id, domain, w FROM f JOIN ph ON contains(folded, phrase)
+  UNION ALL SELECT query_id, domain, arg_min(w, si) FROM kx JOIN sm ON starts_with(k, stem) OR starts_with(stem, k) GROUP BY query_id, domain, k
+  UNION ALL SELECT query_id, domain, 5.0 FROM laws JOIN ld USING (iri)),
+sums AS (SELECT q.query_id, dm.domain, di, COALESCE(sum(w), 0)::DOUBLE AS s FROM q CROSS JOIN dm LEFT JOIN points p ON p.query_id = q.query_id AND p.domain = dm.domain GROUP BY 1, 2, 3),
+best AS (SELECT query_id, list(domain ORDER BY s DESC, di)[1] AS d1, list(s ORDER BY s DESC, di) AS ss FROM sums GROUP BY 1),
+ex(trigger, words, xi) AS (VALUES {_values((t, w, i) for i, (t, w) in enumerate(EXPANSIONS))}),
+exp AS (SELECT query_id, arg_min(words, -length(trigger) * 1000 + xi) AS words FROM f JOIN ex ON contains(folded, trigger) GROUP BY 1),
+u AS (SELECT f.query_id, f.query, COALESCE(laws, []::VARCHAR[]) AS laws, list_distinct(regexp_extract_all(query, '§+\s*([0-9]+[a-zA-Z]?)', 1)) AS paragraphs, clean,
+  CASE WHEN ss[1] >= 2.5 THEN d1 ELSE 'unknown' END AS domain, CASE WHEN ss[1] >= 2.5 THEN ss[1] / greatest(ss[1] + ss[2], 1.0) ELSE 0 END AS conf, clean || ' ' || words AS expanded,
+  (SELECT string_agg(k, ',' ORDER BY i) FROM kx WHERE kx.query_id = f.query_id) AS keywords
+  FROM f LEFT JOIN law_list USING (query_id) JOIN cl USING (query_id) JOIN best USING (query_id) LEFT JOIN exp USING (query_id)),
+m AS (SELECT *, CASE WHEN len(laws) > 0 AND len(paragraphs) > 0 THEN 'exact_lookup' WHEN len(laws) > 0 THEN 'law_constrained_search' WHEN domain <> 'unknown' THEN 'domain_search' ELSE 'broad_search' END AS mode FROM u)"""
+
+
+@query(f"WITH {UNDERSTOOD} SELECT query_id, domain, round(conf, 6) AS domain_confidence, COALESCE(keywords, '') AS keywords FROM m")
+def domain_scores(spark: SparkSession, d: str) -> DataFrame:
+    return understanding.understand(asked(spark, d)).select("query_id", "domain", F.round("domain_confidence", 6).alias("domain_confidence"), F.array_join("keywords", ",").alias("keywords"))
+
+
+@query(f"WITH {UNDERSTOOD} SELECT query_id, array_to_string(laws, ',') AS laws, mode FROM m")
+def query_mode(spark: SparkSession, d: str) -> DataFrame:
+    return understanding.understand(asked(spark, d)).select("query_id", F.array_join("laws", ",").alias("laws"), "mode")
+
+
+@query(f"WITH {UNDERSTOOD} SELECT query_id, clean, expanded FROM m")
+def query_expansion(spark: SparkSession, d: str) -> DataFrame:
+    return understanding.understand(asked(spark, d)).select("query_id", "clean", "expanded")
+
+
+PREFER = "CASE domain " + " ".join(f"WHEN '{x}' THEN {list(laws)}" for x, laws in planning.PREFERRED.items()) + " ELSE []::VARCHAR[] END"
+PLANNED = f"""{UNDERSTOOD},
+pv(plan, {", ".join(planning.FIELDS[:-1])}, reach) AS (VALUES {_values((k, *v) for k, v in planning.PLANS.items())}),
+n AS (SELECT *, CASE WHEN mode = 'exact_lookup' THEN 'exact' WHEN mode = 'law_constrained_search' AND len(paragraphs) = 0 THEN 'topic' WHEN mode = 'law_constrained_search' THEN 'law'
+        WHEN mode = 'domain_search' AND conf >= 0.9 THEN 'domain_sure' WHEN mode = 'domain_search' THEN 'domain' ELSE 'broad' END AS plan, CASE WHEN len(laws) > 0 THEN laws ELSE {PREFER} END AS preferred_laws,
+        CASE WHEN keywords IS NULL THEN []::VARCHAR[] ELSE string_split(keywords, ',') END AS words FROM m),
+pl AS (SELECT *, CASE WHEN plan IN ('exact', 'topic', 'law') THEN laws WHEN plan = 'domain_sure' THEN preferred_laws ELSE []::VARCHAR[] END AS law_filter FROM n JOIN pv USING (plan))"""
+
+
+@query(f"""WITH {PLANNED}
+SELECT query_id, plan, array_to_string(law_filter, ',') AS law_filter, array_to_string(preferred_laws, ',') AS preferred_laws,
+       least(100, greatest(50, baseline, 50))::INT AS candidate_k, law_boost::DOUBLE AS law_boost, overlap_weight::DOUBLE AS overlap_weight, mismatch::DOUBLE AS mismatch, plan_mode, reach::INT AS "window" FROM pl""")
+def plan_columns(spark: SparkSession, d: str) -> DataFrame:
     p = planned(spark, d)
-    names = planning.FIELDS
-    values = dict(zip(names, planning.PLANS["broad"], strict=True))
-    none = F.array().cast("array<string>")
-    return p.withColumns({n: F.lit(v) for n, v in values.items() if n != "baseline"} | {"domain": F.lit("unknown"), "mode": F.lit("broad_search"), "law_filter": none, "preferred_laws": none, "paragraph_filter": none, "laws": none, "paragraphs": none})
+    return p.select("query_id", "plan", F.array_join("law_filter", ",").alias("law_filter"), F.array_join("preferred_laws", ",").alias("preferred_laws"), "candidate_k", "law_boost", "overlap_weight", "mismatch", "plan_mode", "window")
+
+
+# Reranking and gates -------------------------------------------------------
+
+
+#: The documents as chunks of these laws, with paragraphs and flags by id.
+LAWS = tuple(LAW_DOMAINS)
+FLAG_EVERY = {"exact_match": 7, "structural_neighbor": 5, "neighbor_of_exact_match": 35}
+
+
+def candidates(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
+    """Fused BM25 and vector hits of the planned queries with the chunk's columns."""
+    n = F.col("chunk_id")
+    c = corpus(spark, d).withColumns({"law_iri": F.get(F.array(*[F.lit(x) for x in LAWS]), (n % len(LAWS)).cast("int")), "paragraph": (n % 100).cast("string")} | {f: n % every == 0 for f, every in FLAG_EVERY.items()})
+    texts = p.select("query_id", F.col("query").alias("text"))
+    sparse = lexical.search(c, texts, HITS)
+    return fusion.rrf(dense_hits(spark, d, asked=texts), sparse).join(c, "chunk_id").drop("rank")
+
+
+FINAL = """round(rrf_score / max(rrf_score) OVER q * 0.34::DOUBLE + CASE WHEN max(ds) OVER q > 0 THEN ds / max(ds) OVER q ELSE 0 END * 0.22::DOUBLE + CASE WHEN max(ss) OVER q > 0 THEN ss / max(ss) OVER q ELSE 0 END * 0.22::DOUBLE
+           + text_overlap * overlap_weight::DOUBLE + CASE WHEN strict THEN law_boost::DOUBLE ELSE 0 END + CASE WHEN preferred THEN preferred_boost::DOUBLE ELSE 0 END + CASE WHEN paragraph_match THEN paragraph_boost::DOUBLE ELSE 0 END
+           + CASE WHEN exact_match THEN exact_boost::DOUBLE ELSE 0 END + CASE WHEN structural_neighbor THEN neighbor_boost::DOUBLE ELSE 0 END + heading - (line_penalty + law_penalty), 6)"""
+RERANK = f"""{PLANNED},{bm25(queries_sql="SELECT query_id, query AS text FROM q")},{dense_sql(queries_sql="SELECT query_id AS chunk_id, query AS text FROM q")},{RRF},
+c1 AS (SELECT f.*, d.text, trim(d.text) AS v, p.* EXCLUDE (query_id, query), {list(LAWS)}[chunk_id % {len(LAWS)} + 1] AS iri, (chunk_id % 100)::VARCHAR AS paragraph, {", ".join(f"chunk_id % {every} = 0 AS {f}" for f, every in FLAG_EVERY.items())}
+       FROM fused f JOIN d USING (chunk_id) JOIN pl p ON p.query_id = f.query_id),
+c2 AS (SELECT *, COALESCE(dense_score, 0) AS ds, COALESCE(sparse_score, 0) AS ss, list_distinct({FOLDED_TOKENS.format("text")}) AS toks,
+         list_contains(law_filter, iri) AS strict, list_contains(preferred_laws, iri) AS preferred, list_contains(paragraphs, paragraph) AS paragraph_match, {penalty_sql()} AS line_penalty, {heading_boost_sql("mode <> 'exact_lookup' AND (list_contains(law_filter, iri) OR list_contains(preferred_laws, iri))", "words")} AS heading FROM c1),
+cand AS (SELECT *, CASE WHEN len(words) > 0 THEN len(list_intersect(words, toks)) / len(words)::DOUBLE ELSE 0 END AS text_overlap,
+         CASE WHEN len(law_filter) > 0 AND NOT strict THEN mismatch::DOUBLE WHEN domain <> 'unknown' AND len(preferred_laws) > 0 AND NOT preferred THEN mismatch::DOUBLE * 0.35::DOUBLE ELSE 0 END AS law_penalty FROM c2),
+scored AS (SELECT *, {FINAL} AS final_score FROM cand WINDOW q AS (PARTITION BY query_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, exact_match DESC, paragraph_match DESC, strict DESC, preferred DESC, chunk_id) AS final_rank FROM scored),
+valid AS (SELECT *, max(final_score) OVER (PARTITION BY query_id) AS top_score FROM ranked
+          QUALIFY NOT (plan_mode = 'constrained' AND len(law_filter) > 0 AND NOT strict) AND NOT (plan_mode = 'exact' AND len(paragraphs) > 0 AND NOT (paragraph_match OR neighbor_of_exact_match OR exact_match))
+          AND NOT (final_score < greatest(0.12, top_score * 0.30) AND NOT (exact_match OR paragraph_match OR strict OR preferred)) AND NOT (final_score < greatest(0.08, top_score * 0.18) AND NOT exact_match AND text_overlap < 0.05))"""
 
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.rerank(candidates(spark, d), _broad(spark, d))
+    p = planned(spark, d)
+    return ranking.rerank(candidates(spark, d, p), p).join(p.select("query_id", "laws", "paragraphs"), "query_id")
 
 
 @query(f"WITH {RERANK} SELECT query_id, chunk_id, final_score AS score, final_rank::INT AS rank FROM ranked")
@@ -225,11 +322,12 @@ def validate_floors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {RERANK},
-o AS (SELECT query_id, list_filter(keywords, lambda x: length(x) >= 4 AND x NOT IN ('text', 'data', 'cast', 'nebo', 'jako')) AS w, {FOLDED_TOKENS.format("text")} AS t FROM ranked)
-SELECT query_id, round(max(CASE WHEN len(w) > 0 THEN len(list_intersect(w, list_distinct(t))) / len(w)::DOUBLE ELSE 0 END), 6) AS max_overlap,
-       max(len(w)) > 0 AND max(CASE WHEN len(w) > 0 THEN len(list_intersect(w, list_distinct(t))) / len(w)::DOUBLE ELSE 0 END) < 0.5 AS fired FROM o GROUP BY query_id""")
+o AS (SELECT *, list_filter(words, lambda x: length(x) >= 4 AND x NOT IN ('text', 'data', 'cast', 'nebo', 'jako')) AS w FROM ranked),
+g AS (SELECT query_id, max(CASE WHEN len(w) > 0 THEN len(list_intersect(w, toks)) / len(w)::DOUBLE ELSE 0 END) AS most, max(len(w)) AS n_words FROM o GROUP BY query_id)
+SELECT query_id, round(most, 6) AS max_overlap, n_words > 0 AND ((plan_mode = 'broad' AND domain = 'unknown' AND len(laws) = 0 AND len(paragraphs) = 0 AND most < 0.5)
+       OR (plan_mode = 'constrained' AND len(law_filter) = 0 AND domain <> 'unknown' AND len(paragraphs) = 0 AND most < 0.3)) AS fired FROM g JOIN pl USING (query_id)""")
 def overlap_gate(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.overlap_gate(_reranked(spark, d).join(_broad(spark, d).select("query_id", "laws", "paragraphs"), "query_id"))
+    return ranking.overlap_gate(_reranked(spark, d))
 
 
 @query(f"""WITH {bm25()}
@@ -290,94 +388,3 @@ FROM s JOIN l USING (query_id) JOIN (SELECT query_id, filename FROM r WHERE rank
 def answer_payload(spark: SparkSession, d: str) -> DataFrame:
     rows = answers.payload(hits(spark, d).withColumns({"document_id": F.col("law_iri"), "source": F.col("law_iri")}))
     return rows.select("query_id", "answer", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("document_ids", "chunk_ids", "citations")])
-
-
-# Understanding and plans ---------------------------------------------------
-
-#: Czech requests of every kind.
-ASKED = (
-    "§ 52 zákoník práce",
-    "výpověď z pracovního poměru podle zákona č. 262/2006 Sb.",
-    "jaká je výpovědní doba zaměstnance",
-    "kupní smlouva občanský zákoník",
-    "trestný čin podvod trestní odpovědnost",
-    "daň z příjmů fyzických osob",
-    "správní řízení úřad",
-    "ústava České republiky základní práva",
-    "společnost s ručením omezeným jednatel",
-    "§ 89 a § 90a zákona 89 / 2012 Sb.",
-    "počasí zítra v Brně",
-    "náhrada škody nájem bytu dědictví",
-    "podmíněný trest zkušební doba",
-    "",
-)
-
-
-def asked(spark: SparkSession) -> DataFrame:
-    rows = ", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED))
-    return spark.sql(f"SELECT CAST(query_id AS BIGINT) query_id, query FROM VALUES {rows} t(query_id, query)")
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in rows)
-
-
-UNDERSTOOD = rf"""
-q(query_id, query) AS (VALUES {_values(enumerate(ASKED))}),
-f AS (SELECT *, {SQUEEZED.format("strip_accents(lower(query))")} AS folded FROM q),
-al(alias, iri, i) AS (VALUES {_values((name, f"local:sb/{y}/{n}", i) for i, (name, n, y) in enumerate(LAW_ALIASES))}),
-cited AS (SELECT query_id, unnest(range(1, len(regexp_extract_all(query, '([0-9]{{1,4}})\s*/\s*([0-9]{{4}})')) + 1)) AS i, regexp_extract_all(query, '([0-9]{{1,4}})\s*/\s*([0-9]{{4}})', 1) AS n, regexp_extract_all(query, '([0-9]{{1,4}})\s*/\s*([0-9]{{4}})', 2) AS y FROM f),
-refs AS (SELECT query_id, 'local:sb/' || y[i] || '/' || n[i] AS iri, i FROM cited UNION ALL SELECT query_id, iri, 100 + al.i FROM f JOIN al ON contains(folded, alias)),
-laws AS (SELECT query_id, iri, min(i) AS i FROM refs GROUP BY 1, 2),
-law_list AS (SELECT query_id, list(iri ORDER BY i) AS laws FROM laws GROUP BY 1),
-clean AS (SELECT query_id, {SQUEEZED.format(r"regexp_replace(regexp_replace(query, '(?i)(?:z[aá]kon(?:a|u|em|ě)?(?:\s+č\.?)?\s+)?([0-9]{1,4})\s*/\s*([0-9]{4})(?:\s+Sb\.?)?', ' ', 'g'), '§+\s*[0-9]+[a-zA-Z]?', ' ', 'g')")} AS c FROM f),
-cl AS (SELECT query_id, CASE WHEN c <> '' THEN c ELSE {SQUEEZED.format("query")} END AS clean FROM clean JOIN f USING (query_id)),
-kw AS (SELECT query_id, clean, {KEYWORDS.format(FOLDED_TOKENS.format("clean"))} AS ks FROM cl),
-kx AS (SELECT query_id, k, min(i) AS i FROM (SELECT query_id, unnest(ks) AS k, unnest(range(len(ks))) AS i FROM kw) GROUP BY 1, 2),
-dm(domain, di) AS (VALUES {_values((x, i) for i, x in enumerate(DOMAINS))}),
-ph(domain, phrase, w) AS (VALUES {_values((x, p, w) for x in DOMAINS for p, w in PHRASES[x].items())}),
-sm(domain, stem, w, si) AS (VALUES {_values((x, s, w, i) for x in DOMAINS for i, (s, w) in enumerate(STEMS[x].items()))}),
-ld(iri, domain) AS (VALUES {_values(LAW_DOMAINS.items())}),
-points AS (SELECT query_id, domain, w FROM f JOIN ph ON contains(folded, phrase)
-  UNION ALL SELECT query_id, domain, arg_min(w, si) FROM kx JOIN sm ON starts_with(k, stem) OR starts_with(stem, k) GROUP BY query_id, domain, k
-  UNION ALL SELECT query_id, domain, 5.0 FROM laws JOIN ld USING (iri)),
-sums AS (SELECT q.query_id, dm.domain, di, COALESCE(sum(w), 0)::DOUBLE AS s FROM q CROSS JOIN dm LEFT JOIN points p ON p.query_id = q.query_id AND p.domain = dm.domain GROUP BY 1, 2, 3),
-best AS (SELECT query_id, list(domain ORDER BY s DESC, di)[1] AS d1, list(s ORDER BY s DESC, di) AS ss FROM sums GROUP BY 1),
-ex(trigger, words, xi) AS (VALUES {_values((t, w, i) for i, (t, w) in enumerate(EXPANSIONS))}),
-exp AS (SELECT query_id, arg_min(words, -length(trigger) * 1000 + xi) AS words FROM f JOIN ex ON contains(folded, trigger) GROUP BY 1),
-u AS (SELECT f.query_id, f.query, COALESCE(laws, []::VARCHAR[]) AS laws, list_distinct(regexp_extract_all(query, '§+\s*([0-9]+[a-zA-Z]?)', 1)) AS paragraphs, clean,
-  CASE WHEN ss[1] >= 2.5 THEN d1 ELSE 'unknown' END AS domain, CASE WHEN ss[1] >= 2.5 THEN ss[1] / greatest(ss[1] + ss[2], 1.0) ELSE 0 END AS conf, clean || ' ' || words AS expanded,
-  (SELECT string_agg(k, ',' ORDER BY i) FROM kx WHERE kx.query_id = f.query_id) AS keywords
-  FROM f LEFT JOIN law_list USING (query_id) JOIN cl USING (query_id) JOIN best USING (query_id) LEFT JOIN exp USING (query_id)),
-m AS (SELECT *, CASE WHEN len(laws) > 0 AND len(paragraphs) > 0 THEN 'exact_lookup' WHEN len(laws) > 0 THEN 'law_constrained_search' WHEN domain <> 'unknown' THEN 'domain_search' ELSE 'broad_search' END AS mode FROM u)"""
-
-
-@query(f"WITH {UNDERSTOOD} SELECT query_id, domain, round(conf, 6) AS domain_confidence, COALESCE(keywords, '') AS keywords FROM m")
-def domain_scores(spark: SparkSession, d: str) -> DataFrame:
-    return understanding.understand(asked(spark)).select("query_id", "domain", F.round("domain_confidence", 6).alias("domain_confidence"), F.array_join("keywords", ",").alias("keywords"))
-
-
-@query(f"WITH {UNDERSTOOD} SELECT query_id, array_to_string(laws, ',') AS laws, mode FROM m")
-def query_mode(spark: SparkSession, d: str) -> DataFrame:
-    return understanding.understand(asked(spark)).select("query_id", F.array_join("laws", ",").alias("laws"), "mode")
-
-
-@query(f"WITH {UNDERSTOOD} SELECT query_id, clean, expanded FROM m")
-def query_expansion(spark: SparkSession, d: str) -> DataFrame:
-    return understanding.understand(asked(spark)).select("query_id", "clean", "expanded")
-
-
-PREFER = "CASE domain " + " ".join(f"WHEN '{x}' THEN '{','.join(laws)}'" for x, laws in planning.PREFERRED.items()) + " ELSE '' END"
-
-
-@query(f"""WITH {UNDERSTOOD},
-pv(plan, {", ".join(planning.FIELDS)}) AS (VALUES {_values((k, *v) for k, v in planning.PLANS.items())}),
-n AS (SELECT *, CASE WHEN mode = 'exact_lookup' THEN 'exact' WHEN mode = 'law_constrained_search' AND len(paragraphs) = 0 THEN 'topic' WHEN mode = 'law_constrained_search' THEN 'law'
-        WHEN mode = 'domain_search' AND conf >= 0.9 THEN 'domain_sure' WHEN mode = 'domain_search' THEN 'domain' ELSE 'broad' END AS plan, CASE WHEN len(laws) > 0 THEN array_to_string(laws, ',') ELSE {PREFER} END AS preferred_laws FROM m)
-SELECT query_id, plan, CASE WHEN plan IN ('exact', 'topic', 'law') THEN array_to_string(laws, ',') WHEN plan = 'domain_sure' THEN preferred_laws ELSE '' END AS law_filter, preferred_laws,
-       least(100, greatest(50, baseline, 50))::INT AS candidate_k, law_boost::DOUBLE AS law_boost, overlap_weight::DOUBLE AS overlap_weight, mismatch::DOUBLE AS mismatch, plan_mode, "window"::INT AS "window" FROM n JOIN pv USING (plan)""".replace(", window)", ', "window")'))
-def plan_columns(spark: SparkSession, d: str) -> DataFrame:
-    p = planning.build(understanding.understand(asked(spark)))
-    return p.select("query_id", "plan", F.array_join("law_filter", ",").alias("law_filter"), F.array_join("preferred_laws", ",").alias("preferred_laws"), "candidate_k", "law_boost", "overlap_weight", "mismatch", "plan_mode", "window")
-
-

@@ -149,9 +149,13 @@ def structural_penalty(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", "pos", F.round(T.structural_penalty(F.col("line")), 6).alias("penalty"), F.round(T.cross_encoder_penalty(F.col("line")), 6).alias("cross_penalty"))
 
 
+def heading_boost_sql(where: str, words: str) -> str:
+    """Over a column v, the trimmed line; words is a list."""
+    return f"(CASE WHEN {where} AND v <> '' AND NOT {SECTION} AND NOT {INDEX} AND {heading_sql(T.VERBS)} AND list_has_any(string_split({SQUEEZED.format('strip_accents(lower(v))')}, ' '), {words}) THEN 0.18::DOUBLE ELSE 0::DOUBLE END)"
+
+
 @query(f"""WITH l AS (SELECT doc_id, pos, trim(line) AS v FROM ({LINES}))
-SELECT doc_id, pos, CASE WHEN v <> '' AND NOT {SECTION} AND NOT {INDEX} AND {heading_sql(T.VERBS)}
-  AND list_has_any(string_split({SQUEEZED.format('strip_accents(lower(v))')}, ' '), ['the', 'der', 'de', 'la']) THEN 0.18::DOUBLE ELSE 0::DOUBLE END AS boost FROM l""")
+SELECT doc_id, pos, {heading_boost_sql("true", "['the', 'der', 'de', 'la']")} AS boost FROM l""")
 def heading_boost(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     asked = F.array(*[F.lit(w) for w in ("the", "der", "de", "la")])

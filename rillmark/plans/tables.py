@@ -34,10 +34,12 @@ def hits(spark: SparkSession, sf_dir: str, k: int = HITS) -> DataFrame:
     return found.join(c, "chunk_id").join(queries(spark, sf_dir).drop("text"), "query_id")
 
 
-def dense_hits(spark: SparkSession, sf_dir: str, k: int = HITS) -> DataFrame:
-    """Nearest documents of all benchmark items by hash embedding."""
+def dense_hits(spark: SparkSession, sf_dir: str, k: int = HITS, asked: DataFrame | None = None) -> DataFrame:
+    """Nearest documents of ``asked`` (query_id, text), or of all benchmark items, by hash
+    embedding."""
     docs = dense.dense_vectors(corpus(spark, sf_dir), DIM)
-    asked = dense.dense_vectors(queries(spark, sf_dir).withColumnRenamed("query_id", "chunk_id"), DIM).withColumnRenamed("chunk_id", "query_id")
+    texts = queries(spark, sf_dir) if asked is None else asked
+    asked = dense.dense_vectors(texts.withColumnRenamed("query_id", "chunk_id"), DIM).withColumnRenamed("chunk_id", "query_id")
     return dense.nearest(docs, asked, k)
 
 
@@ -88,8 +90,8 @@ def embedding(rows: str, name: str) -> str:
 {name}_parts AS (SELECT chunk_id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY chunk_id)) AS value FROM {name}_b WHERE v <> 0)"""
 
 
-def dense_sql(k: int = HITS) -> str:
+def dense_sql(k: int = HITS, queries_sql: str = "SELECT item_id AS chunk_id, text FROM benchmark") -> str:
     """CTEs up to dhits: query_id, chunk_id, score, rank."""
-    return f"""{embedding("SELECT doc_id AS chunk_id, text FROM documents", "e")},{embedding("SELECT item_id AS chunk_id, text FROM benchmark", "f")},
+    return f"""{embedding("SELECT doc_id AS chunk_id, text FROM documents", "e")},{embedding(queries_sql, "f")},
 dots AS (SELECT f_parts.chunk_id AS query_id, e_parts.chunk_id, round(sum(e_parts.value * f_parts.value), 6) AS score FROM e_parts JOIN f_parts USING (bucket) GROUP BY 1, 2),
 dhits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dots QUALIFY rank <= {k})"""
