@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,9 +43,19 @@ def normalize(c: Column) -> Column:
     return collapse(fold(c))
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode's compatibility form.  No built-in function makes it, so this is an Arrow UDF:
+    for requests, not for a corpus."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c)
+
+
 def query_normalize(c: Column) -> Column:
-    """Lower case with single spaces, diacritics kept (the query side)."""
-    return collapse(F.lower(c))
+    """Compatibility form in lower case with single spaces, diacritics kept (the query side)."""
+    return collapse(F.lower(nfkc(c)))
 
 
 def tokens(c: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillmark.functions import hashing
 from rillmark.functions import vectors as V
@@ -49,6 +52,18 @@ def semantic_lookup(requests: DataFrame, entries: DataFrame, threshold: float =
     return best.select("query_id", F.col("b.entry_key").alias("entry_key"), (-F.col("b.minus")).alias("similarity"))
 
 
+def put(entries: DataFrame, new: DataFrame, now: Column, seconds: int) -> DataFrame:
+    """The table after ``new`` (cache_key, response_payload, and what else ``entries`` has)
+    is set: its entries take the place of those with their keys, and live for ``seconds``."""
+    return upserted(entries, new.withColumns({"created_at": now, "expires_at": expires_at(now, seconds)}), "cache_key")
+
+
+def without(entries: DataFrame, pattern: str) -> DataFrame:
+    """The table without the entries whose key fits a pattern of ``*`` and ``?``."""
+    fits = "(?s)^" + "".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in pattern) + "$"
+    return entries.filter(~F.coalesce(F.col("cache_key").rlike(fits), F.lit(False)))
+
+
 def may_store() -> Column:
     """What the semantic cache keeps: answers without a model, not strategies, with domain."""
     return ~F.col("use_llm") & (F.col("query_type") != "strategy") & (F.col("response_type") != "strategy_answer") & F.col("request_domain").isNotNull()
@@ -92,6 +107,18 @@ def write_version(spark: SparkSession, rows: DataFrame, folder: str, base: str,
     return name
 
 
+def ensure(spark: SparkSession, folder: str, base: str, schema: T.StructType) -> str:
+    """The latest version of a collection; the first one, empty, is made where there is none.
+    A version with other columns is an error."""
+    held = latest_versions(collections(spark, folder)).filter(F.col("base") == base).first()
+    if held is None:
+        return write_version(spark, spark.createDataFrame([], schema), folder, base, schema.names[0])
+    have = {(f.name, f.dataType) for f in spark.read.parquet(f"{folder}/{held.latest}").schema}
+    if have != {(f.name, f.dataType) for f in schema}:
+        raise ValueError(f"{held.latest} has other columns than those asked for")
+    return held.latest
+
+
 def collections(spark: SparkSession, folder: str) -> DataFrame:
     """The collections in a folder, listed by the file system that holds it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -105,10 +132,15 @@ def switch(spark: SparkSession, folder: str, alias: str, name: str) -> None:
     spark.read.parquet(f"{folder}/{name}").createOrReplaceTempView(alias)
 
 
-def reindex(spark: SparkSession, rows: DataFrame, folder: str, base: str) -> str:
-    """Write all rows as the next version, then switch the alias to it."""
+def reindex(spark: SparkSession, rows: DataFrame, folder: str, base: str, keep: bool = True) -> str:
+    """Write all rows as the next version, then switch the alias to it.  Without ``keep`` the
+    version before goes, once nothing points at it."""
+    before = latest_versions(collections(spark, folder)).filter(F.col("base") == base).first()
     name = write_version(spark, rows, folder, base)
     switch(spark, folder, base, name)
+    if before is not None and not keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before.latest}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return name
 
 

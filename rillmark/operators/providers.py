@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -49,17 +51,26 @@ def embedded(corpus: DataFrame, make: Callable[[], Embedder]) -> DataFrame:
     return corpus.withColumn("embedding", F.pandas_udf(run, "array<double>")("text"))
 
 
-def scored(pairs: DataFrame, make: Callable[[], Scorer], most: int = 768) -> DataFrame:
+#: Fixed value: seconds a model has for the texts of one query.
+PATIENCE = 1.2
+
+
+def scored(pairs: DataFrame, make: Callable[[], Scorer], most: int = 768, seconds: float | None = PATIENCE) -> DataFrame:
     """``pairs`` (query, text) with model_score of the texts' first characters.  A batch
-    that fails has null scores, which leave an order as it was (fail-open)."""
+    that fails, or takes more than ``seconds`` for each query in it, has null scores, which
+    leave an order as it was (fail-open).  The model's start does not count."""
     packaging.send(pairs.sparkSession)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for queries, texts in batches:
+            found = [None] * len(texts)
+            pool = ThreadPoolExecutor(1)
             try:
-                found = _once(make).score(queries.tolist(), texts.fillna("").str.slice(0, most).tolist())
-            except Exception:
-                found = [None] * len(texts)
+                asked = pool.submit(_once(make).score, queries.tolist(), texts.fillna("").str.slice(0, most).tolist())
+                found = asked.result(None if seconds is None else seconds * queries.nunique(dropna=False))
+            except Exception:  # the model failed or is late
+                pass
+            pool.shutdown(wait=False)
             yield pd.Series(found, dtype="float64")
 
     return pairs.withColumn("model_score", F.pandas_udf(run, "double")("query", "text"))
@@ -70,6 +81,16 @@ def fingerprint(provider: Column, model: Column, dimension: Column, revision: Co
     return hashing.fingerprint12(F.concat_ws(":", provider, model, dimension.cast("string"), revision))
 
 
+class Model(Protocol):
+    """A language model, asked from the driver for one answer at a time."""
+
+    name: str
+
+    def invoke_structured(self, system: str, user: dict, fields: Sequence[str]) -> dict: ...
+
+    def invoke_text(self, system: str, user: dict) -> str: ...
+
+
 class EchoModel:
     """A stand-in language model: returns the payload it was given."""
 
@@ -78,6 +99,13 @@ class EchoModel:
     def invoke(self, system: str, user: dict) -> dict:
         return {**user, "model": self.name, "instructed": bool(system)}
 
+    def invoke_structured(self, system: str, user: dict, fields: Sequence[str]) -> dict:
+        said = self.invoke(system, user)
+        return {f: said.get(f) for f in fields}
+
+    def invoke_text(self, system: str, user: dict) -> str:
+        return json.dumps(self.invoke(system, user), ensure_ascii=False, sort_keys=True)
+
 
 @dataclass(frozen=True)
 class Jurisdiction:
@@ -94,11 +122,12 @@ class Jurisdiction:
 JURISDICTIONS = (Jurisdiction("czechia", "Czech Republic"), Jurisdiction("russia", "Russian Federation"))
 
 
-def checked(requests: DataFrame, least: int = 1, most: int = 25) -> DataFrame:
-    """Requests with a top_k in its range (5 where missing); the run fails on others."""
-    k = F.coalesce("top_k", F.lit(5)) if "top_k" in requests.columns else F.lit(5)
-    wrong = ~k.between(least, most)
-    return requests.withColumn("top_k", F.when(wrong, F.raise_error(F.lit(f"top_k must be from {least} to {most}")).cast("int")).otherwise(k))
+def checked(requests: DataFrame, least: float = 1, most: float = 25, name: str = "top_k", missing: float = 5) -> DataFrame:
+    """Requests with ``name`` in its range (``missing`` where there is none); the run fails
+    on others.  Strategies take a top_k of 2 to 20, a confidence is 0 to 1."""
+    value = F.coalesce(name, F.lit(missing)) if name in requests.columns else F.lit(missing)
+    wrong = ~value.between(least, most)
+    return requests.withColumn(name, F.when(wrong, F.raise_error(F.lit(f"{name} must be from {least} to {most}")).cast("double" if isinstance(missing, float) else "int")).otherwise(value))
 
 
 def log_events(rows: DataFrame, bucket: str, event: Column) -> DataFrame:

@@ -197,7 +197,8 @@ def best_per_chunk(items: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(per_query().orderBy(F.desc("score"), "chunk_index", "chunk_id")))
 
 
-def score_filter(items: DataFrame, least: float = 0.9) -> DataFrame:
-    """Rows of that score or with a system tag."""
+def score_filter(items: DataFrame, least: float = 0.9, above: bool = False) -> DataFrame:
+    """Rows of that score (``above``: of a greater one) or with a system tag."""
+    enough = F.col("score") > least if above else F.col("score") >= least
     tagged = F.coalesce(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in SYSTEM_TAGS])), F.lit(False))
-    return items.filter((F.col("score") >= least) | tagged)
+    return items.filter(enough | tagged)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillmark.functions import text as T
 from rillmark.operators import answers, dense, fusion, ingest, lexical, planning, ranking, understanding
 from rillmark.operators.understanding import DOMAINS, EXPANSIONS, LAW_ALIASES, LAW_DOMAINS, PHRASES, STEMS
 from rillmark.sources.work import stored
@@ -344,7 +345,11 @@ def keyword_boost(spark: SparkSession, d: str) -> DataFrame:
     return ranking.keyword_boost(hits(spark, d), F.col("query")).select("query_id", "chunk_id", "score", "rank")
 
 
-@query()
+@query(f"""WITH {bm25()},
+t AS (SELECT h.*, trim(d.text) AS v, list_distinct({FOLDED_TOKENS.format("b.text")}) AS asked, {FOLDED_TOKENS.format("substr(d.text, 1, 768)")} AS said, count(*) OVER (PARTITION BY query_id) AS n
+      FROM hits h JOIN d USING (chunk_id) JOIN benchmark b ON b.item_id = h.query_id),
+s AS (SELECT *, CASE WHEN rank <= 10 AND n > 1 THEN {penalty_sql(T.VERBS_CROSS, "0.40", "0.90", False)} - CASE WHEN len(asked) > 0 THEN len(list_intersect(asked, said)) / len(asked)::DOUBLE ELSE 0 END END AS adjusted FROM t)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank <= 10 DESC, adjusted ASC NULLS FIRST, rank)::INT AS rank FROM s""")
 def crossencoder_partial(spark: SparkSession, d: str) -> DataFrame:
     return ranking.cross_encoder_order(hits(spark, d), ranking.lexical_stand_in(F.col("query"), F.col("text"))).select("query_id", "chunk_id", "score", "rank")
 
@@ -380,6 +385,12 @@ def score_filter_system_tags(spark: SparkSession, d: str) -> DataFrame:
     return ranking.score_filter(hits(spark, d).withColumn("tags", tags), 30.0).select("query_id", "chunk_id", "score")
 
 
+@query(f"""WITH {bm25()} SELECT query_id, chunk_id, round(score - 30, 6) AS score FROM hits WHERE round(score - 30, 6) > 0 OR rank % 7 = 0""")
+def score_filter_positive(spark: SparkSession, d: str) -> DataFrame:
+    tags = F.when(F.col("rank") % 7 == 0, F.array(F.lit("clarification")))
+    return ranking.score_filter(hits(spark, d).withColumns({"score": F.round(F.col("score") - 30, 6), "tags": tags}), 0.0, above=True).select("query_id", "chunk_id", "score")
+
+
 @query(f"""WITH {bm25()}, r AS (SELECT h.*, d.text, d.law_iri, d.filename FROM hits h JOIN d USING (chunk_id)),
 s AS (SELECT query_id, {SQUEEZED.format("arg_min(text, rank)")} AS p, string_agg(chunk_id::VARCHAR, ',' ORDER BY rank) AS chunk_ids FROM r GROUP BY 1),
 o AS (SELECT query_id, law_iri, min(rank) AS rank FROM r GROUP BY 1, 2), l AS (SELECT query_id, string_agg(law_iri, ',' ORDER BY rank) AS document_ids FROM o GROUP BY 1)

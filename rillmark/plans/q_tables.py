@@ -147,6 +147,31 @@ def cache_ttl_filter(spark: SparkSession, d: str) -> DataFrame:
     return cache.live(e.join(F.broadcast(now)), F.col("now")).select("event_id")
 
 
+ENTRIES = "SELECT 'user:' || user_id || ':' || event_type AS cache_key, arg_max(event_id, (ts, event_id))::VARCHAR AS response_payload, max(ts) AS created_at, max(ts) + INTERVAL 7200 SECOND AS expires_at FROM events GROUP BY 1"
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of each user and type as cache entries."""
+    key = F.concat(F.lit("user:"), F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("cache_key")
+    rows = read(spark, d, "events").groupBy(key).agg(F.max_by("event_id", F.struct("ts", "event_id")).cast("string").alias("response_payload"), F.max("ts").alias("created_at"))
+    return rows.withColumn("expires_at", cache.expires_at(F.col("created_at"), cache.SEMANTIC_TTL))
+
+
+@query(f"""WITH e AS (SELECT *, response_payload::BIGINT % 3 = 0 AS again FROM ({ENTRIES}))
+SELECT cache_key, CASE WHEN again THEN 'new' ELSE response_payload END AS response_payload, CASE WHEN again THEN 3600 ELSE 7200 END::BIGINT AS seconds FROM e UNION ALL SELECT 'user:none', 'new', 3600""")
+def cache_set(spark: SparkSession, d: str) -> DataFrame:
+    held = _entries(spark, d)
+    now = F.lit("2030-01-01 00:00:00").cast(dict(held.dtypes)["created_at"])
+    keys = held.filter(F.col("response_payload").cast("long") % 3 == 0).select("cache_key").unionAll(spark.sql("SELECT 'user:none'"))
+    entries = cache.put(held, keys.withColumn("response_payload", F.lit("new")), now, cache.EXACT_TTL)
+    return entries.select("cache_key", "response_payload", F.timestamp_diff("SECOND", "created_at", "expires_at").alias("seconds"))
+
+
+@query(f"WITH e AS ({ENTRIES}) SELECT cache_key, response_payload FROM e WHERE NOT regexp_matches(cache_key, '^user:1.*:c.ick$')")
+def cache_pattern_delete(spark: SparkSession, d: str) -> DataFrame:
+    return cache.without(_entries(spark, d), "user:1*:c?ick").select("cache_key", "response_payload")
+
+
 NAMES = "VALUES ('laws__v1'), ('laws__v2'), ('laws__v10'), ('laws'), ('courts__v3'), ('other')"
 
 

@@ -360,6 +360,31 @@ def test_versions(spark, tmp_path):
     assert [r[0] for r in profile.select(cache.usable(profile)).collect()] == [True, False, True]
 
 
+def test_collections_are_made_checked_and_replaced(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "chunk_id int, t string")
+    assert cache.ensure(spark, str(tmp_path), "laws", rows.schema) == "laws__v1"
+    assert spark.read.parquet(f"{tmp_path}/laws__v1").count() == 0
+    assert cache.reindex(spark, rows, str(tmp_path), "laws", keep=False) == "laws__v2"
+    assert [r.collection for r in cache.collections(spark, str(tmp_path)).collect()] == ["laws__v2"]
+    assert cache.ensure(spark, str(tmp_path), "laws", rows.schema) == "laws__v2"
+    with pytest.raises(ValueError, match="other columns"):
+        cache.ensure(spark, str(tmp_path), "laws", rows.drop("t").schema)
+
+
+def test_cache_patterns(spark):
+    e = spark.createDataFrame([(k,) for k in ("a:1", "a:12", "b:1", "a.1", None)], "cache_key string")
+    left = lambda p: sorted(r.cache_key or "" for r in cache.without(e, p).collect())
+    assert left("a:*") == ["", "a.1", "b:1"]
+    assert left("?:1") == ["", "a.1", "a:12"]
+    assert left("a.1") == ["", "a:1", "a:12", "b:1"]
+    assert left("*") == [""]
+
+
+def test_requests_are_in_compatibility_form(spark):
+    df = spark.createDataFrame([("\ufb01ne  \u2460 Cafe\u0301 \uff21",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(T.query_normalize(F.col("t"))).collect()] == ["fine 1 caf\u00e9 a", None, ""]
+
+
 def test_stream_resumes(spark, tmp_path):
     src, out, state = (str(tmp_path / x) for x in ("src", "out", "state"))
     schema = spark.createDataFrame([(1, "a", "t")], "id long, g string, text string")
