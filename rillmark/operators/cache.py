@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillmark.functions import hashing
-from rillmark.functions import vectors as V
+
+from . import dense
 
 #: Lifetimes in seconds, least similarity, matches looked at.
 EXACT_TTL, SEMANTIC_TTL, SIMILAR, MATCHES = 3600, 7200, 0.93, 3
@@ -38,18 +39,19 @@ def exact_lookup(requests: DataFrame, entries: DataFrame, now: Column) -> DataFr
 
 
 def semantic_lookup(requests: DataFrame, entries: DataFrame, threshold: float = SIMILAR, tags: tuple[str, ...] = TAGS, now: Column | None = None, but: str | None = None) -> DataFrame:
-    """The most similar live entry that shares all tags with the request, if similar
-    enough: an equi-join on the tags (null-safe), the cosine, and a map-side maximum.  ``but``
-    is a request column that names an entry not to be found."""
+    """The most similar live entry that shares all tags with the request (null-safe), if
+    similar enough; of equals the least key.  Requests go in blocks through the entries, and
+    a batch of entries passes on one row a request, so no pairs are made within a tag.
+    ``but`` is a request column that names an entry not to be found.  Entries without a key
+    and those whose vectors have another length than the request's are not found."""
     entries = entries if now is None else live(entries, now)
     shared = [t for t in tags if t in requests.columns and t in entries.columns]
-    e = entries.select(F.col("cache_key").alias("entry_key"), F.col("embedding").alias("_e"), *[F.col(t).alias(f"_{t}") for t in shared])
-    pairs = requests.join(e, [F.col(t).eqNullSafe(F.col(f"_{t}")) for t in shared])
-    if but:
-        pairs = pairs.filter(~F.col(but).eqNullSafe(F.col("entry_key")))
-    similar = pairs.withColumn("similarity", F.round(F.greatest(F.lit(0.0), V.cosine(F.col("embedding"), F.col("_e"))), 6)).filter(F.col("similarity") >= threshold)
-    best = similar.groupBy("query_id").agg(F.min(F.struct((-F.col("similarity")).alias("minus"), "entry_key")).alias("b"))
-    return best.select("query_id", F.col("b.entry_key").alias("entry_key"), (-F.col("b.minus")).alias("similarity"))
+    kinds = {t: "string" if dict(requests.dtypes)[t] != dict(entries.dtypes)[t] else dict(entries.dtypes)[t] for t in shared}
+    tagged = F.to_json(F.struct(F.coalesce(F.size("embedding"), F.lit(-1)).alias("_size"), *[F.col(t).cast(kinds[t]).alias(t) for t in shared])).alias("tagged")
+    e = entries.filter("cache_key IS NOT NULL").select(F.col("cache_key").alias("chunk_id"), "embedding", tagged)
+    q = requests.select(F.col("query_id").cast("long").alias("query_id"), "embedding", tagged, *([F.col(but).alias("but")] if but else []))
+    best = dense.nearest(e, q, 1, "tagged", but="but" if but else None, least=0.0)
+    return best.filter(F.col("score") >= threshold).select("query_id", F.col("chunk_id").alias("entry_key"), F.col("score").alias("similarity"))
 
 
 def put(entries: DataFrame, new: DataFrame, now: Column, seconds: int) -> DataFrame:

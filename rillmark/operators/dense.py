@@ -59,56 +59,68 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array([v + [0.0] * (wide - len(v)) for v in rows], dtype=np.float64)
 
 
-def _nearest(queries, k: int, grouped: bool):
+def _widened(rows: np.ndarray, wide: int) -> np.ndarray:
+    return np.pad(rows, ((0, 0), (0, max(wide - rows.shape[1], 0))))
+
+
+def _nearest(queries, k: int, grouped: bool, least: float):
     """The k best of each query within one batch of rows; all that is passed on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, groups = queries.value
+        ids, matrix, groups, but = queries.value
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             chunk = batch.column(0).to_numpy(zero_copy_only=False)
             rows = _matrix(batch.column(1))
             size = np.linalg.norm(rows, axis=1)
-            score = matrix @ (rows / np.where(size > 0, size, 1)[:, None]).T
+            wide = max(matrix.shape[1], rows.shape[1])
+            score = np.maximum(_widened(matrix, wide) @ _widened(rows / np.where(size > 0, size, 1)[:, None], wide).T, least)
             if grouped:
                 of = batch.column(2).to_numpy(zero_copy_only=False)
                 for wanted, at in groups.items():
                     score[np.ix_(at, ~np.isin(of, wanted))] = -np.inf
+            if but is not None:
+                score[(but[:, None] == chunk).astype(bool)] = -np.inf
             n = min(k, score.shape[1])
             # ties at the cut are settled by the smaller id, as in the final order
-            order = np.lexsort((np.broadcast_to(chunk, score.shape), -np.round(score, 6)), axis=1)[:, :n]
+            place = np.unique(chunk, return_inverse=True)[1]
+            order = np.lexsort((np.broadcast_to(place, score.shape), -np.round(score, 6)), axis=1)[:, :n]
             best = np.take_along_axis(score, order, axis=1)
             keep = best > -np.inf
-            yield pa.record_batch([pa.array(np.repeat(ids, n)[keep.ravel()]), pa.array(chunk[order][keep]), pa.array(np.round(best, 6)[keep])], names=["query_id", "chunk_id", "score"])
+            yield pa.record_batch([pa.array(np.repeat(ids, n)[keep.ravel()]), batch.column(0).take(pa.array(order[keep])), pa.array(np.round(best, 6)[keep])], names=["query_id", "chunk_id", "score"])
 
     return run
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int | str, group: str | None = None, within: tuple[str, str] | None = None) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int | str, group: str | None = None, within: tuple[str, str] | None = None, but: str | None = None, least: float = -1.0) -> DataFrame:
     """query_id, chunk_id, score, rank: the exact cosine top k of ``corpus`` (chunk_id,
     embedding) for ``queries`` (query_id, embedding), by blocks of BLOCK queries.
 
     Each batch of rows passes on at most k rows a query, so what is shuffled does not grow
     with all pairs.  ``k`` is a number or a column of the queries.  With ``group``, only rows
     of the query's group count; ``within`` names an array column of the queries and a column
-    of the corpus, which must have one of its values (any, if it has none)."""
+    of the corpus, which must have one of its values (any, if it has none).  ``but`` is a
+    query column with a chunk_id not to be found; scores below ``least`` count as that.
+    query_id is a whole number, chunk_id one or a string; shorter vectors end in zeros."""
     spark = corpus.sparkSession
     packaging.send(spark)
     column = group or (within[1] if within else None)
     out = None
     cut = [k] if isinstance(k, str) else []
-    numbered = queries.select("query_id", "embedding", *cut, *([F.array(group).alias("_within")] if group else [F.col(within[0]).alias("_within")] if within else [])).orderBy("query_id")
+    kind = "string" if dict(corpus.dtypes)["chunk_id"] == "string" else "long"
+    skipped = [F.col(but).cast(kind).alias("_but")] if but else []
+    numbered = queries.select("query_id", "embedding", *cut, *skipped, *([F.array(group).alias("_within")] if group else [F.col(within[0]).alias("_within")] if within else [])).orderBy("query_id")
     held: list = []
 
     def search() -> DataFrame:
-        matrix = np.array([r.embedding for r in held], dtype=np.float64)
+        matrix = _matrix(pa.array([r.embedding for r in held], pa.list_(pa.float64())))
         size = np.linalg.norm(matrix, axis=1)
         groups: dict[tuple, list[int]] = {}
         for i, r in enumerate(held):
             if column and r["_within"]:
                 groups.setdefault(tuple(r["_within"]), []).append(i)
-        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in held]), matrix / np.where(size > 0, size, 1)[:, None], groups))
+        sent = spark.sparkContext.broadcast((np.array([r.query_id for r in held]), matrix / np.where(size > 0, size, 1)[:, None], groups, np.array([r["_but"] for r in held]) if but else None))
         most = max(r[k] for r in held) if cut else k
-        return corpus.select("chunk_id", "embedding", *([column] if column else [])).mapInArrow(_nearest(sent, most, bool(column)), "query_id long, chunk_id long, score double")
+        return corpus.select(F.col("chunk_id").cast(kind).alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"), *([column] if column else [])).mapInArrow(_nearest(sent, most, bool(column), least), f"query_id long, chunk_id {kind}, score double")
 
     for row in numbered.toLocalIterator():
         held.append(row)
@@ -124,7 +136,12 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int | str, group: str | No
     return top(out, k)
 
 
-def with_keyword(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Candidate pairs whose chunk holds the query's first keyword (query_id, chunk_id)."""
-    first = queries.select("query_id", F.get("keywords", F.lit(0)).alias("token")).filter("token IS NOT NULL")
-    return corpus.select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(first, "token").select("query_id", "chunk_id")
+def nearest_with_keyword(corpus: DataFrame, queries: DataFrame, k: int, dimension: int = DIMENSION) -> DataFrame:
+    """As ``nearest``, among the chunks that hold the query's first keyword.  ``corpus`` has
+    chunk_id and text, ``queries`` query_id, text and keywords; one without any finds nothing.
+    A chunk is there once for each keyword asked for that it holds, and compared in batches,
+    so a common keyword makes no table of pairs."""
+    first = queries.select("query_id", "text", F.get("keywords", F.lit(0)).alias("token")).filter("token IS NOT NULL")
+    held = corpus.select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(few(first.select("token").distinct()), "token", "left_semi")
+    asked = dense_vectors(first.select(F.col("query_id").alias("chunk_id"), "text"), dimension).withColumnRenamed("chunk_id", "query_id")
+    return nearest(held.join(dense_vectors(corpus, dimension), "chunk_id"), first.select("query_id", "token").join(asked, "query_id"), k, "token")

@@ -93,11 +93,7 @@ s AS (SELECT c.query_id, c.chunk_id, round(sum(e_parts.value * f_parts.value), 6
 SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM s QUALIFY rank <= 10""")
 def dense_keyword_filtered(spark: SparkSession, d: str) -> DataFrame:
     asked = queries(spark, d).withColumn("keywords", understanding.keywords(F.col("query")))
-    pairs = dense.with_keyword(corpus(spark, d), asked)
-    docs = dense.hash_embedding(corpus(spark, d), DIM)
-    of = dense.hash_embedding(asked.select(F.col("query_id").alias("chunk_id"), "text"), DIM).select(F.col("chunk_id").alias("query_id"), "bucket", F.col("value").alias("asked"))
-    scores = pairs.join(docs, "chunk_id").join(of, ["query_id", "bucket"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("value") * F.col("asked")), 6).alias("score"))
-    return lexical.top(scores, 10)
+    return dense.nearest_with_keyword(corpus(spark, d), asked, 10, DIM)
 
 
 # Fusion --------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.functions import hashing
+from rillmark.functions import vectors as V
 from rillmark.operators import answers, cache, ingest, ranking
 from rillmark.sources import work
 from rillmark.streaming import ingestion
@@ -140,6 +141,11 @@ def semantic_cache_knn(spark: SparkSession, d: str) -> DataFrame:
     return cache.semantic_lookup(asked, v.select(F.col("vec_id").alias("cache_key"), "embedding", "domain"), 0.3, but="query_id")
 
 
+@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), 6) AS similarity FROM embeddings")
+def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select("vec_id", F.round(V.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("similarity"))
+
+
 @query("SELECT event_id FROM events WHERE ts + INTERVAL 3600 SECOND > (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def cache_ttl_filter(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "events").withColumn("expires_at", cache.expires_at(F.col("ts"), cache.EXACT_TTL))

@@ -344,6 +344,31 @@ def test_semantic_cache_threshold(spark):
     assert cache.semantic_lookup(q, e, 0.99).count() == 0
 
 
+def test_semantic_cache_against_all_pairs(spark):
+    import itertools
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    vector = lambda: rng.choice([None, [], [0.0, 0.0], [1.0], *[[rng.choice([-1.0, 0.5, 1.0]), rng.choice([0.0, 1.0])] for _ in range(8)]])
+    entries = [(f"k{i % 50}" if i else None, vector(), rng.choice(["law", None, "x"]), rng.choice([1, None])) for i in range(70)]
+    asked = [(i, vector(), rng.choice(["law", None, "x"]), rng.choice([1, None]), rng.choice([None, f"k{i}"])) for i in range(40)]
+    e = spark.createDataFrame(entries, "cache_key string, embedding array<double>, domain string, prompt_version int").repartition(5)
+    q = spark.createDataFrame(asked, "query_id int, embedding array<double>, domain string, prompt_version int, own string")
+    best = {}
+    for (i, a, *tags, own), (key, b, *held) in itertools.product(asked, entries):
+        if key is None or key == own or tags != held or len(a or []) != len(b or []) or (a is None) != (b is None):
+            continue
+        size = np.linalg.norm(a or [0]) * np.linalg.norm(b or [0])
+        alike = round(max(0.0, float(np.dot(a, b) / size)), 6) if size else 0.0
+        if alike >= 0.5:
+            best[i] = min(best.get(i, (9, "")), (-alike, key))
+    found = cache.semantic_lookup(q, e, 0.5, but="own").collect()
+    assert len(best) > 5 and {r.query_id: (-r.similarity, r.entry_key) for r in found} == best
+    assert cache.semantic_lookup(q.limit(0), e).count() == 0 and cache.semantic_lookup(q, e.limit(0)).count() == 0
+
+
 def test_exact_cache_expires(spark):
     e = spark.sql("SELECT 'k' cache_key, 'old' response_payload, timestamp'2024-01-01 00:00:00' created_at UNION ALL SELECT 'k', 'new', timestamp'2024-01-01 00:30:00'").withColumn("expires_at", cache.expires_at(F.col("created_at"), cache.EXACT_TTL))
     q = spark.createDataFrame([(1, "k")], "query_id int, cache_key string")
