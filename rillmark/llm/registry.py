@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, fingerprint, html_text, jaccard_join, lm_score, mixing, substring_dedup, toxicity, url_rules
+from . import chat_format, chat_repair, decontaminate, divergence, fingerprint, html_text, jaccard_join, lm_score, mixing, quality, substring_dedup, toxicity, url_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+        "op11_quality_classifier": quality.op11_quality_classifier,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_conversation_repair": chat_repair.op13_conversation_repair,
     }
 
 
@@ -32,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_mixing": mixing.OP7_SQL,
         "op9_jaccard_join": jaccard_join.OP9_SQL,
         "op10_benchmark_decontamination": decontaminate.OP10_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
     }
