@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from rillmark.functions import hashing
 
-from . import dense
+from . import dense, lexical
 
 #: Lifetimes in seconds, least similarity, matches looked at.
 EXACT_TTL, SEMANTIC_TTL, SIMILAR, MATCHES = 3600, 7200, 0.93, 3
@@ -40,8 +40,8 @@ def exact_lookup(requests: DataFrame, entries: DataFrame, now: Column) -> DataFr
 
 def semantic_lookup(requests: DataFrame, entries: DataFrame, threshold: float = SIMILAR, tags: tuple[str, ...] = TAGS, now: Column | None = None, but: str | None = None) -> DataFrame:
     """The most similar live entry that shares all tags with the request (null-safe), if
-    similar enough; of equals the least key.  Requests go in blocks through the entries, and
-    a batch of entries passes on one row a request, so no pairs are made within a tag.
+    similar enough; of equals the least key.  Blocks of requests are compared with blocks of
+    entries of the same tags, and pass on one row a request.
     ``but`` is a request column that names an entry not to be found.  Entries without a key
     and those whose vectors have another length than the request's are not found."""
     entries = entries if now is None else live(entries, now)
@@ -50,7 +50,7 @@ def semantic_lookup(requests: DataFrame, entries: DataFrame, threshold: float =
     tagged = F.to_json(F.struct(F.coalesce(F.size("embedding"), F.lit(-1)).alias("_size"), *[F.col(t).cast(kinds[t]).alias(t) for t in shared])).alias("tagged")
     e = entries.filter("cache_key IS NOT NULL").select(F.col("cache_key").alias("chunk_id"), "embedding", tagged)
     q = requests.select(F.col("query_id").cast("long").alias("query_id"), "embedding", tagged, *([F.col(but).alias("but")] if but else []))
-    best = dense.nearest(e, q, 1, "tagged", but="but" if but else None, least=0.0)
+    best = lexical.top(dense.within_groups(e, q, 1, "tagged", but="but" if but else None, least=0.0), 1)
     return best.filter(F.col("score") >= threshold).select("query_id", F.col("chunk_id").alias("entry_key"), F.col("score").alias("similarity"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rillmark import packaging
 from rillmark.functions import hashing
 from rillmark.functions import text as T
+from rillmark.sources.work import stored
 
 from .lexical import top
 from .sides import few
@@ -63,6 +64,22 @@ def _widened(rows: np.ndarray, wide: int) -> np.ndarray:
     return np.pad(rows, ((0, 0), (0, max(wide - rows.shape[1], 0))))
 
 
+def best_of(score: np.ndarray, chunk: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the k best of each row that are not -inf; ties at the cut
+    are settled by the smaller id, as in the final order.  Only what reaches the k-th best
+    of its row is sorted."""
+    n = min(k, score.shape[1])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    cut = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+    row, column = np.nonzero((score >= cut[:, None]) & (score > -np.inf))
+    best = score[row, column]
+    order = np.lexsort((np.unique(chunk, return_inverse=True)[1][column], -best, row))
+    row, column, best = row[order], column[order], best[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[keep], column[keep], best[keep]
+
+
 def _nearest(queries, k: int, grouped: bool, least: float):
     """The k best of each query within one batch of rows; all that is passed on."""
 
@@ -80,13 +97,8 @@ def _nearest(queries, k: int, grouped: bool, least: float):
                     score[np.ix_(at, ~np.isin(of, wanted))] = -np.inf
             if but is not None:
                 score[(but[:, None] == chunk).astype(bool)] = -np.inf
-            n = min(k, score.shape[1])
-            # ties at the cut are settled by the smaller id, as in the final order
-            place = np.unique(chunk, return_inverse=True)[1]
-            order = np.lexsort((np.broadcast_to(place, score.shape), -np.round(score, 6)), axis=1)[:, :n]
-            best = np.take_along_axis(score, order, axis=1)
-            keep = best > -np.inf
-            yield pa.record_batch([pa.array(np.repeat(ids, n)[keep.ravel()]), batch.column(0).take(pa.array(order[keep])), pa.array(np.round(best, 6)[keep])], names=["query_id", "chunk_id", "score"])
+            of_query, at, best = best_of(np.round(score, 6), chunk, k)
+            yield pa.record_batch([pa.array(ids[of_query]), batch.column(0).take(pa.array(at)), pa.array(best)], names=["query_id", "chunk_id", "score"])
 
     return run
 
@@ -136,12 +148,67 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int | str, group: str | No
     return top(out, k)
 
 
+#: Rows, and queries, of one product of blocks.
+GROUP_ROWS, GROUP_QUERIES = 4_096, 1_024
+
+
+def _product(k: int, least: float, but: bool):
+    """The k best rows of each query in one pair of blocks of a group."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        rows, queries = rows.combine_chunks(), queries.combine_chunks()
+        found = [[], [], []]
+        chunk = rows.column("chunk_id")
+        if rows.num_rows and queries.num_rows:
+            a, b = (_matrix(t.column("embedding").combine_chunks()) for t in (queries, rows))
+            wide = max(a.shape[1], b.shape[1])
+            a, b = (_widened(m, wide) for m in (a, b))
+            a, b = (m / np.where((size := np.linalg.norm(m, axis=1)) > 0, size, 1)[:, None] for m in (a, b))
+            names = chunk.to_numpy(zero_copy_only=False) if isinstance(chunk, pa.Array) else chunk.to_numpy()
+            score = np.maximum(a @ b.T, least)
+            if but:
+                score[np.array(queries.column("but").to_pylist(), dtype=object)[:, None] == names] = -np.inf
+            found = best_of(np.round(score, 6), names, k)
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(found[0], pa.int64())), "chunk_id": chunk.take(pa.array(found[1], pa.int64())), "score": pa.array(found[2], pa.float64())})
+
+    return run
+
+
+def within_groups(corpus: DataFrame, queries: DataFrame, k: int, group: str, but: str | None = None, least: float = -1.0) -> DataFrame:
+    """query_id, chunk_id, score: for each query its k best rows (and perhaps more) among
+    those of its group, by exact cosine; cut them with ``lexical.top``.
+
+    ``corpus`` has chunk_id, embedding and the group, ``queries`` query_id, embedding, the
+    group and perhaps ``but``, a chunk_id not to be found.  A query may stand in several
+    groups.  Rows of a group are dealt to blocks of about GROUP_ROWS by a hash, its queries
+    to blocks of about GROUP_QUERIES, and each pair of blocks of one group is one product.
+    So the work is that of the pairs within groups, and a large group is many tasks' work.
+    Groups that are null find nothing; both tables are read twice, so store what is long to
+    make."""
+    packaging.send(corpus.sparkSession)
+    kind = "string" if dict(corpus.dtypes)["chunk_id"] == "string" else "long"
+    asked = queries.groupBy(group).agg((F.expr(f"count(*) div {GROUP_QUERIES}") + 1).cast("int").alias("_asked"))
+    sizes = corpus.select(group).join(few(asked), group).groupBy(group, "_asked").agg((F.expr(f"count(*) div {GROUP_ROWS}") + 1).cast("int").alias("_rows"))
+    sizes = stored(sizes, "group-sizes")
+
+    def blocks(own: str, other: str, name: str) -> list:
+        mine = F.pmod(F.xxhash64(name), F.col(own)).cast("int")
+        return [mine.alias(f"{own}_at"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at")]
+
+    of = F.col(group).alias("_of")  # a name of its own on either side, which may be one table
+    rows = corpus.join(few(sizes), group).select(of, F.col("chunk_id").cast(kind).alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"), *blocks("_rows", "_asked", "chunk_id"))
+    wanted = queries.join(few(sizes), group).select(of, F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"), *([F.col(but).cast(kind).alias("but")] if but else []), *blocks("_asked", "_rows", "query_id"))
+    key = ("_of", "_rows_at", "_asked_at")
+    return rows.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(_product(k, least, bool(but)), f"query_id long, chunk_id {kind}, score double")
+
+
 def nearest_with_keyword(corpus: DataFrame, queries: DataFrame, k: int, dimension: int = DIMENSION) -> DataFrame:
     """As ``nearest``, among the chunks that hold the query's first keyword.  ``corpus`` has
     chunk_id and text, ``queries`` query_id, text and keywords; one without any finds nothing.
-    A chunk is there once for each keyword asked for that it holds, and compared in batches,
-    so a common keyword makes no table of pairs."""
+    A chunk is there once for each keyword asked for that it holds, and compared with the
+    queries of that keyword only, block by block."""
     first = queries.select("query_id", "text", F.get("keywords", F.lit(0)).alias("token")).filter("token IS NOT NULL")
     held = corpus.select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")).join(few(first.select("token").distinct()), "token", "left_semi")
     asked = dense_vectors(first.select(F.col("query_id").alias("chunk_id"), "text"), dimension).withColumnRenamed("chunk_id", "query_id")
-    return nearest(held.join(dense_vectors(corpus, dimension), "chunk_id"), first.select("query_id", "token").join(asked, "query_id"), k, "token")
+    rows = stored(held.join(dense_vectors(corpus, dimension), "chunk_id"), "keyword-rows")
+    return top(within_groups(rows, stored(first.select("query_id", "token").join(asked, "query_id"), "keyword-asked"), k, "token"), k)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.functions import text as T
-from rillmark.operators import answers, dense, fusion, ingest, lexical, planning, ranking, understanding
+from rillmark.operators import answers, cells, dense, fusion, ingest, inverted, lexical, planning, ranking, understanding
 from rillmark.operators.understanding import DOMAINS, EXPANSIONS, LAW_ALIASES, LAW_DOMAINS, PHRASES, STEMS
+from rillmark.sources import work
 from rillmark.sources.work import stored
 
 from .q_text import SQUEEZED, heading_boost_sql, penalty_sql
@@ -53,6 +54,21 @@ def bm25_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return lexical.search(corpus(spark, d), queries(spark, d), 10, F.col("law_iri").isin("src0", "src3", "src5", "src7"))
 
 
+# Stored indexes ------------------------------------------------------------
+
+
+@query(SQL["bm25_topk"])
+def index_topk(spark: SparkSession, d: str) -> DataFrame:
+    return inverted.search(inverted.build(corpus(spark, d), work.fresh(spark, "inverted"), ("law_iri",)), queries(spark, d), 10)
+
+
+@query(SQL["bm25_topk_filtered"])
+def index_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The filter acts on a column that the index keeps."""
+    index = inverted.build(corpus(spark, d), work.fresh(spark, "inverted"), ("law_iri",))
+    return inverted.search(index, queries(spark, d), 10, F.col("law_iri").isin("src0", "src3", "src5", "src7"))
+
+
 # Vectors -------------------------------------------------------------------
 
 
@@ -82,6 +98,13 @@ def cosine_topk_by_label(spark: SparkSession, d: str) -> DataFrame:
     return dense.nearest(*_vectors(spark, d), 10, "label")
 
 
+@query(SQL["cosine_topk"])
+def cells_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The exact search of a cell index: cells that cannot hold a neighbour stay closed."""
+    rows, asked = _vectors(spark, d)
+    return cells.search(cells.build(rows, work.fresh(spark, "cells")), asked, 10, exact=True)
+
+
 KEYWORDS = f"list_filter({{0}}, lambda x: NOT regexp_matches(x, '^(?:{'|'.join(understanding.STOP_STEMS)})') AND length(x) >= 3)"
 FOLDED_TOKENS = "regexp_extract_all(strip_accents(lower({0})), '[a-z0-9]+')"
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions import text as T
-from rillmark.operators import answers, cache, dense, fusion, ingest, lexical, planning, ranking, understanding
+from rillmark.operators import answers, cache, dense, fusion, ingest, inverted, lexical, planning, ranking, understanding
 from rillmark.sources.work import stored
 
 
@@ -24,16 +24,22 @@ LEAST_PREFERRED = 12
 
 @dataclass
 class Searchable:
-    """What a batch of requests searches, read once: matching postings, vectors, columns."""
+    """What a batch of requests searches, read once: matching postings, made for the batch
+    or those of a stored index that keeps law_iri; vectors, columns."""
 
     corpus: DataFrame
-    matches: lexical.Matches
+    matches: lexical.Matches | inverted.Index
     vectors: DataFrame
 
+    def sparse(self, asking: DataFrame, within: tuple[str, str]) -> DataFrame:
+        if isinstance(self.matches, inverted.Index):
+            return inverted.search(self.matches, asking, "k", within=within)
+        return lexical.ranked(self.matches, asking, "k", within)
 
-def searchable(corpus: DataFrame, planned: DataFrame, dimension: int) -> Searchable:
+
+def searchable(corpus: DataFrame, planned: DataFrame, dimension: int, index: inverted.Index | None = None) -> Searchable:
     vectors = dense.dense_vectors(corpus, dimension).join(corpus.select("chunk_id", "law_iri"), "chunk_id")
-    return Searchable(corpus, lexical.matches(corpus, _sparse_text(planned), keep=("law_iri",)), stored(vectors, "vectors"))
+    return Searchable(corpus, index or lexical.matches(corpus, _sparse_text(planned), keep=("law_iri",)), stored(vectors, "vectors"))
 
 
 def _sparse_text(planned: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def retrieve(found: Searchable, planned: DataFrame, dimension: int) -> DataFrame
     the cleaned one, within each plan's laws, fused, with the corpus columns."""
     corpus, asking = found.corpus, legs(planned)
     within = ("laws", "law_iri")
-    sparse = _one_of_legs(lexical.ranked(found.matches, asking.select("query_id", "text", "laws", "k"), "k", within))
+    sparse = _one_of_legs(found.sparse(asking.select("query_id", "text", "laws", "k"), within))
     vectors = dense.dense_vectors(asking.select(F.col("query_id").alias("chunk_id"), F.col("clean").alias("text")), dimension).withColumnRenamed("chunk_id", "query_id")
     near = _one_of_legs(dense.nearest(found.vectors, asking.select("query_id", "laws", "k").join(vectors, "query_id"), "k", within=within))
     fused = fusion.rrf(near, sparse).drop("rank").join(corpus, "chunk_id")
@@ -96,18 +102,19 @@ def _with_structure(fused: DataFrame, corpus: DataFrame, planned: DataFrame, nea
     return merged.join(corpus, "chunk_id")
 
 
-def hybrid(corpus: DataFrame, requests: DataFrame, top_k: int = 5, dimension: int = dense.DIMENSION) -> DataFrame:
+def hybrid(corpus: DataFrame, requests: DataFrame, top_k: int = 5, dimension: int = dense.DIMENSION, index: inverted.Index | None = None) -> DataFrame:
     """query_id, rank, chunk_id, law_iri, filename, text, score for every request, and
     system rows for those without a relevant result.
 
     ``corpus`` has chunk_id, law_iri, filename, text, chunk_index, and may have fragment_id
-    and paragraph; ``requests`` query_id and query."""
+    and paragraph; ``requests`` query_id, a whole number below 2^62, and query.  With an
+    ``index`` of the corpus that keeps law_iri, BM25 reads its postings and no text."""
     bare = requests.filter(T.is_bare_paragraph(F.col("query")))
     clear = requests.filter((F.trim("query") != "") & ~T.is_bare_paragraph(F.col("query")))
     planned = planning.build(understanding.understand(clear).withColumn("top_k", F.lit(top_k)))
     # the plan's columns are long expressions and each stage reads them: stored once
     planned = stored(planned, "planned")
-    found = searchable(corpus, planned, dimension)
+    found = searchable(corpus, planned, dimension, index)
     valid = stored(ranking.validate(retrieve(found, planned, dimension)), "valid")
     again = ranking.should_broaden(valid, planned, top_k).select("query_id")
     wider = stored(planning.broaden(planned.join(again, "query_id", "left_semi")), "wider")
