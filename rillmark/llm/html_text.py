@@ -3,9 +3,9 @@
 A page is read into all its text lines, one for each block.  Pages are put in the order of
 host and path, each is paired with the neighbour of its host whose path is nearest (the
 longer common beginning), the lines of both are aligned by longest common subsequence, and
-shared lines are deleted: menus, footers and notices, and the site's lines inside an article
-or main element too.  Of what is left, lines go whose markup says that they are not the
-article (a menu that differs from page to page, comments, an advert), by element, role,
+shared lines outside article and main elements are deleted: menus, footers and notices.  A
+line of the article stays, whoever shares it: articles quote each other, and short sentences
+recur.  Of what is left, lines go whose markup says that they are not the article (a menu that differs from page to page, comments, an advert), by element, role,
 class and id.  A line that markup rules out aligns only with such lines, so a heading stays
 where the next page's sidebar names it.  A class or id rules out if all its parts say so
 (``sidebar``, ``cookie-notice``, ``ad-slot-1``; not ``has-sidebar``), and never html, body,
@@ -13,11 +13,8 @@ main, an article that is not within another, nor an element around the page's ma
 its articles.
 
 Equal pages of a host are one page in that order, so a page is never paired with its own
-copy.  Other pages may well carry the same article: a neighbour that shares all lines of
-the article, or more than COPY of both its lines and its text, is a copy, which tells
-nothing of them, so the other neighbour is asked, or the article's lines stay; shared lines
-beside the article go.  A page without article or main that shares all its lines with a
-neighbour is its copy likewise.
+copy.  A page without article or main that shares all its lines with a neighbour is its copy
+likewise, which tells nothing: the other neighbour is asked, or its lines stay.
 
 Scale: the html moves once.  Pages are dealt to blocks of the order, with bounds from a
 sample of about SAMPLE keys, so a host with a third of all pages is many blocks; the
@@ -49,10 +46,6 @@ BLOCK_ROWS, MOST_BLOCKS, SAMPLE = 1_000, 1 << 14, 1 << 16
 #: Classes of equal pages that may be broadcast.
 FEW_COPIES = 100_000
 
-#: The part of an article, in lines and in text, beyond which a neighbour that shares it
-#: carries the same article.
-COPY = 0.75
-
 #: Fixed word lists: elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template textarea title noscript iframe svg math select object audio video canvas".split())
@@ -230,27 +223,17 @@ def _near(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
-def _same_article(body: list[int], texts: list[str], shared_with: set[int]) -> bool:
-    """Whether a neighbour that shares these lines carries the lines of ``body`` too."""
-    both = [i for i in body if i in shared_with]
-    size = sum(len(texts[i]) for i in body)
-    return len(both) == len(body) or (len(both) > COPY * len(body) and sum(len(texts[i]) for i in both) > COPY * size)
-
-
 def difference(lines: list[Line], neighbours: list[list[Line]]) -> list[str]:
-    """The page's lines without what it shares with the first neighbour that is not its
-    copy, and without what markup rules out."""
+    """The page's lines without what it shares, outside its article, with the first neighbour
+    that is not its copy, and without what markup rules out."""
     texts, keys = [t for t, _, _ in lines], [(t, out) for t, _, out in lines]
     left = [i for i, (_, _, out) in enumerate(lines) if not out]
-    article = [i for i in left if lines[i][1]]
-    gone: set[int] = set()
+    article = {i for i in left if lines[i][1]}
     for other in neighbours:
-        shared_with = common(keys, [(t, out) for t, _, out in other])
-        if not (_same_article(article, texts, shared_with) if article else shared_with.issuperset(left)):
-            gone |= shared_with
-            break
-        gone |= shared_with.difference(article or left)
-    return [texts[i] for i in left if i not in gone]
+        gone = common(keys, [(t, out) for t, _, out in other]) - article
+        if article or not gone.issuperset(left):
+            return [texts[i] for i in left if i not in gone]
+    return [texts[i] for i in left]
 
 
 _SEP = "\u0000"

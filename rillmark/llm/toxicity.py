@@ -15,8 +15,9 @@ Defined cases: null text scores as the empty text; null labels and documents wit
 label are not learned from; several labels of one document count as toxic if one is; with
 labels of one class the score is the smoothed share of toxic labels, at most 0.01 where
 none is toxic or there are none; of several texts with one labelled id the least is learned
-from; repeated rows score alike; a column named score is replaced; an empty table gives an empty result; extra columns are ignored or
-passed on.
+from; the same where labels of both classes are there but not their texts; repeated rows
+score alike; a column named score is replaced; an empty table gives an empty result; extra
+columns are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -191,8 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: fl
     texts = shared.table(texts.select("text", "toxic"), "toxicity-sample")
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     t_all, c_all = sizes.get(1, 0), sizes.get(0, 0)
-    if not t_all or not c_all:
-        return Model(share)
+    if not t_all or not c_all:  # labels, but not the texts, of both classes
+        return Model(min(share, 0.01) if not t_all else share)
     found = shared.map_arrow(texts, _present, "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     named = [f for w in _KIND for f in features_of(w)]
 

@@ -12,10 +12,20 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rillmark.llm import chat_repair, divergence, quality
+from rillmark.llm import chat_repair, divergence, quality, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
+# 8
+
+
+def test_toxic_labels_without_their_texts(spark):
+    docs = spark.createDataFrame([(1, "a text"), (2, "more")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (8, 1), (9, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.prior <= 0.01 and toxicity.keep_clean(docs, model).count() == 2
+
+
 # 11
 
 
