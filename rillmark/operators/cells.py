@@ -94,7 +94,7 @@ def _nearest_cells(sent, most: int):
         for batch in (b.slice(at, dense.ROWS) for b in batches for at in range(0, b.num_rows, dense.ROWS)):
             rows = dense._matrix(batch.column(1))
             wide = max(rows.shape[1] if rows.size else 0, middle.shape[1])
-            rows = _unit(dense._widened(rows.reshape(batch.num_rows, -1), wide))
+            rows = _unit(dense._widened(rows.reshape(batch.num_rows, rows.size // batch.num_rows), wide))
             near = rows @ dense._widened(middle, wide).T
             n = min(most, near.shape[1])
             order = np.argsort(-near, axis=1, kind="stable")[:, :n]
@@ -121,7 +121,7 @@ def build(vectors: DataFrame, at: str, cells: int | None = None, sample: int = S
     cut = int(min(1.0, sample / max(n, 1)) * (1 << 40))
     seen = vectors.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(1 << 40)) < cut).select(F.col("embedding").cast("array<double>")).limit(2 * sample).collect()
     rows = dense._matrix(pa.array([r[0] for r in seen], pa.list_(pa.float64()))) if seen else np.zeros((0, 1))
-    middle = centres(rows.reshape(len(rows), -1), min(cells or max(1, round(n**0.5)), MOST_CELLS))
+    middle = centres(rows.reshape(len(rows), rows.size // max(len(rows), 1)), min(cells or max(1, round(n**0.5)), MOST_CELLS))
     placed = _placed(vectors.select("chunk_id", "embedding"), middle, 1).select(F.col("id").alias("chunk_id"), "embedding", F.get("cells", F.lit(0)).alias("cell"), F.get("cosines", F.lit(0)).alias("cosine"))
     placed = placed.withColumn("cell", F.coalesce("cell", F.lit(NOWHERE)))
     placed.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{at}/rows")

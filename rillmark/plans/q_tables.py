@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import hashing
 from rillmark.functions import vectors as V
-from rillmark.operators import answers, cache, ingest, ranking
+from rillmark.operators import answers, cache, ingest, merging, ranking
 from rillmark.sources import work
 from rillmark.streaming import ingestion
 
@@ -195,6 +195,33 @@ def idempotent_upsert(spark: SparkSession, d: str) -> DataFrame:
     return cache.upserted(cache.upserted(rows, changed), changed)
 
 
+@query("""SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN upper(source) || '2' ELSE source END AS source FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT -1 - doc_id, 'late' FROM documents WHERE doc_id % 11 = 0""")
+def merged_table(spark: SparkSession, d: str) -> DataFrame:
+    """Inserts, then updates that come twice, deletions, late rows and a replayed batch."""
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.lit(0).alias("at"))
+    table = merging.create(spark, work.fresh(spark, "merged"), rows.drop("at").schema, "chunk_id")
+    merging.merge(table, rows, source="batches", number=0)
+    changed = rows.filter("chunk_id % 3 = 0").withColumn("at", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("source", F.concat(F.upper("source"), F.col("at").cast("string")))
+    newest = changed.groupBy("chunk_id").agg(F.max_by("source", "at").alias("source"))
+    merging.merge(table, newest, source="batches", number=1)
+    gone = rows.filter("chunk_id % 7 = 0").withColumn("gone", F.lit(True))
+    late = rows.filter("chunk_id % 11 = 0").select((-1 - F.col("chunk_id")).alias("chunk_id"), F.lit("late").alias("source"), F.lit(False).alias("gone"))
+    merging.merge(table, gone.drop("at").unionByName(late), deleted=F.col("gone"), source="batches", number=2)
+    merging.merge(table, rows.withColumn("source", F.lit("again")), source="batches", number=1)
+    return table.read()
+
+
+@query("SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+def stream_merge(spark: SparkSession, d: str) -> DataFrame:
+    """The last event of every user, kept by a stream that merges."""
+    at = work.fresh(spark, "stream")
+    rows = _events(spark, d).select("user_id", "event_id", "ts").filter("user_id IS NOT NULL")
+    table = merging.create(spark, f"{at}/table", rows.schema, "user_id")
+    ingestion.merge_into(rows, table, f"{at}/state", ("ts", "event_id")).awaitTermination()
+    return table.read()
+
+
 @query("SELECT doc_id AS chunk_id, source FROM documents")
 def reindex_swap(spark: SparkSession, d: str) -> DataFrame:
     folder = work.fresh(spark, "reindex")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions import text as T
-from rillmark.operators import answers, cache, dense, fusion, ingest, inverted, lexical, planning, ranking, understanding
+from rillmark.operators import answers, cache, dense, fusion, ingest, inverted, lexical, merging, planning, ranking, understanding
 from rillmark.sources.work import stored
 
 
@@ -18,6 +18,14 @@ def ingest_fragments(fragments: DataFrame) -> DataFrame:
     return ingest.chunks(ingest.first_text_per(ingest.ingestible(fragments), "law_iri", "pos"))
 
 
+def ingest_into(table: merging.Table, fragments: DataFrame, dimension: int = dense.DIMENSION, source: str | None = None, number: int = 0) -> merging.Merged:
+    """Fragments to the end in one plan: filtered, chunked, embedded and merged by chunk_id.
+    A fragment that comes again with another text replaces its chunks of the same ids."""
+    chunks = stored(ingest_fragments(fragments), "ingested")
+    rows = chunks.join(dense.dense_vectors(chunks, dimension), "chunk_id")
+    return merging.merge(table, rows.select(*table.read().columns), source=source, number=number)
+
+
 #: Of a leg within preferred laws, the least candidates.
 LEAST_PREFERRED = 12
 

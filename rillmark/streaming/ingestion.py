@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from rillmark.operators import merging
 from rillmark.sources import work
 
 
@@ -37,7 +38,7 @@ def windowed(stream: DataFrame, time: str, event: str, late: str = "10 minutes",
 
 
 def upsert_into(stream: DataFrame, target: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Write each key once: a batch lands in a folder of its own number, without the keys
+    """Write each key once, as it was first seen (``merge_into`` updates): a batch lands in a folder of its own number, without the keys
     that earlier batches hold.  One run again after a failure sees the same earlier batches
     and replaces what it wrote."""
     spark = stream.sparkSession
@@ -52,6 +53,17 @@ def upsert_into(stream: DataFrame, target: str, checkpoint: str, key: str) -> St
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merge_into(stream: DataFrame, table: merging.Table, checkpoint: str, order: tuple[str, ...] = (), deleted: Column | None = None) -> StreamingQuery:
+    """Merge a stream into a keyed table, batch by batch: the last row of a key stays, only
+    buckets that a batch touches are read and written, and a batch that comes again after a
+    failure changes nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        merging.merge(table, batch, order, deleted, checkpoint, number)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run over what is there now into an in-memory table: for small results only."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
