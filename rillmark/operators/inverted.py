@@ -82,17 +82,17 @@ def build(corpus: DataFrame, at: str, keep: tuple[str, ...] = (), block: int = B
     docs = lexical.tokenized(corpus, *keep).withColumn("block", F.expr(f"monotonically_increasing_id() div {block}"))
     # what is of a chunk first: above the explode it would be worked out for every token
     docs = docs.select("chunk_id", *keep, "block", F.size("toks").alias("dl"), F.array_min("toks").alias("least"), "toks")
-    rows = docs.withColumn("token", F.explode("toks"))
-    counts = rows.groupBy("chunk_id", *keep, "block", "dl", "least", "token").agg(F.count("*").alias("tf"))
+    rows = docs.withColumn("token", F.explode("toks")).withColumn("first", F.col("token") == F.col("least"))
+    counts = rows.groupBy("chunk_id", *keep, "block", "dl", "first", "token").agg(F.count("*").cast("int").alias("tf"))
     counts = stored(counts, "index-counts")
-    n = F.count_if(F.col("token") == F.col("least"))  # once for each chunk with a token
+    n = F.count_if("first")  # once for each chunk with a token
     totals = counts.agg(n.alias("n_docs"), F.coalesce(F.try_divide(F.sum("tf"), n), F.lit(0.0)).cast("double").alias("avg_dl"))
     totals.write.mode("overwrite").parquet(f"{at}/totals")
     index = Index(spark, at)
     counts.limit(0).select("chunk_id", F.lit(0.0).alias("impact"), *keep).coalesce(1).write.mode("overwrite").parquet(f"{at}/kept")
     splits = index.totals.first().n_docs // TOGETHER + 1
     # dealt once: all that follows stays within a folder and its split
-    dealt = counts.withColumns({"folder": _folder("token"), "split": F.pmod(F.col("block"), F.lit(splits))}).repartition("folder", "split")
+    dealt = counts.drop("first").withColumns({"folder": _folder("token"), "split": F.pmod(F.col("block"), F.lit(splits))}).repartition("folder", "split")
     impact = lexical.norm_tf(F.col("tf"), F.col("dl"), F.col("avg_dl"))
     rows = dealt.join(F.broadcast(index.totals)).groupBy("folder", "split", "token", "block")
     postings = rows.agg(F.max(impact).alias("most"), F.collect_list(F.struct("chunk_id", impact.alias("impact"), *keep)).alias("entries"))
