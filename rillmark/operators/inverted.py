@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillmark.sources import work
 from rillmark.sources.work import stored
 
 from . import lexical
@@ -97,9 +98,12 @@ def build(corpus: DataFrame, at: str, keep: tuple[str, ...] = (), block: int = B
     rows = dealt.join(F.broadcast(index.totals)).groupBy("folder", "split", "token", "block")
     postings = rows.agg(F.max(impact).alias("most"), F.collect_list(F.struct("chunk_id", impact.alias("impact"), *keep)).alias("entries"))
     postings = postings.withColumn("n", F.size("entries")).drop("split").sortWithinPartitions("folder", "token", "block")
-    postings.select("token", "block", "most", "entries", "n", "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/postings")
+    with work.cleaned(spark):
+        postings.select("token", "block", "most", "entries", "n", "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/postings")
+    work.drop(counts)
     df = index.postings.groupBy("folder", "token").agg(F.sum("n").cast("long").alias("df"), F.max("most").alias("most"))
-    df.repartition("folder").sortWithinPartitions("folder", "token").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/tokens")
+    with work.cleaned(spark):
+        df.repartition("folder").sortWithinPartitions("folder", "token").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/tokens")
     return index
 
 

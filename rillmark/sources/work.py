@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -32,22 +33,37 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Written and read again: the plan ends here, and lost executors cost no more than
-    reading it anew."""
-    spark = df.sparkSession
-    path = fresh(spark, name)
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written meanwhile go when it has been written."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written and read again: the plan ends here, and lost executors cost no more than
+    reading it anew."""
+    spark = df.sparkSession
+    path = fresh(spark, name)
+    with cleaned(spark):
+        df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    _made.remove((df.sparkSession, df.stored_at))
+    delete(df.sparkSession, df.stored_at)
 
 
 def drop_tables(spark: SparkSession) -> None:
