@@ -13,7 +13,7 @@ RRF_K = 60
 
 def rrf(dense: DataFrame, sparse: DataFrame, k: int = RRF_K) -> DataFrame:
     """Full outer join of two ranked lists (query_id, chunk_id, rank, score) with the sum
-    of reciprocal ranks.  rank orders by score, dense rank, sparse rank, encounter, id."""
+    of reciprocal ranks.  rank orders by score, dense rank, sparse rank, id."""
     d = dense.select("query_id", "chunk_id", F.col("rank").alias("dense_rank"), F.col("score").alias("dense_score"))
     s = sparse.select("query_id", "chunk_id", F.col("rank").alias("sparse_rank"), F.col("score").alias("sparse_score"))
 

@@ -178,14 +178,15 @@ def cache_pattern_delete(spark: SparkSession, d: str) -> DataFrame:
     return cache.without(_entries(spark, d), "user:1*:c?ick").select("cache_key", "response_payload")
 
 
-NAMES = "VALUES ('laws__v1'), ('laws__v2'), ('laws__v10'), ('laws'), ('courts__v3'), ('other')"
+#: A collection's name for each customer: of a nation, with and without a version.
+NAMES = "'n' || c_nationkey || CASE WHEN c_custkey % 10 = 0 THEN '' ELSE '__v' || c_custkey END"
 
 
 @query(f"""
-WITH n(collection) AS ({NAMES}), p AS (SELECT collection, regexp_replace(collection, '__v[0-9]+$', '') AS base, COALESCE(TRY_CAST(nullif(regexp_extract(collection, '__v([0-9]+)$', 1), '') AS INT), 0) AS version FROM n)
+WITH n AS (SELECT {NAMES} AS collection FROM customer), p AS (SELECT collection, regexp_replace(collection, '__v[0-9]+$', '') AS base, COALESCE(TRY_CAST(nullif(regexp_extract(collection, '__v([0-9]+)$', 1), '') AS INT), 0) AS version FROM n)
 SELECT base, arg_max(collection, version) AS latest, max(version) AS version, base || '__v' || (max(version) + 1) AS next FROM p GROUP BY base""")
 def alias_latest_version(spark: SparkSession, d: str) -> DataFrame:
-    return cache.latest_versions(spark.sql(f"SELECT collection FROM {NAMES} t(collection)"))
+    return cache.latest_versions(read(spark, d, "customer").select(F.expr(NAMES).alias("collection")))
 
 
 @query("SELECT doc_id AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN upper(source) ELSE source END AS source FROM documents")
@@ -234,13 +235,17 @@ def reindex_swap(spark: SparkSession, d: str) -> DataFrame:
 # Rows the system makes -----------------------------------------------------
 
 
-@query("""
-WITH a(query_id, paragraph, hint) AS (VALUES (1, 52, NULL), (2, 89, 'local:sb/2012/89')), l(i, iri, name) AS (VALUES (0, 'local:sb/2006/262', 'zákoník práce'), (1, 'local:sb/2012/89', 'občanský zákoník'), (2, 'local:sb/2009/40', 'trestní zákoník')),
+#: A paragraph asked for by each customer, half of them with a hint of the law.
+HINT = "CASE c_custkey % 4 WHEN 1 THEN 'local:sb/2012/89' WHEN 3 THEN 'local:sb/2009/40' END"
+
+
+@query(f"""
+WITH a AS (SELECT c_custkey AS query_id, c_nationkey AS paragraph, {HINT} AS hint FROM customer), l(i, iri, name) AS (VALUES (0, 'local:sb/2006/262', 'zákoník práce'), (1, 'local:sb/2012/89', 'občanský zákoník'), (2, 'local:sb/2009/40', 'trestní zákoník')),
 s AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY (COALESCE(iri = hint, false))::INT DESC, i) AS pos, 'clarification:suggestion:' || iri || ':' || paragraph AS chunk_id, '§ ' || paragraph || ' ' || name AS text FROM a, l
       UNION ALL SELECT query_id, 0, 'clarification:message', CASE WHEN hint IS NULL THEN 'Dotaz je nejednoznačný. Uveď, o jaký zákon se jedná nebo popiš problém.' ELSE 'Upřesni zákon. Na základě kontextu nabízím relevantní možnosti:' END FROM a)
-SELECT query_id::INT AS query_id, chunk_id, text, round(greatest(0, 1 - pos * 0.01), 4)::DOUBLE AS score FROM s WHERE pos < 3""")
+SELECT query_id, chunk_id, text, round(greatest(0, 1 - pos * 0.01), 4)::DOUBLE AS score FROM s WHERE pos < 3""")
 def clarification_rows(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.sql("SELECT * FROM VALUES (1, 52, CAST(NULL AS STRING)), (2, 89, 'local:sb/2012/89') t(query_id, paragraph, hint)")
+    asked = read(spark, d, "customer").selectExpr("c_custkey AS query_id", "c_nationkey AS paragraph", f"{HINT} AS hint")
     return answers.clarification(asked, 3).select("query_id", "chunk_id", "text", "score")
 
 

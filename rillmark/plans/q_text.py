@@ -218,10 +218,14 @@ def query_context(spark: SparkSession, d: str) -> DataFrame:
     return understanding.query_context(rows).select("conv_id", "turn", "query_hash", F.size("terms").alias("n_terms"), "query_type", "request_domain", "jurisdiction")
 
 
-@query("""SELECT q, regexp_matches(trim(q), '^§\\s*[0-9]+[a-zA-Z]*$') AS bare FROM (VALUES ('§ 52'), ('§52a'), (' § 7 '), ('§ 52 zákoník práce'), ('52'), ('')) t(q)""")
+#: Requests that are a bare paragraph, or nearly so, made from part.
+ASKED = """CASE p_partkey % 6 WHEN 0 THEN '§ ' || p_size WHEN 1 THEN '§' || p_size || 'a' WHEN 2 THEN ' § ' || p_size || ' ' WHEN 3 THEN '§ ' || p_size || ' ' || p_name WHEN 4 THEN '' || p_size ELSE p_name END"""
+
+
+@query(f"""SELECT p_partkey, q, regexp_matches(trim(q), '^§\\s*[0-9]+[a-zA-Z]*$') AS bare FROM (SELECT p_partkey, {ASKED} AS q FROM part)""")
 def bare_paragraph(spark: SparkSession, d: str) -> DataFrame:
-    asked = spark.sql("SELECT q FROM VALUES ('§ 52'), ('§52a'), (' § 7 '), ('§ 52 zákoník práce'), ('52'), ('') t(q)")
-    return asked.select("q", T.is_bare_paragraph(F.col("q")).alias("bare"))
+    asked = read(spark, d, "part").select("p_partkey", F.expr(ASKED).alias("q"))
+    return asked.select("p_partkey", "q", T.is_bare_paragraph(F.col("q")).alias("bare"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS filename FROM pages")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,30 +13,34 @@ from pyspark.sql import functions as F
 #: Elements that end a line.
 BLOCKS = frozenset("article blockquote br dd div dl dt h1 h2 h3 h4 h5 h6 hr li ol p section table tbody td th thead tr ul".split())
 
+#: A comment, a script or style with what it holds, a declaration, or a tag.
+MARKUP = re.compile(
+    r"""<!--.*?(?:-->|\Z)
+      | <(script|style)\b[^>]*>(?P<raw>.*?)(?:</\1\s*>|\Z)
+      | <[!?][^>]*>
+      | </?(?P<name>[A-Za-z][^\s/<>]*)(?:[^<>"']|"[^"]*"|'[^']*')*>""",
+    re.S | re.I | re.X,
+)
 
-class _Lines(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.lines: list[list[str]] = [[]]
 
-    def handle_starttag(self, tag, attrs) -> None:
-        if tag in BLOCKS:
-            self.lines.append([])
-
-    handle_endtag = lambda self, tag: self.handle_starttag(tag, ())
-
-    def handle_data(self, data: str) -> None:
-        first, *more = data.splitlines() or [""]
-        if data.strip():
-            self.lines[-1].append(first)
-            self.lines.extend([x] for x in more)
+def _runs(markup: str) -> Iterator[str | None]:
+    """Runs of text in order, None where a line ends."""
+    at = 0
+    for found in MARKUP.finditer(markup):
+        yield html.unescape(markup[at : found.start()])
+        yield found["raw"] or ""
+        if (found["name"] or "").lower() in BLOCKS:
+            yield None
+        at = found.end()
+    yield html.unescape(markup[at:])
 
 
 def lines_of(markup: str | None) -> str:
-    parser = _Lines()
-    parser.feed(markup or "")
-    parser.close()
-    return "\n".join(x for x in (" ".join("".join(parts).split()) for parts in parser.lines) if x)
+    """The lines of a page's text, white space within a line as one space, without empty
+    lines.  A run of white space between two tags is no text.  What scripts and styles hold
+    is text as it stands; null is as empty."""
+    text = "".join("\n" if run is None else run for run in _runs(markup or "") if run is None or run.strip())
+    return "\n".join(line for line in (" ".join(x.split()) for x in text.splitlines()) if line)
 
 
 def _block_text(markup: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -326,6 +326,10 @@ def test_sections_skip_bad_lines(spark, tmp_path):
 
 def test_markup_lines():
     assert html_pages.lines_of("<div>a <b>b</b></div><p>c &amp; d<br>e</p>") == "a b\nc & d\ne"
+    assert html_pages.lines_of(None) == html_pages.lines_of("  \n") == html_pages.lines_of("<!-- open <p>a") == ""
+    assert html_pages.lines_of('<P title="1 > 0">a</P ><!-- <p>x</p> -->b\nc<hr/>1 < 2 &lt;p&gt;') == "a\nb\nc\n1 < 2 <p>"
+    assert html_pages.lines_of("<b>a</b> <i>b</i>\n<i>c</i><script>if (x) '<p>'</script><style>y") == "abcif (x) '<p>'y"
+    assert len(html_pages.lines_of("<a '<a \"" * 200_000)) > 0
 
 
 def test_uploads(spark):
