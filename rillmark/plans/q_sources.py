@@ -6,14 +6,18 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillmark.operators import index, ingest
+from rillmark.operators import counts, index, ingest, merging
 from rillmark.sources import statutes, work
 
-from .tables import STATS, corpus, read
+from . import search
+from .tables import DIM, IDF, NORM_TF, STATS, corpus, read, tok
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -97,6 +101,38 @@ def zip_fragments(spark: SparkSession, d: str) -> DataFrame:
     return statutes.archive_fragments(laws).select("fragment_id", "text")
 
 
+#: The text of each part's law, and of its second edition.
+LAW, AGAIN = "'Nariadenie ' || p_name || ' ' || p_type", "'Zmena ' || p_brand || ' ' || p_type"
+
+
+def _law_files(parts: DataFrame) -> DataFrame:
+    """path and content of an archive for each row (p_partkey, body), made on executors."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f"Sb_2000_{k}_2026.zip", _zip(f"Sb_2000_{k}_IZ.json", json.dumps({"metadata": {"predpisCislo": f"{k}/2000 Sb."}, "fragmenty": [{"fragmentId": "1", "typ": "Odstavec_Dc", "xhtml": f"<p>{t}</p>"}]}))) for k, t in zip(b["p_partkey"], b["body"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    return parts.select("p_partkey", "body").mapInPandas(made, "path string, content binary")
+
+
+@query(f"""WITH d AS (SELECT p_partkey, {tok(f"CASE WHEN p_partkey % 5 = 0 THEN {AGAIN} ELSE {LAW} END")} AS toks FROM part),
+st AS (SELECT count(*) AS n_docs, sum(len(toks)) / count(*)::DOUBLE AS avg_dl FROM d),
+tf AS (SELECT p_partkey, len(toks) AS dl, token, count(*) AS tf FROM (SELECT p_partkey, toks, unnest(toks) AS token FROM d) GROUP BY ALL), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token)
+SELECT 'local:sb/2000/' || p_partkey || '/1' AS fragment_id, count(*) AS n, round(sum({IDF} * {NORM_TF}), 6) AS weight FROM tf JOIN df USING (token) CROSS JOIN st GROUP BY 1""")
+def zip_ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Archives of all parts ingested in two passes; a fifth of the laws comes again with
+    another text, and the weights of all chunks follow."""
+    at = work.fresh(spark, "ingested")
+    parts = read(spark, d, "part")
+    table = merging.create(spark, f"{at}/table", T.StructType.fromDDL("chunk_id string, fragment_id string, text string, embedding array<double>"), "chunk_id")
+    held = counts.Counts(spark, f"{at}/counts")
+    search.ingest_archives(table, held, _law_files(parts.select("p_partkey", F.expr(LAW).alias("body"))), DIM, "archives", 0)
+    _, sparse = search.ingest_archives(table, held, _law_files(parts.filter("p_partkey % 5 = 0").select("p_partkey", F.expr(AGAIN).alias("body"))), DIM, "archives", 1)
+    per = sparse.groupBy("chunk_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
+    return table.read().select("chunk_id", "fragment_id").join(per, "chunk_id").select("fragment_id", "n", "weight")
+
+
 def _section(spark: SparkSession, d: str) -> str:
     at = work.fresh(spark, "section")
     good = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name")))

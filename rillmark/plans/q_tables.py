@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import hashing
 from rillmark.functions import vectors as V
-from rillmark.operators import answers, cache, ingest, merging, ranking
+from rillmark.operators import answers, cache, counts, ingest, merging, ranking
 from rillmark.sources import work
 from rillmark.streaming import ingestion
 
 from . import search
-from .tables import DIM, bm25, corpus, hits, queries, read
+from .tables import DIM, bm25, corpus, hits, queries, read, tok
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -213,6 +213,32 @@ def merged_table(spark: SparkSession, d: str) -> DataFrame:
     return table.read()
 
 
+#: What the documents are after half of some texts, deletions and texts that come twice.
+AFTER = """SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT -1 - doc_id, text FROM documents WHERE doc_id % 11 = 0"""
+
+
+@query(f"""WITH d AS (SELECT chunk_id, {tok("text")} AS toks FROM ({AFTER})), st AS (SELECT count(*) FILTER (len(toks) > 0) AS n_docs, sum(len(toks)) / (count(*) FILTER (len(toks) > 0))::DOUBLE AS avg_dl FROM d),
+df AS (SELECT token, count(*) AS df FROM (SELECT chunk_id, unnest(list_distinct(toks)) AS token FROM d) GROUP BY token)
+SELECT token, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1.0), 6) AS idf, n_docs, round(avg_dl, 6) AS avg_dl FROM df CROSS JOIN st WHERE df >= 2""")
+def idf_followed(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics that followed a table through inserts, updates, deletions and a replay."""
+    at = work.fresh(spark, "followed")
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    table = merging.create(spark, f"{at}/table", rows.schema, "chunk_id")
+    held = counts.Counts(spark, f"{at}/counts")
+    merging.merge(table, rows, source="batches", number=0)
+    counts.advance(held, table)
+    merging.merge(table, rows.filter("chunk_id % 3 = 0").withColumn("text", F.expr("substr(text, 1, length(text) div 2)")), source="batches", number=1)
+    counts.advance(held, table)
+    gone = rows.filter("chunk_id % 7 = 0").withColumn("gone", F.lit(True))
+    late = rows.filter("chunk_id % 11 = 0").select((-1 - F.col("chunk_id")).alias("chunk_id"), "text", F.lit(False).alias("gone"))
+    merging.merge(table, gone.unionByName(late), deleted=F.col("gone"), source="batches", number=2)
+    merging.merge(table, rows, source="batches", number=1)
+    counts.advance(held, table)
+    return held.idf_table().join(F.broadcast(held.totals())).select("token", "df", F.round("idf", 6).alias("idf"), "n_docs", F.round("avg_dl", 6).alias("avg_dl"))
+
+
 @query("SELECT user_id, arg_max(event_id, {'t': ts, 'e': event_id}) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
 def stream_merge(spark: SparkSession, d: str) -> DataFrame:
     """The last event of every user, kept by a stream that merges."""

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.functions import text as T
-from rillmark.operators import answers, cache, dense, fusion, ingest, inverted, lexical, merging, planning, ranking, understanding
+from rillmark.operators import answers, cache, counts, dense, fusion, ingest, inverted, lexical, merging, planning, ranking, understanding
+from rillmark.sources import statutes
 from rillmark.sources.work import stored
 
 
@@ -26,6 +27,18 @@ def ingest_into(table: merging.Table, fragments: DataFrame, dimension: int = den
     return merging.merge(table, rows.select(*table.read().columns), source=source, number=number)
 
 
+def ingest_archives(table: merging.Table, held: counts.Counts, files: DataFrame, dimension: int = dense.DIMENSION, source: str | None = None, number: int = 0) -> tuple[merging.Merged, DataFrame]:
+    """ZIP files of laws (path, content) in two passes.  The first unpacks, filters, chunks
+    and merges them, embedded, into the table and advances its counts.  The second weighs
+    the table's chunks under these counts.  What was merged, and the sparse vectors
+    (chunk_id, idx, weight) of all chunks: a law that comes again changes its own chunks and
+    the weights of others."""
+    fragments = statutes.archive_fragments(statutes.archive_laws(statutes.unpacked(files)))
+    done = ingest_into(table, fragments, dimension, source, number)
+    counts.advance(held, table)
+    return done, held.sparse(table.read())
+
+
 #: Of a leg within preferred laws, the least candidates.
 LEAST_PREFERRED = 12
 

@@ -82,8 +82,13 @@ def _members(strict: bool):
 def archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """path, member and body (JSON text, null if there is none) of ZIP files, unpacked on
     the executors that read them."""
-    packaging.send(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_members(strict), "path string, member string, body string")
+    return unpacked(spark.read.format("binaryFile").load(path), strict)
+
+
+def unpacked(files: DataFrame, strict: bool = True) -> DataFrame:
+    """The same of ZIP files that are rows (path, content)."""
+    packaging.send(files.sparkSession)
+    return files.select("path", "content").mapInPandas(_members(strict), "path string, member string, body string")
 
 
 def archive_laws(files: DataFrame) -> DataFrame:
