@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import hashing
 from rillmark.functions import vectors as V
-from rillmark.operators import answers, cache, counts, ingest, merging, ranking
+from rillmark.operators import aliases, answers, cache, counts, ingest, merging, ranking
 from rillmark.sources import work
 from rillmark.streaming import ingestion
 
@@ -258,6 +258,21 @@ def reindex_swap(spark: SparkSession, d: str) -> DataFrame:
     return spark.table("rillmark_docs")
 
 
+@query("SELECT doc_id AS chunk_id, 'old ' || COALESCE(source, '') AS bound, source AS active FROM documents")
+def alias_shared(spark: SparkSession, d: str) -> DataFrame:
+    """What a reader that was bound before a switch goes on to see, and what another session
+    sees after it."""
+    here = aliases.Catalogue(spark, work.fresh(spark, "catalogue"))
+    there = aliases.Catalogue(spark.newSession(), here.at)
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source")
+    profile = aliases.Profile("f", dimension=DIM)
+    here.reindex("docs", rows.withColumn("source", F.concat(F.lit("old "), F.coalesce("source", F.lit("")))), profile)
+    with here.reading("docs") as bound:
+        there.reindex("docs", there.spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "source"), profile, keep=False)
+        seen = bound.withColumnRenamed("source", "bound")
+        return work.stored(seen.join(here.rows(here.active("docs")).withColumnRenamed("source", "active"), "chunk_id"), "seen")
+
+
 # Rows the system makes -----------------------------------------------------
 
 
