@@ -4,9 +4,10 @@ A folder of counts belongs to a keyed table of chunks (``merging``; with a text)
 sums of changes: for each token in how many more or fewer chunks it stands, and in a row
 without token how many more or fewer chunks have a token, and tokens.  ``advance`` brings
 the counts from the table's version that they were last taken of to its present one.  It
-reads the buckets that differ between the two, once as they were, counted off, and once as
-they are, counted on; other buckets are not read, and no text is shuffled.  Every MOST
-changes are summed into one.
+reads the buckets that differ between the two; other buckets are not read.  Within them it
+tells the rows that have changed by key and a hash of the text, and counts only these: as
+they were, off, and as they are, on.  Texts are shuffled only if the changed rows are too
+many to be broadcast.  Every MOST changes are summed into one.
 
 A manifest names the folders of a version and is put in place once.  Of two writers that
 advance to the same version one finds it there and leaves it as it is.  Where the version
@@ -30,6 +31,7 @@ from rillmark.functions import text as T
 from rillmark.sources import work
 
 from . import lexical, merging
+from .sides import few
 
 #: Changes that are kept apart before they are summed.
 MOST = 16
@@ -88,6 +90,15 @@ def _counted(chunks: DataFrame, sign: int) -> DataFrame:
     return rows.select("r.token", F.lit(sign).cast("long").alias("df"), (F.col("r.tokens") * sign).alias("tokens"))
 
 
+def _changed(before: DataFrame, after: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows that only one side has.  A key stands once in each."""
+    of = F.xxhash64(F.coalesce("text", F.lit("")))
+    was, now = (d.select(F.col(key).alias("_key"), of.alias("_of"), "text") for d in (before, after))
+    both = was.select("_key", "_of", F.lit(-1).alias("n")).unionByName(now.select("_key", "_of", F.lit(1).alias("n")))
+    one = few(work.stored(both.groupBy("_key", "_of").agg(F.sum("n").alias("n")).filter("n <> 0").select("_key", "_of"), "changed"))
+    return was.join(one, ["_key", "_of"], "left_semi"), now.join(one, ["_key", "_of"], "left_semi")
+
+
 def advance(counts: Counts, table: merging.Table) -> int:
     """Count what has changed in the table; the table's version that is counted now."""
     spark, held = counts.spark, counts.manifest()
@@ -97,6 +108,8 @@ def advance(counts: Counts, table: merging.Table) -> int:
     since = held["version"] if held is not None and held["version"] in table.versions() else None
     kept = held["folders"] if since is not None else []
     before, after = merging.changed(table, since, version)
+    if since is not None:
+        before, after = _changed(before, after, table.manifest(version)["key"])
     name = uuid.uuid4().hex
     change = _summed(_counted(before, -1).unionByName(_counted(after, 1)))
     if len(kept) >= MOST:
