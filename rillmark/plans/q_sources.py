@@ -9,12 +9,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillmark.operators import counts, index, ingest, merging
-from rillmark.sources import statutes, work
+from rillmark.sources import datasets, statutes, work
 
 from . import search
 from .tables import DIM, IDF, NORM_TF, STATS, corpus, read, tok
@@ -150,6 +150,66 @@ def section_bad_lines(spark: SparkSession, d: str) -> DataFrame:
     return statutes.bad_lines(spark, _section(spark, d), "terms")
 
 
+#: Files of all five sections that the tables are written to.
+DATASETS = 16
+#: A name that looks like markup of the file it stands in.
+ODD = """p_name || ' } "{ \\ ], "links": ['"""
+
+
+def _datasets(spark: SparkSession, d: str) -> str:
+    """The tables as JSON files of five sections each; every tenth term is no JSON."""
+    at = work.fresh(spark, "datasets")
+
+    def rows(table: str, place: int, key: str, *fields: Column) -> DataFrame:
+        body = F.to_json(F.struct(*fields, F.struct(F.struct(F.col(key).alias("k")).alias("n")).alias("extra")), {"ignoreNullFields": "false"})
+        return read(spark, d, table).select((F.col(key) % DATASETS).alias("part"), F.lit(place).alias("place"), F.col(key).alias("key"), body.alias("body"))
+
+    def key(c: str) -> Column:
+        return F.col(c).cast("string")
+
+    sections = (
+        ("law_fragments", rows("documents", 0, "doc_id", key("doc_id").alias("id"), F.col("source").alias("law_iri"), "text", F.lit(None).cast("string").alias("paragraph"))),
+        ("definitions", rows("supplier", 1, "s_suppkey", key("s_suppkey").alias("id"), F.array("s_name", key("s_nationkey")).alias("law_links"))),
+        ("links", rows("nation", 2, "n_nationkey", key("n_nationkey").alias("id"), F.col("n_name").alias("source"), key("n_regionkey").alias("target"))),
+        ("terms", rows("part", 3, "p_partkey", key("p_partkey").alias("id"), F.expr(ODD.replace("\\", "\\\\")).alias("name")).withColumn("body", F.when(F.col("key") % 10 == 0, F.concat(F.lit('{"id": '), F.col("key").cast("string"), F.lit(', "name": }'))).otherwise(F.col("body")))),
+        ("metadata", rows("customer", 4, "c_custkey", key("c_custkey").alias("law_id"), F.col("c_name").alias("citace"), F.col("c_mktsegment").alias("name"))),
+    )
+    lines = None
+    for place, (name, found) in enumerate(sections):
+        head = spark.range(DATASETS).select(F.col("id").alias("part"), F.lit(place).alias("place"), F.lit(None).cast("long").alias("key"), F.lit(("{" if place == 0 else "],") + f'"{name}": [').alias("body"))
+        some = head.unionByName(found)
+        lines = some if lines is None else lines.unionByName(some)
+    end = spark.range(DATASETS).select(F.col("id").alias("part"), F.lit(len(sections)).alias("place"), F.lit(None).cast("long").alias("key"), F.lit("]}").alias("body"))
+    # a record follows another one: a comma before it
+    after = F.lag("key").over(Window.partitionBy("part").orderBy("place", F.asc_nulls_first("key")))
+    lines = lines.unionByName(end).select("part", "place", "key", F.concat(F.when(F.col("key").isNotNull() & after.isNotNull(), ",").otherwise(""), "body").alias("value"))
+    lines.repartition(DATASETS, "part").sortWithinPartitions("part", "place", F.asc_nulls_first("key")).select("part", "value").write.partitionBy("part").text(at)
+    return at
+
+
+@query(f"""SELECT 'law_fragments' AS section, doc_id::VARCHAR AS id, COALESCE(source, '~') || ' ' || COALESCE(md5(text), '~') AS value FROM documents
+UNION ALL SELECT 'definitions', s_suppkey::VARCHAR, s_name || ',' || s_nationkey FROM supplier
+UNION ALL SELECT 'links', n_nationkey::VARCHAR, n_name || '>' || n_regionkey FROM nation
+UNION ALL SELECT 'terms', p_partkey::VARCHAR, {ODD} FROM part WHERE p_partkey % 10 <> 0
+UNION ALL SELECT 'metadata', c_custkey::VARCHAR, c_name || ' ' || c_mktsegment FROM customer""")
+def dataset_scan(spark: SparkSession, d: str) -> DataFrame:
+    """All records of large files of five sections, cut in parallel."""
+    found = work.stored(datasets.records(spark, _datasets(spark, d)), "records")
+
+    def some(name: str, key: str, value: Column) -> DataFrame:
+        return datasets.section(found, name).select(F.lit(name).alias("section"), F.col(key).alias("id"), value.alias("value"))
+
+    text = F.concat_ws(" ", F.coalesce("law_iri", F.lit("~")), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("~")))
+    out = some("law_fragments", "id", text).unionByName(some("definitions", "id", F.array_join("law_links", ",")))
+    out = out.unionByName(some("links", "id", F.concat_ws(">", "source", "target"))).unionByName(some("terms", "id", F.col("name")))
+    return out.unionByName(some("metadata", "law_id", F.concat_ws(" ", "citace", "name")))
+
+
+@query("""SELECT 'terms' AS section, '{"id": ' || p_partkey || ', "name": }' AS body FROM part WHERE p_partkey % 10 = 0""")
+def dataset_bad_records(spark: SparkSession, d: str) -> DataFrame:
+    return datasets.bad(datasets.records(spark, _datasets(spark, d)), "terms")
+
+
 @query("""
 SELECT n_nationkey || '.' || ['txt', 'json', 'zip', 'exe', 'docx'][n_nationkey % 5 + 1] AS filename,
        CASE n_nationkey % 5 WHEN 0 THEN n_name || ' ž' WHEN 3 THEN NULL WHEN 4 THEN n_name || chr(10) || 'end' ELSE '{' || chr(10) || '  "foo": "' || n_name || '"' || chr(10) || '}' END AS text,
