@@ -5,14 +5,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions import hashing
 from rillmark.functions import vectors as V
 from rillmark.operators import aliases, answers, cache, counts, ingest, merging, ranking
 from rillmark.sources import work
-from rillmark.streaming import ingestion
+from rillmark.streaming import ingestion, keyed
 
 from . import search
 from .tables import DIM, bm25, corpus, hits, queries, read, tok
@@ -249,6 +249,40 @@ def stream_merge(spark: SparkSession, d: str) -> DataFrame:
     return table.read()
 
 
+#: Seconds for which a registered stream remembers a text.
+LIFETIME = 21_600
+
+
+@query(f"""SELECT event_type, user_id, ts FROM events
+QUALIFY COALESCE(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts)) >= {LIFETIME * 1_000_000}, true)""")
+def stream_recent_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose kind was not seen of their user in the hours before."""
+    at = work.fresh(spark, "stream")
+    rows = _events(spark, d).select("event_type", "user_id", F.col("user_id").cast("string").alias("who"), F.col("ts").cast("timestamp").alias("ts"))
+    with keyed.kept_in_rocksdb(spark):
+        found = keyed.recent_texts(rows, "event_type", "who", "ts", LIFETIME)
+        done = ingestion.to_files(found, f"{at}/out", f"{at}/state")
+    return done.select("event_type", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 5 = 0 THEN '§ ' || (event_id % 50) || 'a' ELSE 'x' END AS text FROM events),
+v AS (SELECT *, nullif(regexp_extract(text, '(?i)§\\s*([0-9]+[a-z]?)', 1), '') AS named, sum((event_type = 'purchase' OR regexp_matches(text, '§'))::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM e)
+SELECT event_id::VARCHAR AS fragment_id, user_id AS law_iri, CASE WHEN g = 0 THEN NULL ELSE first_value(named) OVER (PARTITION BY user_id, g ORDER BY event_id) END AS paragraph, false AS late FROM v""".replace("\\\\", "\\"))
+def stream_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The events of each user as fragments in no order, put in turn by a stream."""
+    at = work.fresh(spark, "stream")
+    e = F.col("event_id")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    text = F.when(e % 5 == 0, F.concat(F.lit("§ "), e % 50, F.lit("a"))).otherwise("x")
+    rows = read(spark, d, "events").select(e.cast("string").alias("fragment_id"), F.col("user_id").alias("law_iri"), place.alias("pos"), F.col("event_type").alias("typ"), text.alias("text"))
+    rows.repartition(8, F.xxhash64("fragment_id")).write.parquet(f"{at}/in")
+    with keyed.kept_in_rocksdb(spark):
+        found = keyed.paragraphs_in_turn(ingestion.source(spark, at, "in", spark.read.parquet(f"{at}/in").schema, 3), marker="purchase")
+        done = ingestion.to_files(found, f"{at}/out", f"{at}/state")
+    return done.select("fragment_id", "law_iri", "paragraph", "late")
+
+
 @query("SELECT doc_id AS chunk_id, source FROM documents")
 def reindex_swap(spark: SparkSession, d: str) -> DataFrame:
     folder = work.fresh(spark, "reindex")

@@ -64,6 +64,12 @@ def merge_into(stream: DataFrame, table: merging.Table, checkpoint: str, order:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def to_files(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Run over what is there now into Parquet files, each row once, and read them."""
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(target)
+
+
 def to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Run over what is there now into an in-memory table: for small results only."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
