@@ -183,7 +183,8 @@ def _datasets(spark: SparkSession, d: str) -> str:
     # a record follows another one: a comma before it
     after = F.lag("key").over(Window.partitionBy("part").orderBy("place", F.asc_nulls_first("key")))
     lines = lines.unionByName(end).select("part", "place", "key", F.concat(F.when(F.col("key").isNotNull() & after.isNotNull(), ",").otherwise(""), "body").alias("value"))
-    lines.repartition(DATASETS, "part").sortWithinPartitions("part", "place", F.asc_nulls_first("key")).select("part", "value").write.partitionBy("part").text(at)
+    with work.cleaned(spark):
+        lines.repartition(DATASETS, "part").sortWithinPartitions("part", "place", F.asc_nulls_first("key")).select("part", "value").write.partitionBy("part").text(at)
     return at
 
 
@@ -194,7 +195,7 @@ UNION ALL SELECT 'terms', p_partkey::VARCHAR, {ODD} FROM part WHERE p_partkey %
 UNION ALL SELECT 'metadata', c_custkey::VARCHAR, c_name || ' ' || c_mktsegment FROM customer""")
 def dataset_scan(spark: SparkSession, d: str) -> DataFrame:
     """All records of large files of five sections, cut in parallel."""
-    found = work.stored(datasets.records(spark, _datasets(spark, d)), "records")
+    found = datasets.records(spark, _datasets(spark, d))
 
     def some(name: str, key: str, value: Column) -> DataFrame:
         return datasets.section(found, name).select(F.lit(name).alias("section"), F.col(key).alias("id"), value.alias("value"))

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .statutes import SECTIONS
-from .work import stored
+from .work import drop, stored
 
 #: What stands before the first brace outside strings.
 LEAD = r'(?s)^([^"{]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^"{]*+)*+)\{'
@@ -61,7 +61,7 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     plain = F.regexp_replace("value", r"(?s)\\.", "")
     rest = F.substring_index(plain, "\n", -1)
     broken = F.instr(plain, "\n") > 0
-    rows = rows.withColumns({"quotes": _count(plain, '"'), "upto": F.when(broken, _count(plain, '"') - _count(rest, '"'))})
+    rows = rows.withColumns({"bytes": F.octet_length("value") + 1, "quotes": _count(plain, '"'), "upto": F.when(broken, _count(plain, '"') - _count(rest, '"'))})
     for s in (0, 1):
         bare = F.regexp_replace(F.concat(F.lit('"' * s), plain), r'"[^"\n]*+(?:["\n]|$)', "")
         end = F.when(F.col("upto").isNotNull(), (F.col("quotes") - F.col("upto")) % 2).otherwise((F.col("quotes") + s) % 2)
@@ -88,7 +88,7 @@ def _splits(placed: DataFrame) -> DataFrame:
     per = placed.groupBy("file", "block").agg(
         F.sum("quotes").alias("quotes"),
         F.max(F.col("passed") + F.col("upto")).alias("line"),
-        F.sum(F.octet_length("value") + 1).alias("bytes"),
+        F.sum("bytes").alias("bytes"),
         F.max("size").alias("size"),
         *[F.max_by(f"sum{s}", "seq").alias(f"sum{s}") for s in (0, 1)],
         *[F.min(f"sum{s}").alias(f"low{s}") for s in (0, 1)],
@@ -140,7 +140,8 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         (F.col("starts") | (F.col("before") > 1)).alias("inside"),
         text.alias("text"),
     )
-    rows = stored(rows.filter("inside").drop("inside"), "pieces")
+    spent = [stored(rows.filter("inside").drop("inside"), "pieces"), splits]
+    rows = spent[0]
     per = rows.groupBy("file", "block").agg(F.max("first").alias("first"), F.max_by("key", F.when(F.col("key").isNotNull(), F.col("seq"))).alias("key"))
     begun_at = F.when(F.col("first").isNotNull(), F.struct("block", F.col("first").alias("seq")))
     carried = per.select("file", "block", F.last(begun_at, ignorenulls=True).over(_file(True)).alias("_at"), F.last("key", ignorenulls=True).over(_file(True)).alias("_key"))
@@ -149,7 +150,10 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     alone = rows.filter("whole").select("file", "at", F.col("key.name").alias("section"), F.col("text").alias("body"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "seq", "text"))), lambda x: x["text"]), "")
     parts = rows.filter("NOT whole").groupBy("file", "at").agg(F.max("key.name").alias("section"), joined.alias("body"))
-    return alone.unionByName(parts).select("file", "at.block", "at.seq", "section", "body")
+    out = stored(alone.unionByName(parts).select("file", "at.block", "at.seq", "section", "body"), "records")
+    for table in spent:
+        drop(table)
+    return out
 
 
 def _read(found: DataFrame, name: str) -> DataFrame:
