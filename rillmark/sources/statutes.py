@@ -16,7 +16,7 @@ from rillmark import packaging
 from rillmark.functions import text as TX
 from rillmark.operators import ingest
 
-from .html_pages import block_text, lines_of
+from .html_pages import block_texts, lines_of
 
 FRAGMENT = "struct<fragmentId:string,hloubka:int,typ:string,xhtml:string,souboroveDokumenty:array<string>>"
 SCHEMA = f"metadata struct<castkaCislo:string,predpisCislo:string,rocnik:string,datumUcinnostiZneniOd:string>, fragmenty array<{FRAGMENT}>"
@@ -126,21 +126,24 @@ def rendered(bodies: DataFrame) -> DataFrame:
             F.concat(F.lit("Effective wording date: "), some(meta["datumUcinnostiZneniOd"])),
         )
     )
-    parts = rows.select("name", "_is", "body", header.alias("header"), F.posexplode_outer("_d.fragmenty").alias("pos", "f"))
-    parts = parts.withColumn("text", block_text(F.coalesce("f.xhtml", F.lit(""))))
-    label = F.array_join(
-        F.array_compact(F.array(F.coalesce(F.nullif("f.typ", F.lit("")), F.lit("Fragment")), F.concat(F.lit("depth="), F.col("f.hloubka").cast("string")), F.concat(F.lit("id="), F.nullif("f.fragmentId", F.lit(""))))), " | "
-    )
-    block = F.when(F.col("text") != "", F.struct("pos", F.concat(F.lit("["), label, F.lit("]\n"), "text").alias("b")))
-    per = parts.groupBy("name").agg(F.first("_is").alias("_is"), F.first("body").alias("body"), F.first("header").alias("header"), F.transform(F.sort_array(F.collect_list(block)), lambda x: x["b"]).alias("blocks"))
-    text = F.concat_ws("\n\n", F.array_join("header", "\n"), F.nullif(F.array_join("blocks", "\n\n"), F.lit("")))
+    # a collection stays one row: exploded, each fragment would carry the whole body with it
+    fragments = F.when(F.col("_is"), F.coalesce("_d.fragmenty", F.array())).otherwise(F.array())
+    rows = rows.select("name", "_is", "body", header.alias("header"), fragments.alias("parts"))
+    rows = rows.withColumn("texts", block_texts(F.transform("parts", lambda f: F.coalesce(f["xhtml"], F.lit("")))))
+
+    def block(f: Column, text: Column) -> Column:
+        label = F.array_compact(F.array(F.coalesce(F.nullif(f["typ"], F.lit("")), F.lit("Fragment")), F.concat(F.lit("depth="), f["hloubka"].cast("string")), F.concat(F.lit("id="), F.nullif(f["fragmentId"], F.lit("")))))
+        return F.when(text != "", F.concat(F.lit("["), F.array_join(label, " | "), F.lit("]\n"), text))
+
+    blocks = F.array_compact(F.zip_with("parts", "texts", block))
+    text = F.concat_ws("\n\n", F.array_join("header", "\n"), F.nullif(F.array_join(blocks, "\n\n"), F.lit("")))
     pretty = F.pandas_udf(_pretty, "string")
-    return per.select("name", F.when(F.col("_is"), text).otherwise(pretty("body")).alias("text"))
+    return rows.select("name", F.when(F.col("_is"), text).otherwise(pretty(F.when(~F.col("_is"), F.col("body")))).alias("text"))
 
 
 def _pretty(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in bodies:
-        yield batch.map(lambda b: json.dumps(json.loads(b), ensure_ascii=False, indent=2))
+        yield batch.map(lambda b: json.dumps(json.loads(b), ensure_ascii=False, indent=2), na_action="ignore")
 
 
 #: File types that are taken in.
