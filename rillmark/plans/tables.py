@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rillmark import packaging
 from rillmark.operators import dense, lexical
+from rillmark.operators.sides import few
+from rillmark.sources.work import stored
 
 #: Vector size of the registered hash embeddings, and hits of a registered search.
 DIM, HITS = 64, 20
@@ -30,7 +32,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits(spark: SparkSession, sf_dir: str, k: int = HITS) -> DataFrame:
     """BM25 hits of all benchmark items with the chunk's columns and the query."""
     c = corpus(spark, sf_dir)
-    found = lexical.search(c, queries(spark, sf_dir), k)
+    found = few(stored(lexical.search(c, queries(spark, sf_dir), k), "hits"))
     return found.join(c, "chunk_id").join(queries(spark, sf_dir).drop("text"), "query_id")
 
 
