@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import text as T
 from rillmark.operators import answers, cells, dense, fusion, ingest, inverted, lexical, planning, ranking, understanding
+from rillmark.operators.sides import few
 from rillmark.operators.understanding import DOMAINS, EXPANSIONS, LAW_ALIASES, LAW_DOMAINS, PHRASES, STEMS
 from rillmark.sources import work
 from rillmark.sources.work import stored
@@ -176,7 +177,7 @@ gr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score D
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d).withColumn("source", F.col("law_iri"))
-    rows = dense_hits(spark, d, 25).join(c, "chunk_id").join(queries(spark, d).drop("text"), "query_id")
+    rows = few(stored(dense_hits(spark, d, 25), "hits")).join(c, "chunk_id").join(queries(spark, d).drop("text"), "query_id")
     return fusion.generic_fused(rows)
 
 
@@ -306,7 +307,7 @@ def candidates(spark: SparkSession, d: str, p: DataFrame) -> DataFrame:
     c = corpus(spark, d).withColumns({"law_iri": F.get(F.array(*[F.lit(x) for x in LAWS]), (n % len(LAWS)).cast("int")), "paragraph": (n % 100).cast("string")} | {f: n % every == 0 for f, every in FLAG_EVERY.items()})
     texts = p.select("query_id", F.col("query").alias("text"))
     sparse = lexical.search(c, texts, HITS)
-    return fusion.rrf(dense_hits(spark, d, asked=texts), sparse).join(c, "chunk_id").drop("rank")
+    return few(stored(fusion.rrf(dense_hits(spark, d, asked=texts), sparse), "fused")).join(c, "chunk_id").drop("rank")
 
 
 FINAL = """round(rrf_score / max(rrf_score) OVER q * 0.34::DOUBLE + CASE WHEN max(ds) OVER q > 0 THEN ds / max(ds) OVER q ELSE 0 END * 0.22::DOUBLE + CASE WHEN max(ss) OVER q > 0 THEN ss / max(ss) OVER q ELSE 0 END * 0.22::DOUBLE

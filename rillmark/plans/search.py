@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import text as T
 from rillmark.operators import answers, cache, counts, dense, fusion, ingest, inverted, lexical, merging, planning, ranking, understanding
+from rillmark.operators.sides import few
 from rillmark.sources import statutes
 from rillmark.sources.work import stored
 
@@ -59,7 +60,7 @@ class Searchable:
 
 
 def searchable(corpus: DataFrame, planned: DataFrame, dimension: int, index: inverted.Index | None = None) -> Searchable:
-    vectors = dense.dense_vectors(corpus, dimension).join(corpus.select("chunk_id", "law_iri"), "chunk_id")
+    vectors = dense.dense_vectors(corpus, dimension, ("law_iri",))
     return Searchable(corpus, index or lexical.matches(corpus, _sparse_text(planned), keep=("law_iri",)), stored(vectors, "vectors"))
 
 
@@ -92,7 +93,7 @@ def retrieve(found: Searchable, planned: DataFrame, dimension: int) -> DataFrame
     sparse = _one_of_legs(found.sparse(asking.select("query_id", "text", "laws", "k"), within))
     vectors = dense.dense_vectors(asking.select(F.col("query_id").alias("chunk_id"), F.col("clean").alias("text")), dimension).withColumnRenamed("chunk_id", "query_id")
     near = _one_of_legs(dense.nearest(found.vectors, asking.select("query_id", "laws", "k").join(vectors, "query_id"), "k", within=within))
-    fused = fusion.rrf(near, sparse).drop("rank").join(corpus, "chunk_id")
+    fused = few(stored(fusion.rrf(near, sparse).drop("rank"), "fused")).join(corpus, "chunk_id")
     if "paragraph" not in corpus.columns:
         fused = fused.withColumn("paragraph", F.lit(None).cast("string"))
     fused = fused.withColumns({f: F.lit(False) for f in fusion.FLAGS})
@@ -167,7 +168,7 @@ def generic(corpus: DataFrame, requests: DataFrame, top_k: int = 5, dimension: i
     """Ranked dense hits with lexical features and fused scores, before the cut."""
     asked = dense.dense_vectors(requests.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text")), dimension).withColumnRenamed("chunk_id", "query_id")
     found = dense.nearest(dense.dense_vectors(corpus, dimension), asked, min(max(4 * top_k, top_k), 25))
-    return fusion.generic_fused(found.join(corpus, "chunk_id").join(requests, "query_id"))
+    return fusion.generic_fused(few(stored(found, "found")).join(corpus, "chunk_id").join(requests, "query_id"))
 
 
 def answer(corpus: DataFrame, requests: DataFrame, top_k: int = 5, dimension: int = dense.DIMENSION) -> DataFrame:

@@ -3,11 +3,15 @@ the plans move."""
 
 import json
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from rillmark.operators import batches, dense, lexical
 from rillmark.sources import statutes
 
 
 def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
 
 
 def test_rendered_collections_stay_one_row(spark):
@@ -20,3 +24,34 @@ def test_rendered_collections_stay_one_row(spark):
     assert got["b.json"] == json.dumps(json.loads(bodies["b.json"]), indent=2) and got["c.json"] == "Source file: c.json"
     # no row for each fragment with its collection's body
     assert "Generate" not in plan_of(out) and "Exchange" not in plan_of(out)
+
+
+def test_bm25_moves_no_counts(spark):
+    texts = [(i, f"alpha beta{i % 7} {'gamma ' * (i % 5)}", "ab"[i % 2]) for i in range(300)] + [(300, None, "a"), (301, "", None)]
+    rows = spark.createDataFrame(texts, "chunk_id long, text string, law string")
+    asked = spark.createDataFrame([(1, "alpha gamma gamma", ["a"]), (2, "beta3 none", []), (3, "none", []), (4, "", [])], "query_id long, text string, laws array<string>")
+    found = lexical.matches(rows, asked, keep=("law",))
+    got = lexical.ranked(found, asked, 7, ("laws", "law"))
+    # the way of batches with too many tokens to be sent
+    wanted = lexical.query_terms(asked).select("token").distinct()
+    docs = lexical.tokenized(rows, "law").withColumn("ok", F.lit(True))
+    tf = docs.select("chunk_id", "ok", "law", F.size("toks").alias("dl"), F.explode("toks").alias("token")).join(wanted, "token", "left_semi").groupBy("chunk_id", "ok", "law", "dl", "token").agg(F.count("*").alias("tf"))
+    other = lexical.ranked(lexical.Matches(tf, lexical.stats(docs), None), asked, 7, ("laws", "law"))
+    assert sorted(got.collect()) == sorted(other.collect()) and got.count() == 14
+    assert found.tf.count() == 302  # a row a chunk, not a row a chunk and token
+    assert plan_of(got).count("Exchange") == 1  # of the best hits, by query
+
+
+def test_best_keeps_ties_by_id_across_batches():
+    best = batches.Best(2, 2)
+    best.most = 3
+    for chunk, score in (([9, 8], [[1.0, 2.0], [0.5, 0.5]]), ([3, 4], [[2.0, 2.0], [0.5, -np.inf]]), ([1], [[0.1], [0.5]])):
+        best.add(np.array(score), np.array(chunk))
+    row, chunk, score = best.found()
+    assert list(zip(row, chunk, score)) == [(0, 3, 2.0), (0, 4, 2.0), (1, 1, 0.5), (1, 3, 0.5)]
+
+
+def test_embeddings_are_made_where_texts_are_read(spark):
+    rows = spark.createDataFrame([(i, f"w{i} same w{i % 3}") for i in range(50)], "chunk_id long, text string")
+    for df in (dense.hash_embedding(rows, 32), dense.dense_vectors(rows, 32)):
+        assert "Exchange" not in plan_of(df) and df.select("chunk_id").distinct().count() == 50
