@@ -21,8 +21,12 @@ a common token is written by many tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 from rillmark.sources import work
 from rillmark.sources.work import stored
 
-from . import lexical
+from . import batches, lexical
 from .sides import few
 
 #: Chunks of a block (a power of two), folders of postings, blocks scored first.
@@ -75,31 +79,72 @@ class Index:
         return self.spark.read.parquet(f"{self.at}/kept").schema
 
 
+def _posted(keep: tuple[str, ...], block: int):
+    """Rows (chunk_id, kept columns, tokens) as rows of a token and block: the chunks that
+    hold it, their lengths and counts, and of how many chunks it is the first."""
+
+    def posted(rows: pa.Table, at: int) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        toks = rows.column(rows.num_columns - 1).combine_chunks()
+        row, token = batches.elements(toks)
+        coded = token.dictionary_encode()
+        n = max(len(coded.dictionary), 1)
+        # by block, token and row
+        key, tf = np.unique((row // block * n + coded.indices.to_numpy()) * rows.num_rows + row, return_counts=True)
+        of, row = np.divmod(key, max(rows.num_rows, 1))
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        length = np.diff(toks.offsets.to_numpy())
+        first = np.zeros(len(key), np.int64)
+        first[np.unique(row, return_index=True)[1]] = 1
+        offsets = pa.array(np.append(starts, len(key)), pa.int32())
+
+        def each(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(offsets, values)
+
+        kept = [each(rows.column(c).combine_chunks().take(pa.array(row))) for c in ("chunk_id", *keep)]
+        firsts = np.add.reduceat(first, starts) if len(starts) else first
+        columns = [coded.dictionary.take(pa.array(of[starts] % n)), pa.array(at + of[starts] // n, pa.int64()), pa.array(firsts, pa.int64()), each(pa.array(length[row], pa.int32())), each(pa.array(tf, pa.int32())), *kept]
+        return pa.record_batch(columns, names=["token", "block", "firsts", "dls", "tfs", "chunk_id", *keep])
+
+    def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left = (TaskContext.get().partitionId() << 33) // block, None
+        for batch in given:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if left is None else pa.concat_tables([left, rows])
+            whole = rows.num_rows // block * block
+            if whole:
+                yield posted(rows.slice(0, whole), at)
+            at, left = at + whole // block, rows.slice(whole)
+        if left is not None and left.num_rows:
+            yield posted(left, at)
+
+    return run
+
+
 def build(corpus: DataFrame, at: str, keep: tuple[str, ...] = (), block: int = BLOCK) -> Index:
     """Index ``corpus`` (chunk_id, text and the kept columns) into the folder ``at``, in
-    place of what is there.  Texts are read and tokenized once.  Chunks that stand together
-    and are alike make blocks of which more can be skipped."""
+    place of what is there.  Texts are read and tokenized once, and a block's chunks put
+    together where they are read: what is shuffled, once, has a row a token and block.
+    Chunks that stand together and are alike make blocks of which more can be skipped."""
     spark = corpus.sparkSession
-    docs = lexical.tokenized(corpus, *keep).withColumn("block", F.expr(f"monotonically_increasing_id() div {block}"))
-    # what is of a chunk first: above the explode it would be worked out for every token
-    docs = docs.select("chunk_id", *keep, "block", F.size("toks").alias("dl"), F.array_min("toks").alias("least"), "toks")
-    rows = docs.withColumn("token", F.explode("toks")).withColumn("first", F.col("token") == F.col("least"))
-    counts = rows.groupBy("chunk_id", *keep, "block", "dl", "first", "token").agg(F.count("*").cast("int").alias("tf"))
-    counts = stored(counts, "index-counts")
-    n = F.count_if("first")  # once for each chunk with a token
-    totals = counts.agg(n.alias("n_docs"), F.coalesce(F.try_divide(F.sum("tf"), n), F.lit(0.0)).cast("double").alias("avg_dl"))
+    docs = lexical.tokenized(corpus, *keep)
+    each = "".join(f", `{c}` array<{batches.kind_of(docs, c)}>" for c in ("chunk_id", *keep))
+    counts = stored(batches.map_arrow(docs, _posted(keep, block), f"token string, block long, firsts long, dls array<int>, tfs array<int>{each}"), "index-counts")
+    n = F.sum("firsts")  # once for each chunk with a token
+    tokens = F.sum(F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x))
+    totals = counts.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n_docs"), F.coalesce(F.try_divide(tokens, n), F.lit(0.0)).cast("double").alias("avg_dl"))
     totals.write.mode("overwrite").parquet(f"{at}/totals")
     index = Index(spark, at)
-    counts.limit(0).select("chunk_id", F.lit(0.0).alias("impact"), *keep).coalesce(1).write.mode("overwrite").parquet(f"{at}/kept")
+    corpus.limit(0).select("chunk_id", F.lit(0.0).alias("impact"), *keep).coalesce(1).write.mode("overwrite").parquet(f"{at}/kept")
     splits = index.totals.first().n_docs // TOGETHER + 1
-    # dealt once: all that follows stays within a folder and its split
-    dealt = counts.drop("first").withColumns({"folder": _folder("token"), "split": F.pmod(F.col("block"), F.lit(splits))}).repartition("folder", "split")
-    impact = lexical.norm_tf(F.col("tf"), F.col("dl"), F.col("avg_dl"))
-    rows = dealt.join(F.broadcast(index.totals)).groupBy("folder", "split", "token", "block")
-    postings = rows.agg(F.max(impact).alias("most"), F.collect_list(F.struct("chunk_id", impact.alias("impact"), *keep)).alias("entries"))
-    postings = postings.withColumn("n", F.size("entries")).drop("split").sortWithinPartitions("folder", "token", "block")
+    dealt = counts.drop("firsts").withColumns({"folder": _folder("token"), "split": F.pmod(F.col("block"), F.lit(splits))}).repartition("folder", "split")
+    zipped = F.arrays_zip("chunk_id", "dls", "tfs", *keep)
+    entries = F.transform(zipped, lambda e: F.struct(e["chunk_id"].alias("chunk_id"), lexical.norm_tf(e["tfs"], e["dls"], F.col("avg_dl")).alias("impact"), *[e[c].alias(c) for c in keep]))
+    # sorted before the entries are made: what is sorted, and perhaps spilled, is smaller
+    rows = dealt.join(F.broadcast(index.totals.select("avg_dl"))).sortWithinPartitions("folder", "token", "block").withColumn("entries", entries)
+    postings = rows.select("token", "block", F.array_max(F.transform("entries", lambda e: e["impact"])).alias("most"), "entries", F.size("entries").alias("n"), "folder")
     with work.cleaned(spark):
-        postings.select("token", "block", "most", "entries", "n", "folder").write.mode("overwrite").partitionBy("folder").parquet(f"{at}/postings")
+        postings.write.mode("overwrite").partitionBy("folder").parquet(f"{at}/postings")
     work.drop(counts)
     df = index.postings.groupBy("folder", "token").agg(F.sum("n").cast("long").alias("df"), F.max("most").alias("most"))
     with work.cleaned(spark):
