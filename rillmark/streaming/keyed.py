@@ -8,6 +8,7 @@ each function.
 from __future__ import annotations
 
 import contextlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,65 +103,119 @@ def recent_texts(stream: DataFrame, group: str, text: str, time: str, lifetime:
 
 
 class _InTurn(StatefulProcessor):
-    BATCH = 1000
+    """Held fragments lie in pages of PAGE places, each one value of the state: a key and
+    batch reads and writes a page once, not each fragment.  KEPT pages are open at a time."""
+
+    BATCH, PAGE, KEPT = 1000, 128, 8
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.turn = handle.getValueState("turn", "next long, paragraph string")
-        self.held = handle.getMapState("held", "pos long", "fragment_id string, text string, sets boolean, named string")
+        self.turn = handle.getValueState("turn", "next long, paragraph string, held long")
+        self.held = handle.getMapState("pages", "page long", "rows string")
+
+    def _start(self) -> None:
+        self.at, self.paragraph, self.n_held = self.turn.get() or (0, None, 0)
+        self.pages: dict[int, dict[int, list]] = {}
+        self.changed: set[int] = set()
+
+    def _page(self, page: int) -> dict[int, list]:
+        if page not in self.pages:
+            while len(self.pages) >= self.KEPT:
+                self._put(next(iter(self.pages)))
+            found = self.held.getValue((page,))
+            self.pages[page] = {} if found is None else {r[0]: r[1:] for r in json.loads(found[0])}
+        return self.pages[page]
+
+    def _put(self, page: int) -> None:
+        rows = self.pages.pop(page)
+        if page in self.changed:
+            self.changed.remove(page)
+            if rows:
+                self.held.updateValue((page,), (json.dumps([[pos, *r] for pos, r in rows.items()]),))
+            else:
+                self.held.removeKey((page,))
+
+    def _end(self) -> None:
+        for page in list(self.pages):
+            self._put(page)
+        self.turn.update((self.at, self.paragraph, self.n_held))
 
     def _frame(self, law, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["fragment_id", "pos", "text", "paragraph", "late"])
-        return out.assign(law_iri=law, pos=out["pos"].astype("Int64"))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        out = pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(("fragment_id", "pos", "text", "paragraph"), columns, strict=False)})
+        return out.assign(pos=out["pos"].astype("Int64"), late=list(columns[4]), law_iri=law)
+
+    def _out(self, fragment: str, text: str, sets: bool, named: str | None) -> tuple:
+        self.paragraph = named if sets else self.paragraph
+        self.at += 1
+        return fragment, self.at - 1, text, self.paragraph, False
+
+    def _advance(self, out: list[tuple]) -> None:
+        """Passes on what is held at the next places, until BATCH rows are together."""
+        while self.n_held and len(out) < self.BATCH:
+            page = self.at // self.PAGE
+            row = self._page(page).pop(self.at, None)
+            if row is None:
+                return
+            self.changed.add(page)
+            self.n_held -= 1
+            out.append(self._out(*row))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at, paragraph = self.turn.get() if self.turn.exists() else (0, None)
+        self._start()
         law, waits, latest = key[0], False, -1
         for batch in rows:
-            out = []
+            out: list[tuple] = []
             latest = max(latest, int(batch["seen"].max()))
             columns = ["pos", "fragment_id", "text", "sets", "named"]
-            for row in batch.sort_values("pos")[columns].itertuples(index=False):
-                pos, fragment, text, sets, named = (None if pd.isna(v) else v for v in row)
+            given = [[None if pd.isna(v) else v for v in row] for row in zip(*(batch[c].tolist() for c in columns), strict=True)]
+            for pos, fragment, text, sets, named in sorted(given, key=lambda r: (r[0] is None, r[0] or 0)):
                 pos = None if pos is None else int(pos)
-                if pos == at:
-                    paragraph = named if sets else paragraph
-                    out.append((fragment, pos, text, paragraph, False))
-                    at += 1
-                elif pos is None or pos < at or self.held.containsKey((pos,)):
+                # what is held at the next place comes before it is asked whether a place is taken
+                if pos is None or pos < self.at:
                     out.append((fragment, pos, text, None, True))
+                elif pos == self.at:
+                    out.append(self._out(fragment, text, bool(sets), named))
                 else:
-                    self.held.updateValue((pos,), (fragment, text, bool(sets), named))
+                    page = self._page(pos // self.PAGE)
+                    if pos in page:
+                        out.append((fragment, pos, text, None, True))
+                        continue
+                    page[pos] = [fragment, text, bool(sets), named]
+                    self.changed.add(pos // self.PAGE)
+                    self.n_held += 1
                     waits = True
-                while waits and self.held.containsKey((at,)):
-                    at, paragraph = self._pass(at, paragraph, out)
-            yield self._frame(law, out)
-        # those held from earlier batches
-        while self.held.containsKey((at,)):
-            out = []
-            while len(out) < self.BATCH and self.held.containsKey((at,)):
-                at, paragraph = self._pass(at, paragraph, out)
-            yield self._frame(law, out)
-        self.turn.update((at, paragraph))
+                    continue
+                while pos == self.at - 1 and self.n_held:
+                    before = len(out)
+                    self._advance(out)
+                    if len(out) < self.BATCH or len(out) == before:
+                        break
+                    yield self._frame(law, out)
+                    out = []
+                    pos = self.at - 1
+            if out:
+                yield self._frame(law, out)
+        self._end()
         if waits and latest >= 0:
             self.handle.registerTimer(latest)
 
-    def _pass(self, at: int, paragraph: str | None, out: list[tuple]) -> tuple[int, str | None]:
-        fragment, text, sets, named = self.held.getValue((at,))
-        paragraph = named if sets else paragraph
-        out.append((fragment, at, text, paragraph, False))
-        self.held.removeKey((at,))
-        return at + 1, paragraph
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, paragraph = self.turn.get() if self.turn.exists() else (0, None)
-        places = sorted(k[0] for k in self.held.keys())
-        for i in range(0, len(places), self.BATCH):
-            out: list[tuple] = []
-            for pos in places[i : i + self.BATCH]:
-                at, paragraph = self._pass(pos, paragraph, out)
+        self._start()
+        out: list[tuple] = []
+        for number in sorted(k[0] for k in self.held.keys()):
+            page = self._page(number)
+            for pos in sorted(page):
+                self.at = pos
+                out.append(self._out(*page.pop(pos)))
+            self.n_held, self.changed = max(0, self.n_held), self.changed | {number}
+            if len(out) >= self.BATCH:
+                yield self._frame(key[0], out)
+                out = []
+        if out:
             yield self._frame(key[0], out)
-        self.turn.update((at, paragraph))
+        self.n_held = 0
+        self._end()
 
     def close(self) -> None:
         pass
