@@ -6,8 +6,9 @@ with t = floor(ln w / r + b) its value is ln c - r (t - b) - r, and the sample i
 and t of the least value.  Two texts agree in a sample with the probability of their
 generalised Jaccard similarity, sum of min weights over sum of max weights.
 
-A word's values depend on its count only, so rows of values are kept for the words and
-counts met most; a text then is the column-wise least of its words' rows.
+A word's values depend on its count only, so texts are taken by the batch: each word and
+count that occurs in it is worked out once, a part of them at a time, and a text is the
+column-wise least of its words' rows.
 
 Scale: fingerprints are one narrow pass.  The contract's pairing with the next document
 needs neighbours in doc_id order: documents are dealt to blocks of the order, with bounds
@@ -23,11 +24,11 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ from . import shared
 from .rolling import U, mix
 
 SAMPLES = 128
-#: Word rows kept in a worker, SAMPLES longs each: about 100 MB.
-KEPT = 100_000
+#: Word rows worked out at once, and held at once, SAMPLES longs each: about 8 MB.
+AT_ONCE, PART = 128, 8_192
+#: Characters of the texts taken together; a longer text is taken alone.
+TOGETHER = 4 << 20
 #: Documents in a block of the doc_id order, and blocks at most.
 BLOCK_ROWS, MOST_BLOCKS = 4_000, 1 << 16
 
@@ -62,10 +65,9 @@ GAMMA = _gamma_quantiles().astype(np.float32)
 LOG_GAMMA = np.log(GAMMA)
 
 
-def _draws(hashes: np.ndarray) -> np.ndarray:
-    """Two random 32-bit numbers for every word and sample (2 x words x SAMPLES)."""
-    low, high = hashes.astype(np.uint32)[:, None], (hashes >> U(32)).astype(np.uint32)[:, None]
-    x = (_SEEDS ^ low) * np.uint32(0xCC9E2D51)
+def _draws(seeds: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A random 32-bit number for every word and sample (words x SAMPLES)."""
+    x = (seeds ^ low) * np.uint32(0xCC9E2D51)
     x ^= x >> np.uint32(15)
     x += high
     x ^= x >> np.uint32(16)
@@ -76,47 +78,83 @@ def _draws(hashes: np.ndarray) -> np.ndarray:
     return x
 
 
-def _rows(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def _rows(hashes: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
     """For every word (rows) and sample one integer: above, the value in an order-keeping
-    form; in the last 16 bits, the mark of the word and its t."""
-    x, y = _draws(hashes)
-    r, log_c = GAMMA[x & np.uint32(0xFFFF)], LOG_GAMMA[x >> np.uint32(16)]
-    b = (y & np.uint32(0xFFFF)).astype(np.float32) * np.float32(2.0**-16)
-    t = np.floor(np.log(counts.astype(np.float32))[:, None] / r + b)
-    value = (log_c - r * (t - b) - r).view(np.int32)
-    order = value ^ ((value >> np.int32(31)) & np.int32(0x7FFFFFFF))
-    mark = ((y + t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)) * np.uint32(0x85EBCA6B)) >> np.uint32(16)
-    return (order.astype(np.int64) << 16) | mark
+    form; in the last 16 bits, the mark of the word and its t.  A word that occurs once has
+    t = 0."""
+    for at in range(0, len(hashes), AT_ONCE):
+        h, n = hashes[at : at + AT_ONCE], counts[at : at + AT_ONCE]
+        rows = out[at : at + len(h)]
+        low, high = h.astype(np.uint32)[:, None], (h >> U(32)).astype(np.uint32)[:, None]
+        x, y = _draws(_SEEDS[0], low, high), _draws(_SEEDS[1], low, high)
+        r = GAMMA.take((x & np.uint32(0xFFFF)).astype(np.intp), mode="clip")
+        value = LOG_GAMMA.take((x >> np.uint32(16)).astype(np.intp), mode="clip")
+        b = (y & np.uint32(0xFFFF)).astype(np.float32)
+        b *= np.float32(2.0**-16)
+        if n.max() > 1:
+            t = np.floor(np.log(n.astype(np.float32))[:, None] / r + b)
+            y += t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+            value -= r * (t - b)
+        else:
+            b *= r
+            value += b
+        value -= r
+        order = value.view(np.int32)
+        order ^= (order >> np.int32(31)) & np.int32(0x7FFFFFFF)
+        y *= np.uint32(0x85EBCA6B)
+        y >>= np.uint32(16)
+        rows[...] = order
+        rows <<= 16
+        rows |= y
 
 
 class Sampler:
-    """Fingerprints of texts; keeps the rows of words and counts met lately."""
+    """Fingerprints of texts."""
 
-    def __init__(self, kept: int = KEPT) -> None:
-        self.kept = kept
-        self.rows = np.empty((kept, SAMPLES), dtype=np.int64)
-        self.place: dict[tuple[bytes, int], int] = {}
+    def __init__(self) -> None:
+        self.rows = np.empty((PART, SAMPLES), dtype=np.int64)
 
     def signature(self, text: bytes) -> np.ndarray | None:
-        pairs = list(Counter(text.split()).items())
-        least = [np.minimum.reduce(self.rows[self._places(pairs[at : at + self.kept // 4])], axis=0) for at in range(0, len(pairs), self.kept // 4)]
-        return (np.minimum.reduce(least) & 0xFFFF).astype(np.uint16) if pairs else None
-
-    def _places(self, pairs: list[tuple[bytes, int]]) -> list[int]:
-        places = list(map(self.place.get, pairs))
-        missing = [i for i, r in enumerate(places) if r is None]
-        if len(self.place) + len(missing) > self.kept:
-            self.place.clear()
-            places, missing = [None] * len(pairs), list(range(len(pairs)))
-        for a in range(0, len(missing), 1000):
-            part = missing[a : a + 1000]
-            hashes = np.array([xxhash.xxh3_64_intdigest(pairs[i][0]) for i in part], dtype=np.uint64)
-            start = len(self.place)
-            self.rows[start : start + len(part)] = _rows(hashes, np.array([pairs[i][1] for i in part]))
-            self.place.update(zip([pairs[i] for i in part], range(start, start + len(part)), strict=True))
-            for k, i in enumerate(part, start):
-                places[i] = k
-        return places
+        return self._together([text])[0]
+
+    def signatures(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Those of a batch of texts, None for one without words."""
+        out, group, held = [], [], 0
+        for text in texts:
+            if group and held + len(text) > TOGETHER:
+                out += self._together(group)
+                group, held = [], 0
+            group.append(text)
+            held += len(text)
+        return out + (self._together(group) if group else [])
+
+    def _together(self, texts: list) -> list[np.ndarray | None]:
+        words = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        row = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        coded = words.flatten().dictionary_encode()
+        vocabulary, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if "" in vocabulary:  # white space at an end of a text
+            some = word != vocabulary.index("")
+            row, word = row[some], word[some]
+        size = max(len(vocabulary), 1)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
+        key, times = np.unique(row * size + word, return_counts=True)
+        row, word = np.divmod(key, size)
+        # words that occur once come first
+        pair, of = np.unique(times * size + word, return_inverse=True)
+        times, word = np.divmod(pair, size)
+        order = np.argsort(of // PART, kind="stable")
+        row, of = row[order], of[order]
+        ends = np.searchsorted(of // PART, np.arange(len(pair) // PART + 2))
+        least = np.full((len(texts), SAMPLES), np.iinfo(np.int64).max)
+        for i, at in enumerate(range(0, len(pair), PART)):
+            _rows(hashes[word[at : at + PART]], times[at : at + PART], self.rows)
+            texts_of, places = row[ends[i] : ends[i + 1]], of[ends[i] : ends[i + 1]] - at
+            starts = np.flatnonzero(np.diff(texts_of, prepend=-1))
+            for text, start, end in zip(texts_of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(places)], strict=True):
+                np.minimum(least[text], np.minimum.reduce(self.rows.take(places[start:end], 0, mode="clip"), axis=0), out=least[text])
+        marks, found = (least & 0xFFFF).astype(np.uint16), np.bincount(row, minlength=len(texts)) > 0
+        return [m if f else None for m, f in zip(marks, found, strict=True)]
 
 
 _sampler: list[Sampler] = []
@@ -143,7 +181,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [as_text(sampler().signature(t or b"")) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            marks = [as_text(x) for x in sampler().signatures([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.record_batch([batch.column(0), pa.array(marks, pa.string())], names=["doc_id", "fingerprint"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -180,19 +218,22 @@ def in_blocks(docs: DataFrame) -> DataFrame:
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     cws = sampler()
-    last: tuple | None = None
+    last: list[tuple] = []
     for batch in batches:
-        out: list[tuple] = []
-        for doc_id, text, block, guest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            mine = cws.signature(text.encode())
-            if last is not None and last[2] == block:
-                before, own = last[1], last[3]
-                cut = len(before) // 3
-                edited = (before[: len(before) - cut] + text[:cut]).encode()
-                twin = cws.signature(edited)
-                out.append((last[0], len(before), hashlib.sha256(edited).hexdigest(), as_text(own), as_text(twin), likeness(own, twin), likeness(own, mine)))
-            # further guests of a block are equal in id with the first, which alone is next
-            last = None if guest else (doc_id, text, block, mine)
+        # further guests of a block are equal in id with the first, which alone is next
+        rows = last + list(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True))
+        nexts = [i for i in range(1, len(rows)) if rows[i - 1][2] == rows[i][2] and not rows[i - 1][3]]
+        edits = []
+        for i in nexts:
+            before, cut = rows[i - 1][1], len(rows[i - 1][1]) // 3
+            edits.append(before[: len(before) - cut] + rows[i][1][:cut])
+        found = cws.signatures([r[1] for r in rows[len(last) :]] + edits)
+        own, twins = [r[4] for r in last] + found[: len(found) - len(edits)], found[len(found) - len(edits) :]
+        out = [
+            (rows[i - 1][0], len(rows[i - 1][1]), hashlib.sha256(edited.encode()).hexdigest(), as_text(own[i - 1]), as_text(twin), likeness(own[i - 1], twin), likeness(own[i - 1], own[i]))
+            for i, edited, twin in zip(nexts, edits, twins, strict=True)
+        ]
+        last = [(*rows[-1][:4], own[-1])] if rows else []
         if out:
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()), strict=True)], names=names)
 

@@ -55,3 +55,19 @@ def test_embeddings_are_made_where_texts_are_read(spark):
     rows = spark.createDataFrame([(i, f"w{i} same w{i % 3}") for i in range(50)], "chunk_id long, text string")
     for df in (dense.hash_embedding(rows, 32), dense.dense_vectors(rows, 32)):
         assert "Exchange" not in plan_of(df) and df.select("chunk_id").distinct().count() == 50
+
+
+def test_fingerprint_rows_are_made_once_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from rillmark.llm import fingerprint
+
+    made, real = [], fingerprint._rows
+    monkeypatch.setattr(fingerprint, "_rows", lambda hashes, *rest: (made.append(len(hashes)), real(hashes, *rest))[1])
+    one, two = (" ".join(f"{x}{i}" for i in range(60_000)) for x in "ab")
+    batch = pa.record_batch([pa.array([4, 3, 2, 1]), pa.array([one, two, one, "  "]), pa.array([4, 3, 2, 1]), pa.array([0, 0, 0, 0]), pa.array([False] * 4)], names=["doc_id", "text", "key", "block", "guest"])
+    rows = [r for out in fingerprint._edited(iter([batch])) for r in out.to_pylist()]
+    # every word of both texts, once, but for the few that an edit cuts
+    assert sum(made) < 120_000 + 10
+    assert [r["doc_id"] for r in rows] == [4, 3, 2] and rows[0]["fingerprint"] == rows[2]["fingerprint"] != rows[1]["fingerprint"]
+    assert [r["near_next"] for r in rows] == [0.0, 0.0, 0.0] and 0.3 < rows[0]["near_edited"] < 0.7
