@@ -4,9 +4,11 @@ the plans move."""
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rillmark.operators import batches, dense, lexical
+from rillmark.plans import q_search, tables
 from rillmark.sources import statutes
 
 
@@ -71,3 +73,16 @@ def test_fingerprint_rows_are_made_once_a_batch(monkeypatch):
     assert sum(made) < 120_000 + 10
     assert [r["doc_id"] for r in rows] == [4, 3, 2] and rows[0]["fingerprint"] == rows[2]["fingerprint"] != rows[1]["fingerprint"]
     assert [r["near_next"] for r in rows] == [0.0, 0.0, 0.0] and 0.3 < rows[0]["near_edited"] < 0.7
+
+
+@pytest.mark.parametrize("name", ["hits", "fused", "candidates"])
+def test_texts_stay_where_they_are_when_found_rows_take_their_columns(spark, name):
+    folder = "/root/testdata/sf0.001"
+    made = {"hits": lambda: tables.hits(spark, folder), "fused": lambda: q_search._fused(spark, folder), "candidates": lambda: q_search.candidates(spark, folder, q_search.planned(spark, folder))}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the tables are large
+    try:
+        plan = plan_of(made[name]())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [chunk_id" in plan and "SortMergeJoin [chunk_id" not in plan
