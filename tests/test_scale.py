@@ -2,13 +2,14 @@
 the plans move."""
 
 import json
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rillmark.operators import batches, dense, lexical
-from rillmark.plans import q_search, tables
+from rillmark.plans import catalogue, q_search, tables
 from rillmark.sources import statutes
 
 
@@ -86,3 +87,16 @@ def test_texts_stay_where_they_are_when_found_rows_take_their_columns(spark, nam
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin [chunk_id" in plan and "SortMergeJoin [chunk_id" not in plan
+
+
+@pytest.mark.parametrize("name", ["overlap_gate"])
+def test_rows_are_dealt_by_request_only(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the tables are large
+    try:
+        plan = plan_of(catalogue.queries()[name](spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # by chunk, or by chunk and token, what is dealt grows with the texts
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+?)#", plan)
+    assert dealt and set(dealt) == {"query_id"}
