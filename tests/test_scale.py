@@ -89,7 +89,7 @@ def test_texts_stay_where_they_are_when_found_rows_take_their_columns(spark, nam
     assert "BroadcastHashJoin [chunk_id" in plan and "SortMergeJoin [chunk_id" not in plan
 
 
-@pytest.mark.parametrize("name", ["overlap_gate", "answer_pipeline", "keyed_merge"])
+@pytest.mark.parametrize("name", ["overlap_gate", "answer_pipeline", "keyed_merge", "validate_floors"])
 def test_rows_are_dealt_by_request_only(spark, name):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the tables are large
